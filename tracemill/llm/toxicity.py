@@ -23,7 +23,7 @@ from .common import texts_of
 SAMPLE, KNOWN = 2000, 20_000
 WINDOW, STRIDE = 32, 16
 DIM, HIDDEN, GRAMS, CHARS = 16, 8, 1 << 13, 20
-EPOCHS, BATCH, RATE = 12, 128, 0.01
+EPOCHS, STEPS, BATCH, RATE = 12, 600, 128, 0.01
 #: Lower case, and punctuation of ASCII as white space.
 PLAIN = bytes(32 if chr(b) in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -180,7 +180,11 @@ class Network:
 
 
 def train(texts: list, labels: list, prior: float, epochs: int = EPOCHS, seed: int = 9) -> Network:
-    """A network of labelled texts, its bias moved from the sample's share of label 1 to `prior`."""
+    """A network of labelled texts, its bias moved from the sample's share of label 1 to `prior`.
+
+    As many epochs as asked for, and more where the sample is so small that they make fewer than STEPS steps.
+    """
+    epochs = max(epochs, -(-STEPS * BATCH // max(1, 2 * len(texts))))
     labels = np.array(labels, np.float32)
     seen, toxic = Counter(), Counter()
     for t, y in zip(texts, labels, strict=True):
@@ -208,7 +212,7 @@ def train(texts: list, labels: list, prior: float, epochs: int = EPOCHS, seed: i
                 s = windows_of(len(d))
                 value = [np.maximum(own[i : i + WINDOW], 0).max() for i in s]
                 picks.append((d, [s[i] for i in np.argsort(-np.array(value), kind="stable")[:1]]))
-        elif epoch % 2 == 0:
+        elif epoch % max(2, epochs // 6) == 0:
             picks = [(d, s) for at in range(0, len(texts), 500) for _, d, s in net.best(texts[at : at + 500], 1)]
         spans = [(d[s : s + WINDOW], i) for i, (d, ss) in enumerate(picks) for s in ss]
         spans += [(d[s : s + WINDOW], i) for i, (d, _) in enumerate(picks) if not labels[i] for s in [int(rng.integers(0, max(1, len(d) - WINDOW + 1)))]]
