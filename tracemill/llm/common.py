@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spilled(df: DataFrame) -> DataFrame:
+    """The same rows, written as Parquet in the shared folder and read back: for wide tables, which a checkpoint would keep uncompressed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tracemill-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def texts_of(column) -> list:
     """UTF-8 bytes of an Arrow string column; null counts as empty."""
     return [x or b"" for x in column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()]

@@ -4,8 +4,9 @@ A text is its lower-cased words joined by spaces and closed by a line feed. Each
 decisions; every context (the bytes before, up to DEPTH of them) has a Krichevsky-Trofimov estimator for
 each decision. A context's block probability is the even mixture of its own estimate and of the product
 of its children's, so the prediction mixes all depths by their posterior weights. Counts are of all
-training texts; contexts with fewer than one CONTEXTS-th of all bytes are counted together as the rest of
-the context above them, which bounds the tree by CONTEXTS nodes a depth whatever the corpus.
+training texts; of each length the CONTEXTS most frequent contexts that occur twice have nodes of their
+own and all others are counted together as the rest of the context above them, which bounds the tree
+whatever the corpus.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, texts_of
+from .common import LOWER, cut, spilled, texts_of
 
-DEPTH, CONTEXTS = 5, 8192
+DEPTH, CONTEXTS = 6, 16384
 #: Tokens with at least one HEAVY-th of all occurrences, of which there are HEAVY at most, are broadcast.
 HEAVY = 200_000
 #: Bytes that are counted at once.
@@ -72,74 +73,66 @@ class Tree:
     table: np.ndarray
 
     def nodes(self, stream: np.ndarray, depth: int) -> np.ndarray:
-        """The longest context of each position of a stream of bytes, position 0 having none before it."""
+        """The longest context of each place of a stream of bytes that begins with `depth` bytes of no text."""
+        one = self.child[0]
+        two = np.where(self.child[one] > 0, self.child[one], one[:, None]).astype(np.int32)  # by the last byte and that before
+        deep = (self.child > 0).any(axis=1)
         node = np.zeros(len(stream), np.int32)
-        live = np.arange(1, len(stream))
-        for d in range(1, depth + 1):
-            live = live[live >= d] if d > 1 else live
+        node[2:] = two[stream[1:-1], stream[:-2]]
+        whole = np.zeros(len(self.child), bool)
+        whole[self.child[one[one > 0]]] = True
+        whole[0] = False
+        live = np.flatnonzero((whole & deep)[node])
+        for d in range(3, depth + 1):
+            live = live[live >= d]
             to = self.child[node[live], stream[live - d]]
-            live = live[to > 0]
-            node[live] = to[to > 0]
+            found = to > 0
+            live, to = live[found], to[found]
+            node[live] = to
+            live = live[deep[to]]
         return node
 
 
-def contexts_tree(levels: list) -> tuple:
-    """The child table, each level's nodes and counts of (contexts, counts): contexts as arrays of bytes, oldest first."""
-    child, nodes, n = [np.zeros(256, np.int32)], [], 1
-    place = {b"": 0}
-    for contexts, _ in levels:
-        own = []
-        for c in map(bytes, contexts):
-            if c:
-                place[c] = n
-                child.append(np.zeros(256, np.int32))
-                child[place[c[1:]]][c[0]] = n
-                n += 1
-            own.append(place[c])
-        nodes.append(np.array(own, np.int64))
-    return np.stack(child), nodes
+def child_table(levels: list) -> tuple:
+    """Tree.child of levels (see weighted_tree), and for each level the places in the level before of the contexts one byte shorter."""
+    first = np.cumsum([0, *(len(c) for c, _ in levels)])
+    child = np.zeros((first[-1], 256), np.int32)
+    ups, place = [np.zeros(1, np.int64)], {b"": 0}
+    for d, (contexts, _) in enumerate(levels[1:], 1):
+        up = np.array([place[c[1:]] for c in contexts], np.int64)
+        child[first[d - 1] + up, [c[0] for c in contexts]] = first[d] + np.arange(len(contexts))
+        ups.append(up)
+        place = {c: i for i, c in enumerate(contexts)}
+    return child, ups
 
 
 def weighted_tree(levels: list) -> Tree:
-    """levels[d]: (contexts of d bytes, their counts of the next byte); the context above each must be in the level before."""
-    child, nodes = contexts_tree(levels)
-    n = len(child)
-    depth = len(levels)
-    block = np.zeros((n, 256))
-    own: dict = {}
-    sums = np.zeros((n, 256))  # of the children's block probabilities
-    held = np.zeros((n, 256))  # of the children's counts
-    inner = (child > 0).any(axis=1)
-    for d in range(depth - 1, -1, -1):
-        at, counts = nodes[d], levels[d][1].astype(np.float64)
+    """levels[d]: (contexts of d bytes as byte strings, oldest byte first, and their counts of the next byte). The context one byte shorter must be in the level before."""
+    child, ups = child_table(levels)
+    own, below = [], None
+    for d in range(len(levels) - 1, -1, -1):
+        counts = levels[d][1].astype(np.float64)
+        held, sums, inner = below or (np.zeros_like(counts), np.zeros_like(counts), np.zeros(len(counts), bool))
         z, o = decisions(counts)
-        rest_z, rest_o = decisions(np.maximum(counts - held[at], 0))
+        rz, ro = decisions(np.maximum(counts - held, 0))
         e = log_kt(z, o)
-        split = sums[at] + log_kt(rest_z, rest_o)
-        mixed = np.logaddexp(e, split) - math.log(2)
-        has = inner[at][:, None]
-        block[at] = np.where(has, mixed, e)
-        own[d] = ((o + 0.5) / (z + o + 1), (rest_o + 0.5) / (rest_z + rest_o + 1), np.where(has, np.exp(np.clip(e - np.logaddexp(e, split), -700, 0)), 1.0))
+        split = sums + log_kt(rz, ro)
+        both = np.logaddexp(e, split)
+        weight = np.where(inner[:, None], np.exp(np.clip(e - both, -700, 0)), 1.0)
+        own.append(((o + 0.5) / (z + o + 1), (ro + 0.5) / (rz + ro + 1), weight))
         if d:
-            above = np.zeros(n, np.int64)
-            up, byte = np.nonzero(child)
-            above[child[up, byte]] = up
-            np.add.at(sums, above[at], block[at])
-            np.add.at(held, above[at], counts)
-    path = []  # the (node, weight) mixtures from the root down, as one linear map of the deeper prediction
-    table = np.zeros((n, 256), np.float32)
-    base, share = np.zeros((n, 256)), np.ones((n, 256))
-    up, byte = np.nonzero(child)
-    above = np.zeros(n, np.int64)
-    above[child[up, byte]] = up
-    for d in range(depth):
-        at = nodes[d]
-        kt, rest, w = own[d]
-        b, s = (base[above[at]], share[above[at]]) if d else (np.zeros((len(at), 256)), np.ones((len(at), 256)))
-        base[at], share[at] = b + s * w * kt, s * (1 - w)
-        table[at] = byte_table(np.clip(base[at] + share[at] * rest, 1e-9, 1 - 1e-9))
-    del path
-    return Tree(child, table)
+            block = np.where(inner[:, None], both - math.log(2), e)
+            n = len(levels[d - 1][0])
+            below = np.zeros((n, 256)), np.zeros((n, 256)), np.zeros(n, bool)
+            np.add.at(below[0], ups[d], counts)
+            np.add.at(below[1], ups[d], block)
+            below[2][ups[d]] = True
+    table, base, share = [], np.zeros((1, 256)), np.ones((1, 256))
+    for d, (kt, rest, weight) in enumerate(reversed(own)):
+        base, share = base[ups[d]], share[ups[d]]
+        base, share = base + share * weight * kt, share * (1 - weight)
+        table.append(byte_table(np.clip(base + share * rest, 1e-9, 1 - 1e-9)))
+    return Tree(child, np.concatenate(table))
 
 
 def stream_of(texts: list) -> tuple:
@@ -165,3 +158,176 @@ def gram_keys(stream: np.ndarray) -> np.ndarray:
     for k in (1, 2, 3):
         out[k:] |= s[:-k] << np.uint32(8 * k)
     return out
+
+
+def as_long(column):
+    return pa.array(column.astype(np.int64))
+
+
+def token_hash(token: bytes) -> int:
+    """64 bits as a signed long; b"" stands for the end of a text."""
+    return xxhash.xxh64_intdigest(token, 7) - (1 << 63)
+
+
+def training(docs: DataFrame) -> DataFrame:
+    return docs.where("coalesce(held_out, false) = false").select("text")
+
+
+def first_counts(docs: DataFrame) -> DataFrame:
+    """(kind, key, n) over the training texts: tokens by hash (kind 0) and strings of four bytes (kind 1)."""
+
+    def run(batches):
+        tokens: Counter = Counter()
+
+        def flush():
+            keys = np.fromiter(map(token_hash, tokens), np.int64, len(tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int8)), pa.array(keys), pa.array(np.fromiter(tokens.values(), np.int64, len(tokens)))], names=["kind", "key", "n"])
+            tokens.clear()
+
+        for batch in batches:
+            texts, grams = texts_of(batch.column(0)), []
+            for at in range(0, len(texts), 1000):
+                for t in texts[at : at + 1000]:
+                    tokens.update(t.translate(LOWER).split())
+                tokens[b""] += len(texts[at : at + 1000])
+                stream, begins, ends = stream_of(texts[at : at + 1000])
+                grams.append(np.unique(gram_keys(stream)[inside(len(stream), begins, ends)], return_counts=True))
+                if len(tokens) > 1_000_000:
+                    yield from flush()
+            if grams:
+                keys, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([c for _, c in grams]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int8)), as_long(keys), as_long(n)], names=["kind", "key", "n"])
+        yield from flush()
+
+    return training(docs).mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+
+
+def deeper_counts(docs: DataFrame, tree, depth: int) -> DataFrame:
+    """(key, n) over the training texts: places whose longest context is tree's node key >> 8, of the tree's last level, and their byte."""
+
+    def run(batches):
+        t, first = tree.value
+        total = np.zeros((len(t.child) - first) * 256, np.int64)
+        for batch in batches:
+            texts = texts_of(batch.column(0))
+            for at in range(0, len(texts), 1000):
+                stream, begins, ends = stream_of(texts[at : at + 1000])
+                node = t.nodes(stream, depth)
+                at_ = np.flatnonzero((node >= first) & inside(len(stream), begins, ends))
+                total += np.bincount((node[at_].astype(np.int64) - first) * 256 + stream[at_], minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([as_long(some), as_long(total[some])], names=["key", "n"])
+
+    return training(docs).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def rows_of(contexts: np.ndarray, bytes_: np.ndarray, n: np.ndarray, length: int) -> tuple:
+    """Distinct contexts (as numbers) as byte strings, and their rows of 256 counts."""
+    own, at = np.unique(contexts, return_inverse=True)
+    counts = np.zeros((len(own), 256))
+    counts[at, bytes_] = n
+    return [int(c).to_bytes(length, "big") for c in own], counts
+
+
+def learn(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS):
+    """(tree, first counts as a table): the tree holds at most `contexts` contexts of each length, whatever the corpus."""
+    spark = docs.sparkSession
+    counts = cut(first_counts(docs))
+    grams = counts.where("kind = 1").select("key", "n")
+    total = grams.agg(F.sum("n")).first()[0] or 0
+    levels = []
+    for d in range(4):
+        own = grams.groupBy((F.col("key") % 256 ** (d + 1)).alias("key")).agg(F.sum("n").alias("n"))
+        if d:
+            kept = own.groupBy(F.floor(F.col("key") / 256).alias("context")).agg(F.sum("n").alias("m")).where("m > 1").orderBy(F.desc("m"), "context").limit(contexts).select("context")
+            own = own.join(kept, F.floor(F.col("key") / 256) == F.col("context")).select("key", "n")
+        got = own.toPandas()  # at most `contexts` times 256 rows
+        known = set(levels[-1][0]) if d else set()
+        own, counts_ = rows_of(got.key.values >> 8, got.key.values & 255, got.n.values, d)
+        some = [i for i, c in enumerate(own) if not d or c[1:] in known]  # of equal counts the limit may keep one without the context above it
+        levels.append(([own[i] for i in some], counts_[some]))
+    if not total:
+        levels = [([b""], np.zeros((1, 256)))]
+    for d in range(4, depth + 1):
+        above, last = levels[-1]
+        if not total or not len(above):
+            break
+        parents = set(above)
+        rows, bytes_ = np.nonzero(last > 1)
+        most = np.argsort(-last[rows, bytes_], kind="stable")[:contexts]
+        new = [c for c in (above[rows[i]] + bytes([bytes_[i]]) for i in most.tolist()) if c[1:] in parents]
+        if not new:
+            break
+        child = child_table([*levels, (new, None)])[0]
+        sent = spark.sparkContext.broadcast((Tree(child, np.zeros((0, 256))), len(child) - len(new)))
+        got = deeper_counts(docs, sent, d).toPandas()
+        own = np.zeros((len(new), 256))
+        own[got.key.values >> 8, got.key.values & 255] = got.n.values
+        levels.append((new, own))
+        sent.unpersist()
+    return weighted_tree(levels), counts.where("kind = 0").select("key", "n")
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, contexts: int = CONTEXTS, folds: int = 7, fold: int = 2) -> DataFrame:
+    """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte): one row per input row.
+
+    Texts whose crc32(id as text) mod folds is fold are held out of all counts; a null id is not held out
+    and has held_out null. Null texts count as empty: they are their end alone. score covers the text's
+    words in lower case, the spaces between them and its end. Repeated rows count and score as rows of
+    their own. An empty table gives none.
+    """
+    spark = docs.sparkSession
+    held = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
+    tree, tokens = learn(own, depth, contexts)
+    n, v = (x or 0 for x in tokens.agg(F.sum("n"), F.count("*")).first())
+    heavy = {r.key: r.n for r in tokens.where(F.col("n") >= max(2.0, n / HEAVY)).collect()}  # HEAVY rows at most
+    sent = spark.sparkContext.broadcast((tree, heavy))
+
+    def run(batches):
+        t, often = sent.value
+        logs = {k: math.log10(c + 1) for k, c in often.items()}
+        seen: dict = {}
+        for batch in batches:
+            texts = texts_of(batch.column(2))
+            for at in range(0, len(texts), 500):
+                some = texts[at : at + 500]
+                stream, begins, ends = stream_of(some)
+                values = t.table[t.nodes(stream, depth), stream].astype(np.float64)
+                upto = np.concatenate([[0.0], np.cumsum(np.where(inside(len(stream), begins, ends), values, 0.0))])
+                n_tokens, known, sums, rare = [], [], [], []
+                for text in some:
+                    words = Counter(text.translate(LOWER).split())
+                    words[b""] = 1
+                    k, s, other = 0, 0.0, []
+                    for w, c in words.items():
+                        h = seen.get(w)
+                        if h is None:
+                            h = token_hash(w)
+                            if h in logs:
+                                seen[w] = h
+                        if h in logs:
+                            k += c
+                            s += c * logs[h]
+                        else:
+                            other.append((h, c))
+                    n_tokens.append(sum(words.values()))
+                    known.append(k)
+                    sums.append(s)
+                    rare.append(other)
+                lens = np.cumsum([0, *map(len, rare)])
+                flat = np.array([x for o in rare for x in o], np.int64).reshape(-1, 2)
+                offsets = pa.array(lens, pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(flat[:, 0])), pa.ListArray.from_arrays(offsets, pa.array(flat[:, 1].astype(np.int32)))]
+                rows = batch.slice(at, 500)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(x, pa.int64()) for x in (n_tokens, known)), pa.array(sums, pa.float64()), pa.array(upto[ends] - upto[begins]), as_long(ends - begins), *lists], names=["doc_id", "held_out", "n_tokens", "known", "sums", "score", "n_bytes", "keys", "times"])
+
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, n_bytes long, keys array<long>, times array<int>"
+    rows = spilled(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
+    rare = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("z")).select("row", F.col("z.keys").alias("key"), F.col("z.times").alias("times"))
+    hit = rare.join(tokens, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("sum_more"))
+    known = F.col("known") + F.coalesce("more", F.lit(0).cast("long"))
+    base = F.col("sums") + F.coalesce("sum_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
+    out = rows.drop("keys", "times").join(hit, "row", "left")
+    return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"))
