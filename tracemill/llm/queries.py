@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, mixing, secrets, simhash, tokens, toxicity
+from . import ctw, decontaminate, mixing, secrets, simhash, suffixes, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffixes.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -47,5 +52,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw, op2_mixing, op3_simhash, op5_tokens, op6_decontaminate, op7_secrets, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_ctw, op2_mixing, op3_simhash, op4_suffixes, op5_tokens, op6_decontaminate, op7_secrets, op9_toxicity)}
 ORACLE_SQL: dict[str, str] = {}
