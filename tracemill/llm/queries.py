@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ctw, decontaminate, mixing, secrets, simhash, suffixes, tokens, toxicity
+from . import ctw, decontaminate, embeddings, html, mixing, secrets, simhash, suffixes, tokens, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,9 +48,17 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ctw, op2_mixing, op3_simhash, op4_suffixes, op5_tokens, op6_decontaminate, op7_secrets, op9_toxicity)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_texts(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ctw, op2_mixing, op3_simhash, op4_suffixes, op5_tokens, op6_decontaminate, op7_secrets, op8_embeddings, op9_toxicity, op10_html)}
 ORACLE_SQL: dict[str, str] = {}
