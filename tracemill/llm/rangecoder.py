@@ -23,7 +23,8 @@ LANES, PER_LANE = 4096, 64
 #: Steps between renewals of the cumulative frequencies.
 RENEW = 16
 U = np.uint64
-TOP, BOT = U(1 << 48), U(1 << 32)
+#: A lane's range is at least BOT before a step; both parts of a step leave it at least 2^10.
+TOP, BOT = U(1 << 48), U(1 << 40)
 SLOTS2 = 1 << 18
 
 
@@ -141,14 +142,13 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
         r = rng >> U(16)
         low += start.astype(np.uint64) * r
         rng[:] = size.astype(np.uint64) * r
-        settle(low, rng, shift)
         e = np.flatnonzero(choice == 2)
         if len(e):
             y = x[e]
             r = rng[e] // U(m.total)
-            l, g = low[e] + m.cum[y].astype(np.uint64) * r, m.f0[y].astype(np.uint64) * r
-            low[e], rng[e] = l, g
-            settle(low, rng, shift)
+            low[e] += m.cum[y].astype(np.uint64) * r
+            rng[e] = m.f0[y].astype(np.uint64) * r
+        settle(low, rng, shift)
         m.learn(x, choice)
     for _ in range(4):
         shift(np.arange(lanes))
@@ -189,7 +189,6 @@ def decode_block(data: bytes) -> np.ndarray:
         start, size = interval(choice, q2, q1)
         low += start.astype(np.uint64) * r
         rng[:] = size.astype(np.uint64) * r
-        settle(low, rng, shift)
         x = np.where(choice == 0, c2, c1)
         e = np.flatnonzero(choice == 2)
         if len(e):
@@ -197,9 +196,9 @@ def decode_block(data: bytes) -> np.ndarray:
             v = np.minimum((code[e] - low[e]) // r, U(m.total - 1)).astype(np.int32)
             y = np.searchsorted(m.cum, v, side="right") - 1
             x[e] = y
-            l, g = low[e] + m.cum[y].astype(np.uint64) * r, m.f0[y].astype(np.uint64) * r
-            low[e], rng[e] = l, g
-            settle(low, rng, shift)
+            low[e] += m.cum[y].astype(np.uint64) * r
+            rng[e] = m.f0[y].astype(np.uint64) * r
+        settle(low, rng, shift)
         out[:, t] = x
         m.learn(x, choice)
     ids = out.ravel()[:n]

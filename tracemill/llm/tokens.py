@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import zlib
+from array import array
 from uuid import uuid4
 
 import numpy as np
@@ -24,69 +26,96 @@ END = 2
 _tokenizers: dict = {}
 
 
+def byte_letters() -> dict:
+    """The letters that byte-level vocabularies write bytes as: printable ones themselves, the others in order from U+0100."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class Encoder:
     """Encodes texts with a byte-level BPE of the tokenizers library, a piece at a time, and remembers pieces.
 
     The vocabulary's pattern never matches across the step from a character that is no white space to
     one that is, so a text split at such single spaces encodes as its pieces do. Other texts, with two
-    white-space characters in a row at a split, are encoded whole.
+    white-space characters in a row at a split, are encoded whole. A new piece is split by the pattern
+    and each part goes to the library's model; other kinds of tokenizers encode it with all their steps.
     """
 
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
     def __init__(self, path: str):
+        import regex
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocab = self.tok.get_vocab_size()
         self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
-        self.tab = (self.tok.encode("\t", add_special_tokens=False).ids or [-1])[0]
+        form = json.loads(self.tok.to_str())
+        pre = form["pre_tokenizer"] or {}
+        self.by_parts = form["model"]["type"] == "BPE" and not form["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space")
+        self.parts = regex.compile(self.PATTERN).findall
+        self.letters = byte_letters()
+        self.space = chr(self.letters[32])
+        self.code = "H" if self.kind is np.uint16 else "I"
         self.cache: dict = {}
-        self.batch = getattr(self.tok, "encode_batch_fast", self.tok.encode_batch)
-
-    def pack(self, texts: list) -> list:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.batch(texts, add_special_tokens=False)]
-
-    def pieces(self, some: list) -> list:
-        """The ids of pieces, encoded as one text: a tab between two pieces is always a token of its own."""
-        ids = np.frombuffer(self.pack(["\t".join(some)])[0], self.kind)
-        ends = np.flatnonzero(ids == self.tab)
-        if len(ends) != len(some) - 1:  # a vocabulary in which it is not
-            return self.pack(some)
-        raw, size = ids.tobytes(), ids.itemsize
-        begins, ends = [0, *((ends + 1) * size).tolist()], [*(ends * size).tolist(), len(raw)]
-        return [raw[b:e] for b, e in zip(begins, ends, strict=True)]
+        self.ends: dict = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def part(self, part: str) -> bytes:
+        """The ids of a part as the pattern splits it."""
+        if part.isascii() and part[1:].isalnum():
+            part = self.space + part[1:] if part[0] == " " else part
+        else:
+            part = part.encode().decode("latin-1").translate(self.letters)
+        return array(self.code, [t.id for t in self.tok.model.tokenize(part)]).tobytes()
+
+    def piece(self, piece: str) -> bytes | None:
+        """The ids of a piece with the space before it, or None if it does not stand alone."""
+        if not piece or piece[0].isspace() or piece[-1].isspace():
+            return None
+        if not self.by_parts:
+            return self.whole(" " + piece)
+        if piece.isalpha():
+            return self.part(" " + piece)
+        if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
+            out = self.cache.get(piece[:-1])
+            if out is None:
+                out = self.cache[piece[:-1]] = self.part(" " + piece[:-1])
+            end = self.ends.get(piece[-1])
+            if end is None:
+                end = self.ends[piece[-1]] = self.part(piece[-1])
+            return out + end
+        return b"".join(map(self.part, self.parts(" " + piece)))
 
     def encode(self, texts: list) -> list:
         """The ids of each text, as arrays."""
         if len(self.cache) > CACHE:
             self.cache.clear()
-        cache = self.cache
-        new = set()
-        for text in texts:
-            pieces = text.split(" ")
-            pieces[0] = "\0" + pieces[0]  # has no space before it
-            new.update(p for p in set(pieces) if p not in cache)
-        new = list(new)
-        plain = [p for p in new if self.splits(p)]
-        cache.update(dict.fromkeys(new))
-        for at in range(0, len(plain), 4096):
-            some = plain[at : at + 4096]
-            cache.update(zip(some, self.pieces([p[1:] if p[0] == "\0" else " " + p for p in some]), strict=True))
-        out = []
+        cache, out = self.cache, []
         for text in texts:
-            pieces = text.split(" ")
-            pieces[0] = "\0" + pieces[0]
-            try:
-                out.append(b"".join(map(cache.__getitem__, pieces)))
-            except TypeError:  # a piece that does not stand alone
-                out.append(self.pack([text])[0])
+            first, *pieces = text.split(" ")
+            got = [*map(cache.get, pieces)]
+            alone = not first or not first[-1].isspace()
+            if alone and None in got:
+                for i, x in enumerate(got):
+                    if x is None:
+                        x = cache.get(pieces[i])
+                        if x is None:
+                            x = self.piece(pieces[i])
+                            if x is None:
+                                alone = False
+                                break
+                            cache[pieces[i]] = x
+                        got[i] = x
+            if alone and (first or not pieces):
+                out.append(self.whole(first) + b"".join(got))
+            else:
+                out.append(self.whole(text))
         return [np.frombuffer(x, self.kind) for x in out]
 
-    @staticmethod
-    def splits(piece: str) -> bool:
-        at = piece[:1] == "\0"
-        return len(piece) > at and "\t" not in piece and not piece[at].isspace() and not piece[-1].isspace() and "\0" not in piece[at:]
-
 
 def encoder(path: str) -> Encoder:
     if path not in _tokenizers:
