@@ -83,7 +83,7 @@ def in_main(path: tuple) -> bool:
 
 
 def template(pages: list) -> set:
-    """Tokens of the valid equivalence classes of pages, each a list of tokens."""
+    """Tokens of the valid equivalence classes of pages, each a list of tokens. One page alone has no template text."""
     where = [defaultdict(list) for _ in pages]
     for held, page in zip(where, pages, strict=True):
         for i, t in enumerate(page):
@@ -112,7 +112,7 @@ def template(pages: list) -> set:
         if all(nests(spans, other[k]) for other in kept if k in other):
             kept.append({k: spans})
             out.update(own)
-    return out
+    return out if len(pages) > 1 else {t for t in out if t[0] != "text"}
 
 
 def ordered(places: list) -> bool:
