@@ -71,8 +71,8 @@ def test_ctw(docs, data, none):
 def test_ctw_is_a_probability():
     rng = np.random.default_rng(1)
     root = (rng.random(256) * 50).astype(int).astype(float)
-    one = np.stack([root, root])
-    tree = ctw.weighted_tree([([b""], root[None]), ([b"a", b"b"], one)])
+    byte = np.arange(256)
+    tree = ctw.weighted_tree([ctw.Level([b""], np.zeros(256, int), byte, root), ctw.Level([b"a", b"b"], np.repeat([0, 1], 256), np.tile(byte, 2), np.tile(root, 2) // 3)])
     assert np.allclose((10.0 ** tree.table.astype(float)).sum(axis=1), 1, atol=1e-4)
 
 
@@ -82,7 +82,7 @@ def test_ctw_matches_sequential_mixture():
     counts[0, 65], counts[0, 66] = 6, 2
     below = np.zeros((1, 256))
     below[0, 65] = 4
-    tree = ctw.weighted_tree([([b""], counts), ([b"z"], below)])
+    tree = ctw.weighted_tree([ctw.Level([b""], np.zeros(2, int), np.array([65, 66]), np.array([6.0, 2.0])), ctw.Level([b"z"], np.zeros(1, int), np.array([65]), np.array([4.0]))])
     z, o = ctw.decisions(counts)
     zb, ob = ctw.decisions(below)
     rz, ro = ctw.decisions(counts - below)

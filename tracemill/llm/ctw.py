@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, cut, spilled, texts_of
 
-DEPTH, CONTEXTS = 6, 16384
+DEPTH, CONTEXTS = 6, 8192
 #: Tokens with at least one HEAVY-th of all occurrences, of which there are HEAVY at most, are broadcast.
 HEAVY = 200_000
 #: Bytes that are counted at once.
@@ -67,19 +67,24 @@ def byte_table(ones: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Tree:
-    """child[node, byte]: the context one byte longer to the left, or 0. table: log10 probability of the next byte by the longest context."""
+    """child[node, byte]: the context one byte longer to the left, or 0, of all but the longest contexts. table: log10 probability of the next byte by the longest context. n: how many contexts there are."""
 
     child: np.ndarray
     table: np.ndarray
+    n: int
 
     def nodes(self, stream: np.ndarray, depth: int) -> np.ndarray:
         """The longest context of each place of a stream of bytes that begins with `depth` bytes of no text."""
         one = self.child[0]
-        two = np.where(self.child[one] > 0, self.child[one], one[:, None]).astype(np.int32)  # by the last byte and that before
+        if len(self.child) > one.max():  # else no context is longer than a byte
+            two = np.where(self.child[one] > 0, self.child[one], one[:, None]).astype(np.int32)  # by the last byte and that before
+        else:
+            two = np.repeat(one[:, None], 256, axis=1)
         deep = (self.child > 0).any(axis=1)
         node = np.zeros(len(stream), np.int32)
         node[2:] = two[stream[1:-1], stream[:-2]]
-        whole = np.zeros(len(self.child), bool)
+        deep = np.append(deep, np.zeros(self.n - len(deep), bool))
+        whole = np.zeros(self.n, bool)  # contexts of two bytes
         whole[self.child[one[one > 0]]] = True
         whole[0] = False
         live = np.flatnonzero((whole & deep)[node])
@@ -93,46 +98,72 @@ class Tree:
         return node
 
 
+@dataclass
+class Level:
+    """Contexts of one length as byte strings, oldest byte first, and their counts: n of byte at the place of a context."""
+
+    contexts: list
+    place: np.ndarray
+    byte: np.ndarray
+    n: np.ndarray
+
+    def dense(self) -> np.ndarray:
+        out = np.zeros((len(self.contexts), 256))
+        out[self.place, self.byte] = self.n
+        return out
+
+
 def child_table(levels: list) -> tuple:
-    """Tree.child of levels (see weighted_tree), and for each level the places in the level before of the contexts one byte shorter."""
-    first = np.cumsum([0, *(len(c) for c, _ in levels)])
-    child = np.zeros((first[-1], 256), np.int32)
+    """Tree.child of the contexts of levels (lists of byte strings), and for each level the places in the level before of the contexts one byte shorter."""
+    first = np.cumsum([0, *map(len, levels)])
+    child = np.zeros((max(1, first[-2]), 256), np.int32)
     ups, place = [np.zeros(1, np.int64)], {b"": 0}
-    for d, (contexts, _) in enumerate(levels[1:], 1):
+    for d, contexts in enumerate(levels[1:], 1):
         up = np.array([place[c[1:]] for c in contexts], np.int64)
         child[first[d - 1] + up, [c[0] for c in contexts]] = first[d] + np.arange(len(contexts))
         ups.append(up)
         place = {c: i for i, c in enumerate(contexts)}
-    return child, ups
+    return child, ups, int(first[-1])
 
 
 def weighted_tree(levels: list) -> Tree:
-    """levels[d]: (contexts of d bytes as byte strings, oldest byte first, and their counts of the next byte). The context one byte shorter must be in the level before."""
-    child, ups = child_table(levels)
-    own, below = [], None
+    """The tree of Levels of the lengths 0, 1, ...; the context one byte shorter must be in the level before. Dense arrays are of one level at a time."""
+    child, ups, n = child_table([x.contexts for x in levels])
+
+    def estimates(d):
+        """The decisions of a level's counts and of those that no child has."""
+        counts, held = levels[d].dense(), np.zeros((len(levels[d].contexts), 256))
+        if d + 1 < len(levels):
+            below = levels[d + 1]
+            np.add.at(held, (ups[d + 1][below.place], below.byte), below.n)
+        return decisions(counts), decisions(np.maximum(counts - held, 0))
+
+    weights, sums = [], None
     for d in range(len(levels) - 1, -1, -1):
-        counts = levels[d][1].astype(np.float64)
-        held, sums, inner = below or (np.zeros_like(counts), np.zeros_like(counts), np.zeros(len(counts), bool))
-        z, o = decisions(counts)
-        rz, ro = decisions(np.maximum(counts - held, 0))
+        (z, o), (rz, ro) = estimates(d)
         e = log_kt(z, o)
-        split = sums + log_kt(rz, ro)
+        inner = np.zeros(len(e), bool)
+        if sums is not None:
+            inner[ups[d + 1]] = True
+        split = log_kt(rz, ro) + (sums if sums is not None else 0)
         both = np.logaddexp(e, split)
-        weight = np.where(inner[:, None], np.exp(np.clip(e - both, -700, 0)), 1.0)
-        own.append(((o + 0.5) / (z + o + 1), (ro + 0.5) / (rz + ro + 1), weight))
+        weights.append(np.where(inner[:, None], np.exp(np.clip(e - both, -700, 0)), 1.0).astype(np.float32))
         if d:
             block = np.where(inner[:, None], both - math.log(2), e)
-            n = len(levels[d - 1][0])
-            below = np.zeros((n, 256)), np.zeros((n, 256)), np.zeros(n, bool)
-            np.add.at(below[0], ups[d], counts)
-            np.add.at(below[1], ups[d], block)
-            below[2][ups[d]] = True
-    table, base, share = [], np.zeros((1, 256)), np.ones((1, 256))
-    for d, (kt, rest, weight) in enumerate(reversed(own)):
+            sums = np.zeros((len(levels[d - 1].contexts), 256))
+            np.add.at(sums, ups[d], block)
+            del block
+        del z, o, rz, ro, e, split, both
+    table, base, share = np.zeros((n, 256), np.float32), np.zeros((1, 256)), np.ones((1, 256))
+    at = 0
+    for d, w in enumerate(reversed(weights)):
+        (z, o), (rz, ro) = estimates(d)
         base, share = base[ups[d]], share[ups[d]]
-        base, share = base + share * weight * kt, share * (1 - weight)
-        table.append(byte_table(np.clip(base + share * rest, 1e-9, 1 - 1e-9)))
-    return Tree(child, np.concatenate(table))
+        base += share * w * ((o + 0.5) / (z + o + 1))
+        share *= 1 - w
+        table[at : at + len(w)] = byte_table(np.clip(base + share * ((ro + 0.5) / (rz + ro + 1)), 1e-9, 1 - 1e-9))
+        at += len(w)
+    return Tree(child, table, n)
 
 
 def stream_of(texts: list) -> tuple:
@@ -208,7 +239,7 @@ def deeper_counts(docs: DataFrame, tree, depth: int) -> DataFrame:
 
     def run(batches):
         t, first = tree.value
-        total = np.zeros((len(t.child) - first) * 256, np.int64)
+        total = np.zeros((t.n - first) * 256, np.int64)
         for batch in batches:
             texts = texts_of(batch.column(0))
             for at in range(0, len(texts), 1000):
@@ -222,50 +253,51 @@ def deeper_counts(docs: DataFrame, tree, depth: int) -> DataFrame:
     return training(docs).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def rows_of(contexts: np.ndarray, bytes_: np.ndarray, n: np.ndarray, length: int) -> tuple:
-    """Distinct contexts (as numbers) as byte strings, and their rows of 256 counts."""
-    own, at = np.unique(contexts, return_inverse=True)
-    counts = np.zeros((len(own), 256))
-    counts[at, bytes_] = n
-    return [int(c).to_bytes(length, "big") for c in own], counts
+def level_of(key: np.ndarray, n: np.ndarray, length: int) -> Level:
+    """A level of counts by key: the context's bytes as a number, then the byte."""
+    own, at = np.unique(key >> 8, return_inverse=True)
+    return Level([int(c).to_bytes(length, "big") for c in own], at, key & 255, n.astype(np.float64))
+
+
+def columns_of(df: DataFrame) -> list:
+    """A bounded table's columns as arrays on the driver."""
+    got = df.toArrow()
+    return [c.to_numpy() for c in got.columns]
 
 
 def learn(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS):
-    """(tree, first counts as a table): the tree holds at most `contexts` contexts of each length, whatever the corpus."""
+    """(tree, token counts): the tree holds at most `contexts` contexts of each length, whatever the corpus."""
     spark = docs.sparkSession
     counts = cut(first_counts(docs))
     grams = counts.where("kind = 1").select("key", "n")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    levels = []
-    for d in range(4):
+    if not grams.take(1):
+        return weighted_tree([Level([b""], np.zeros(0, int), np.zeros(0, int), np.zeros(0))]), counts.select("key", "n")
+    levels: list = []
+    for d in range(min(depth, 3) + 1):
         own = grams.groupBy((F.col("key") % 256 ** (d + 1)).alias("key")).agg(F.sum("n").alias("n"))
         if d:
             kept = own.groupBy(F.floor(F.col("key") / 256).alias("context")).agg(F.sum("n").alias("m")).where("m > 1").orderBy(F.desc("m"), "context").limit(contexts).select("context")
             own = own.join(kept, F.floor(F.col("key") / 256) == F.col("context")).select("key", "n")
-        got = own.toPandas()  # at most `contexts` times 256 rows
-        known = set(levels[-1][0]) if d else set()
-        own, counts_ = rows_of(got.key.values >> 8, got.key.values & 255, got.n.values, d)
-        some = [i for i, c in enumerate(own) if not d or c[1:] in known]  # of equal counts the limit may keep one without the context above it
-        levels.append(([own[i] for i in some], counts_[some]))
-    if not total:
-        levels = [([b""], np.zeros((1, 256)))]
-    for d in range(4, depth + 1):
-        above, last = levels[-1]
-        if not total or not len(above):
+        key, n = columns_of(own)  # at most `contexts` times 256 rows
+        if d:  # of equal counts the limit may keep a context without the one above it
+            known = np.array(sorted(int.from_bytes(c, "big") for c in levels[-1].contexts), np.int64)
+            some = np.isin((key >> 8) % 256 ** (d - 1), known)
+            key, n = key[some], n[some]
+        if not len(key):
             break
-        parents = set(above)
-        rows, bytes_ = np.nonzero(last > 1)
-        most = np.argsort(-last[rows, bytes_], kind="stable")[:contexts]
-        new = [c for c in (above[rows[i]] + bytes([bytes_[i]]) for i in most.tolist()) if c[1:] in parents]
-        if not new:
+        levels.append(level_of(key, n, d))
+    for d in range(len(levels), depth + 1):
+        last, parents = levels[-1], set(levels[-1].contexts)
+        most = np.flatnonzero(last.n > 1)
+        most = most[np.argsort(-last.n[most], kind="stable")][:contexts]
+        new = [c for c in (last.contexts[i] + bytes([b]) for i, b in zip(last.place[most].tolist(), last.byte[most].tolist(), strict=True)) if c[1:] in parents]
+        if d < 4 or not new:
             break
-        child = child_table([*levels, (new, None)])[0]
-        sent = spark.sparkContext.broadcast((Tree(child, np.zeros((0, 256))), len(child) - len(new)))
-        got = deeper_counts(docs, sent, d).toPandas()
-        own = np.zeros((len(new), 256))
-        own[got.key.values >> 8, got.key.values & 255] = got.n.values
-        levels.append((new, own))
+        child, _, n = child_table([*(x.contexts for x in levels), new])
+        sent = spark.sparkContext.broadcast((Tree(child, np.zeros((0, 256)), n), n - len(new)))
+        key, k = columns_of(deeper_counts(docs, sent, d))
         sent.unpersist()
+        levels.append(Level(new, key >> 8, key & 255, k.astype(np.float64)))
     return weighted_tree(levels), counts.where("kind = 0").select("key", "n")
 
 
@@ -282,7 +314,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     tree, tokens = learn(own, depth, contexts)
     n, v = (x or 0 for x in tokens.agg(F.sum("n"), F.count("*")).first())
-    heavy = {r.key: r.n for r in tokens.where(F.col("n") >= max(2.0, n / HEAVY)).collect()}  # HEAVY rows at most
+    heavy = dict(zip(*(c.tolist() for c in columns_of(tokens.where(F.col("n") >= max(2.0, n / HEAVY)))), strict=True))  # HEAVY rows at most
     sent = spark.sparkContext.broadcast((tree, heavy))
 
     def run(batches):
