@@ -162,3 +162,18 @@ def test_heap_queries(spark):
     assert rows(s.query("objects[className != null] | groupBy(class, sum(shallow))")) == [("a/B", 40.0)]
     assert s.query("duplicates(depth=1) | count()").first()[0] == 1
     assert s.query("clusters | count()").first()[0] >= 1
+
+
+def test_waste_and_caches(spark):
+    objects = spark.createDataFrame([(1, 1, 64, None, None, {"size": 3, "accessOrder": 1}), (2, 2, 8, 1024, None, None), (3, 3, 16, None, None, None), (4, 4, 16, None, None, {"head": 6, "tail": 2}), (5, 2, 8, 8, None, None)], "id long, class_id long, shallow long, array_length int, string_value string, fields map<string,bigint>")
+    edges = spark.createDataFrame([(1, 2, "table", 0, True), (3, 1, "map", 0, True), (4, 5, "elements", 0, True)], "src long, dst long, field string, ord int, strong boolean")
+    classes = spark.createDataFrame([(1, "java/util/LinkedHashMap", None, 8, False), (2, "[Ljava/util/Node;", None, 8, True), (3, "java/util/HashSet", None, 8, False), (4, "java/util/ArrayDeque", None, 8, False)], "class_id long, name string, super_id long, instance_size int, is_array boolean")
+    s = Session(spark).add_heap(heaps.Heap(objects, edges, classes, spark.createDataFrame([("STICKY_CLASS", 3), ("JAVA_FRAME", 4)], "type string, object_id long")))
+    got = {r.id: (r.capacity, r.size, r.wastedBytes, r.wasteType) for r in s.query("objects | waste").collect()}
+    assert got[1] == got[3] == (1024, 3, 8168, "overCapacity") and got[4] == (8, 4, 32, "overCapacity") and got[2] == (None, None, None, None)
+    c = {r.id: r for r in s.query("objects | cacheStats").collect()}
+    assert (c[1].entryCount, c[1].maxSize, c[1].costPerEntry, c[1].isLruMode) == (3, 1024, 24, True)
+    ages = {r.id: (r.estimatedAge, r.ageBucket) for r in s.query("ages").collect()}
+    assert ages[3] == (40, "medium") and ages[1] == (41, "medium") and ages[4] == (10, "ephemeral")
+    assert [r.path for r in heaps.all_paths(s.heap, 2).collect()] == [[3, 1, 2]]
+    assert {(r.id, r.idom) for r in heaps.hybrid_dominators(s.heap, 1, ("java.util.Linked*",)).select("id", "idom").collect()} >= {(3, 0), (1, 3)}

@@ -121,6 +121,9 @@ def test_recording(spark, tmp_path):
     assert s.query("chunks | count()").first()[0] == 2 and recordings.chunk_summary(s).first().totalChunks == 2
     assert s.query("metadata/my.Event | select(fieldCount)").first()[0] == 4
     assert s.query("cp/java.lang.Thread | count()").first()[0] == 2
+    x = recordings.crossref(s, "java.lang.Thread")
+    assert x["totals"].first().asDict() == {"cpTotal": 2, "referenced": 2, "unused": 0, "usedPercent": 100.0, "unusedPercent": 0.0}
+    assert tuple(x["events"].first()) == ("my.Event", 2, 6)
     with pytest.raises(ValueError, match="gzip"):
         recordings.Chunk(b"\x1f\x8b" + bytes(80), 0)
 

@@ -19,7 +19,7 @@ PATTERN_CHARS = "*?"
 
 @dataclass
 class Heap:
-    """objects(id, class_id, shallow, array_length, string_value), edges(src, dst, field, ord, strong), classes(class_id, name, super_id, instance_size, is_array), gcroots(type, object_id)."""
+    """objects(id, class_id, shallow, array_length, string_value[, fields map<string, long> of primitive fields]), edges(src, dst, field, ord, strong), classes(class_id, name, super_id, instance_size, is_array), gcroots(type, object_id)."""
 
     objects: DataFrame
     edges: DataFrame
@@ -197,17 +197,19 @@ def approximate_retained(heap: Heap) -> DataFrame:
 # derived roots
 def ages(heap: Heap, objects: DataFrame) -> DataFrame:
     """Objects with an estimated age: by the kind of their root, how many refer to them and how near a root they are."""
-    #: Points by the type of the root.
-    points = {"STICKY_CLASS": 30, "JNI_GLOBAL": 30, "THREAD_OBJ": 25, "JAVA_FRAME": 5, "JNI_LOCAL": 5, "NATIVE_STACK": 5, "UNKNOWN": 0}
+    #: Points by the type of the root; others and none have 10.
+    points = {"STICKY_CLASS": 30, "JNI_GLOBAL": 25, "THREAD_OBJ": 5, "JAVA_FRAME": 0, "JNI_LOCAL": 0}
     kinds = heap.gcroots.groupBy(F.col("object_id").alias("root")).agg(F.min("type").alias("kind"))
-    inbound = heap.edges.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("inbound"))
+    inbound = heap.edges.where("dst IS NOT NULL").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("inbound"))
     d = depths(heap).join(kinds, "root", "left").select("id", "depth", "kind")
     o = objects.join(inbound, "id", "left").join(d, "id", "left")
-    kind = F.coalesce("kind", F.lit("UNKNOWN"))
-    point = F.coalesce(F.create_map(*(F.lit(x) for kv in points.items() for x in kv))[kind], F.lit(10))
-    age = point + F.least(F.lit(25), 2 * F.coalesce("inbound", F.lit(0))) + F.greatest(F.lit(0), 10 - F.coalesce("depth", F.lit(0)))
-    o = o.withColumn("estimatedAge", age.cast("long"))
-    return o.withColumn("ageBucket", F.when(F.col("estimatedAge") <= 25, "ephemeral").when(F.col("estimatedAge") <= 50, "medium").when(F.col("estimatedAge") <= 75, "tenured").otherwise("permanent")).drop("inbound", "depth", "kind")
+    kind, refs, depth = F.coalesce("kind", F.lit("UNKNOWN")), F.coalesce("inbound", F.lit(0)), F.coalesce("depth", F.lit(0))
+    point = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in points.items() for x in kv)), kind), F.lit(10))
+    by_refs, by_depth = F.least(F.lit(25), 2 * refs), F.greatest(F.lit(0), 10 - depth)
+    age = F.least(F.lit(100), point + by_refs + by_depth).cast("long")
+    bucket = F.when(age <= 25, "ephemeral").when(age <= 50, "medium").when(age <= 75, "tenured").otherwise("permanent")
+    signals = F.format_string("root:%s:+%d,refs:%d:+%d,depth:%d:+%d", kind, point, refs, by_refs, depth, by_depth)
+    return o.withColumns({"estimatedAge": age, "ageBucket": bucket, "ageSignals": signals}).drop("inbound", "depth", "kind")
 
 
 def clusters(heap: Heap, rounds: int = 20) -> DataFrame:
@@ -383,10 +385,13 @@ def operators(session) -> dict:
     def waste(rows, op):
         return rows.keep(collection_waste(heap, rows.df))
 
+    def cache(rows, op):
+        return rows.keep(cache_stats(heap, rows.df))
+
     def leaks(rows, op):
         return rows.to(check_leaks(heap, plain(op, "detector", "help", 0), op, plain), (), sorted=False)
 
-    return {"pathToRoot": path_to_root, "retentionPaths": retention_paths, "dominators": dominator_rows, "retainedBreakdown": breakdown, "threadOwner": thread_owner, "dominatedSize": dominated, "whatif": what_if, "objects": members, "join": diff, "waste": waste, "checkLeaks": leaks, "estimateAge": lambda rows, op: rows.keep(ages(heap, rows.df))}
+    return {"pathToRoot": path_to_root, "retentionPaths": retention_paths, "dominators": dominator_rows, "retainedBreakdown": breakdown, "threadOwner": thread_owner, "dominatedSize": dominated, "whatif": what_if, "objects": members, "join": diff, "waste": waste, "cacheStats": cache, "checkLeaks": leaks, "estimateAge": lambda rows, op: rows.keep(ages(heap, rows.df))}
 
 
 def normal_class(c):
@@ -395,13 +400,90 @@ def normal_class(c):
     return F.when(s.rlike(r"^\[L.*;$"), F.concat(F.regexp_extract(s, r"^\[L(.*);$", 1), F.lit("[]"))).otherwise(s)
 
 
-def collection_waste(heap: Heap, df: DataFrame) -> DataFrame:
-    """capacity, size, loadFactor and wastedBytes of array-backed collections: size is the number of references out of the table."""
-    tables = heap.edges.where(F.col("field").isin("table", "elementData", "elements")).select(F.col("src").alias("id"), F.col("dst").alias("_t"), "field")
-    sizes = heap.objects.select(F.col("id").alias("_t"), F.col("array_length").cast("long").alias("capacity"))
-    used = heap.edges.where("dst IS NOT NULL").groupBy(F.col("src").alias("_t")).agg(F.count("*").alias("size"))
-    t = tables.join(sizes, "_t").join(used, "_t", "left").withColumn("size", F.coalesce("size", F.lit(0).cast("long"))).groupBy("id").agg(F.max("capacity").alias("capacity"), F.max("size").alias("size"))
-    return df.join(t, "id", "left").withColumns({"loadFactor": F.when(F.col("capacity") > 0, F.col("size") / F.col("capacity")), "wastedBytes": F.greatest(F.col("capacity") - F.col("size"), F.lit(0)) * 4, "wasteType": F.when(F.col("size") == 0, "empty").when(F.col("size") < F.col("capacity"), "oversized").when(F.col("capacity").isNotNull(), "none")})
+def field_of(heap: Heap, name: str):
+    """A primitive field of objects, null where it is not known."""
+    return F.try_element_at("fields", F.lit(name)) if "fields" in heap.objects.columns else F.lit(None).cast("long")
+
+
+def tables_of(heap: Heap) -> DataFrame:
+    """(id, capacity, used): the length of an object's backing array, and how many references leave the array."""
+    backing = heap.edges.where(F.col("field").isin("table", "elementData", "elements")).select(F.col("src").alias("id"), F.col("dst").alias("_t"))
+    lengths = heap.objects.where("array_length IS NOT NULL").select(F.col("id").alias("_t"), F.col("array_length").cast("long").alias("capacity"))
+    used = heap.edges.where("dst IS NOT NULL").groupBy(F.col("src").alias("_t")).agg(F.count("*").alias("used"))
+    return backing.join(lengths, "_t").join(used, "_t", "left").groupBy("id").agg(F.max("capacity").alias("capacity"), F.max(F.coalesce("used", F.lit(0).cast("long"))).alias("used"))
+
+
+#: Collections with a backing array, and sets that hold a map.
+BACKED = ("java.util.HashMap", "java.util.LinkedHashMap", "java.util.ArrayList", "java.util.concurrent.ConcurrentHashMap", "java.util.ArrayDeque")
+SETS = ("java.util.HashSet", "java.util.LinkedHashSet")
+
+
+def sized(heap: Heap) -> DataFrame:
+    """(id, capacity, size) of objects with a backing array. Sizes are the objects' own fields where known, else counted references."""
+    cells = heap.edges.where("field = 'counterCells'").select(F.col("src").alias("id"), F.col("dst").alias("src")).join(heap.edges.select("src", F.col("dst").alias("cell")), "src")
+    more = cells.join(heap.objects.select(F.col("id").alias("cell"), field_of(heap, "value").alias("v")), "cell").groupBy("id").agg(F.sum("v").alias("cells"))
+    o = heap.objects.select("id", field_of(heap, "size").alias("own"), field_of(heap, "baseCount").alias("base"), field_of(heap, "head").alias("head"), field_of(heap, "tail").alias("tail"))
+    t = o.join(tables_of(heap), "id", "left").join(more, "id", "left").where("capacity IS NOT NULL OR own IS NOT NULL OR base IS NOT NULL")
+    ring = F.when((F.col("capacity") > 0) & F.col("head").isNotNull(), F.pmod(F.col("tail") - F.col("head"), F.col("capacity")))
+    size = F.coalesce("own", F.when(F.col("base").isNotNull(), F.greatest(F.col("base") + F.coalesce("cells", F.lit(0)), F.lit(0))), ring, "used", F.lit(0).cast("long"))
+    return t.select("id", F.coalesce("capacity", F.lit(0).cast("long")).alias("capacity"), size.alias("size"))
+
+
+def collection_waste(heap: Heap, df: DataFrame, ref_size: int = 8) -> DataFrame:
+    """capacity, size, loadFactor, wastedBytes and wasteType of array-backed collections; null for other objects."""
+    own = sized(heap)
+    inner = heap.edges.where("field = 'map'").select(F.col("src").alias("id"), F.col("dst").alias("m")).join(own.withColumnRenamed("id", "m"), "m").select("id", F.col("capacity").alias("i_capacity"), F.col("size").alias("i_size"))
+    name = F.translate("className", "/", ".")
+    d = df.join(own, "id", "left").join(inner, "id", "left")
+    pick = lambda a, b: F.when(name.isin(*BACKED), F.col(a)).when(name.isin(*SETS), F.col(b))
+    d = d.withColumns({"capacity": pick("capacity", "i_capacity"), "size": pick("size", "i_size")}).drop("i_capacity", "i_size")
+    wasted = (F.col("capacity") - F.col("size")) * ref_size
+    kind = F.when(F.col("size") == 0, "emptyDefault").when(wasted > 0, "overCapacity").when(F.col("capacity").isNotNull(), "normal")
+    return d.withColumns({"loadFactor": F.when(F.col("capacity") > 0, F.col("size") / F.col("capacity")).when(F.col("capacity").isNotNull(), 0.0), "wastedBytes": wasted, "wasteType": kind})
+
+
+def cache_stats(heap: Heap, df: DataFrame) -> DataFrame:
+    """entryCount, maxSize (-1 without a table), fillRatio, costPerEntry and isLruMode of objects with a size or a table."""
+    tables = tables_of(heap).select("id", "capacity", "used")
+    o = heap.objects.select("id", field_of(heap, "size").alias("_s"), field_of(heap, "accessOrder").alias("_lru")).join(tables, "id", "left").where("_s IS NOT NULL OR capacity IS NOT NULL")
+    n = F.coalesce("_s", "used", F.lit(0).cast("long"))
+    o = o.select("id", n.alias("entryCount"), F.coalesce("capacity", F.lit(-1).cast("long")).alias("maxSize"), "_lru")
+    sizes = retained_sizes(heap).withColumnRenamed("retainedSize", "_r")
+    d = df.join(o, "id", "left").join(sizes, "id", "left")
+    out = {"fillRatio": F.when(F.col("maxSize") > 0, F.col("entryCount") / F.col("maxSize")).when(F.col("maxSize").isNotNull(), 0.0), "costPerEntry": F.when(F.col("entryCount") > 0, F.expr("_r div entryCount")).when(F.col("entryCount").isNotNull(), 0)}
+    lru = (F.translate("className", "/", ".") == "java.util.LinkedHashMap") & (F.coalesce("_lru", F.lit(0)) != 0)
+    return d.withColumns(out | {"isLruMode": F.when(F.col("maxSize").isNotNull(), lru)}).drop("_lru", "_r")
+
+
+#: Classes that leak often.
+LEAK_PRONE = ("java.lang.ThreadLocal", "java.lang.ThreadLocal$ThreadLocalMap", "java.lang.ThreadLocal$ThreadLocalMap$Entry", "java.lang.ClassLoader", "java.net.URLClassLoader", "java.util.concurrent.ConcurrentHashMap", "java.util.HashMap", "java.util.WeakHashMap", "java.lang.ref.WeakReference", "java.lang.ref.SoftReference")
+
+
+def hybrid_dominators(heap: Heap, top_n: int = 100, patterns: tuple = (), least: int = 1 << 20) -> DataFrame:
+    """dominators() of the part of the graph that leads to interesting objects: the top_n by approximate retained size, large ones of leak-prone classes, and those whose class matches a glob."""
+    o = object_rows(heap).join(approximate_retained(heap), "id").withColumn("class", F.translate("className", "/", "."))
+    wanted = o.orderBy(F.desc("retainedSize"), "id").limit(top_n).select("id").union(o.where(F.col("class").isin(*LEAK_PRONE) & (F.col("retainedSize") > least)).select("id"))
+    for p in patterns:
+        wanted = wanted.union(o.where(C.full_match(F.col("class"), C.glob_pattern(p.replace("/", ".")))).select("id"))
+    part = front = cut(wanted.distinct())
+    while front.take(1):
+        front = cut(heap.strong.join(front.withColumnRenamed("id", "dst"), "dst").select(F.col("src").alias("id")).distinct().join(part, "id", "left_anti"))
+        part = cut(part.union(front))
+    ends = part.withColumnRenamed("id", "dst")
+    edges = heap.edges.join(part.withColumnRenamed("id", "src"), "src", "left_semi").join(ends, "dst", "left_semi")
+    return dominators(Heap(heap.objects.join(part, "id", "left_semi"), edges, heap.classes, heap.gcroots))
+
+
+def all_paths(heap: Heap, target: int, max_depth: int = 10) -> DataFrame:
+    """(path) of each simple path of at most max_depth steps from a root to an object, as an array of ids."""
+    level = heap.gcroots.select(F.array("object_id").alias("path")).where("path[0] IS NOT NULL").distinct()
+    found = level.where(F.element_at("path", -1) == target)
+    for _ in range(max_depth):
+        level = cut(level.where(F.element_at("path", -1) != target).withColumn("src", F.element_at("path", -1)).join(heap.strong.distinct(), "src").where(~F.array_contains("path", F.col("dst"))).select(F.concat("path", F.array("dst")).alias("path")))
+        found = found.union(level.where(F.element_at("path", -1) == target))
+        if not level.take(1):
+            break
+    return found
 
 
 LEAKS = ("duplicate-strings", "growing-collections", "threadlocal-leak", "classloader-leak", "listener-leak", "finalizer-queue")

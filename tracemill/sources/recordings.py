@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import struct
+from collections import Counter
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -193,7 +194,7 @@ class Chunk:
         return [self.resolved(x, depth) for x in v] if isinstance(v, list) else v
 
     def events(self):
-        """(class name, values, place) of each event."""
+        """(class name, values, place, references (pool class, key)) of each event."""
         at, end = self.at + HEADER.size, self.at + self.size
         while at < end:
             r = self.reader(at)
@@ -202,7 +203,9 @@ class Chunk:
                 break
             kind = r.integer(64)
             if kind > 1 and kind in self.classes:
-                yield self.classes[kind].name, self.resolved({f.name: self.field(r, f) for f in self.classes[kind].fields}), at
+                raw = {f.name: self.field(r, f) for f in self.classes[kind].fields}
+                direct = [x[1:] for v in raw.values() for x in (v if isinstance(v, list) else [v]) if isinstance(x, tuple)]
+                yield self.classes[kind].name, self.resolved(raw), at, direct
             at += size
 
     def schema(self, name: str, depth: int = 0) -> T.StructType:
@@ -242,11 +245,14 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
                         out.append(("class", k.name, n, json.dumps({"id": k.id, "name": k.name, "superType": k.above, "classAnnotations": k.annotations, "settings": k.settings, "fields": sorted(fields), "fieldsByName": fields, "fieldCount": len(fields), "schema": c.schema(k.name).json() if k.above == "jdk.jfr.Event" else None})))
                     for kind, pool in c.pools.items():
                         out += [("constant", c.classes[kind].name if kind in c.classes else str(kind), n, json.dumps({"id": key, "value": json.dumps(c.resolved(v), default=str)})) for key, v in pool.items()]
-                    for name, values, at in c.events():
+                    references: Counter = Counter()
+                    for name, values, at, direct in c.events():
+                        references.update((name, k, key) for k, key in direct)
                         out.append(("event", name, (n << 40) | (at - c.at), json.dumps(values)))
                         if len(out) >= 20_000:
                             yield pd.DataFrame(out, columns=["kind", "type", "ord", "payload"])
                             out = []
+                    out += [("reference", name, n, json.dumps({"pool": c.classes[k].name if k in c.classes else str(k), "id": key, "n": times})) for (name, k, key), times in references.items()]
                     yield pd.DataFrame(out, columns=["kind", "type", "ord", "payload"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ROWS)
@@ -269,10 +275,22 @@ def open_recording(spark: SparkSession, path: str, out: str) -> Session:
         session.add_events(r.name, events)
     session.tables["metadata"] = meta.drop("schema")
     session.tables["chunks"] = of("chunk").select(F.from_json("payload", CHUNK).alias("c")).select("c.*")
-    session.tables["cp"] = of("constant").select("type", F.from_json("payload", "id long, value string").alias("c")).select("type", "c.*")
+    session.tables["references"] = of("reference").select(F.col("type").alias("eventType"), F.col("ord").alias("chunk"), F.from_json("payload", "pool string, id long, n long").alias("r")).select("eventType", "chunk", "r.*")
+    session.tables["cp"] = of("constant").select("type", F.col("ord").alias("chunk"), F.from_json("payload", "id long, value string").alias("c")).select("type", "chunk", "c.*")
     return session
 
 
 def chunk_summary(session: Session) -> DataFrame:
     c = session.tables["chunks"]
     return c.agg(F.count("*").alias("totalChunks"), F.sum("size").alias("totalSize"), F.expr("sum(size) div count(*)").alias("avgSize"), F.min("size").alias("minSize"), F.max("size").alias("maxSize"), F.sum(F.col("compressed").cast("int")).alias("compressedCount"))
+
+
+def crossref(session: Session, pool: str) -> dict:
+    """How many entries of a constant pool events refer to, and by event type: events' references and distinct entries."""
+    entries = session.tables["cp"].where(F.col("type") == pool).select("chunk", "id").distinct()
+    refs = session.tables["references"].where(F.col("pool") == pool)
+    used = entries.join(refs.select("chunk", "id").distinct(), ["chunk", "id"], "left_semi")
+    total = entries.agg(F.count("*").alias("cpTotal")).crossJoin(used.agg(F.count("*").alias("referenced")))  # one row each
+    share = lambda c: F.when(F.col("cpTotal") > 0, F.round(100.0 * c / F.col("cpTotal"), 1)).otherwise(0.0)
+    unused = F.col("cpTotal") - F.col("referenced")
+    return {"totals": total.select("cpTotal", "referenced", unused.alias("unused"), share(F.col("referenced")).alias("usedPercent"), share(unused).alias("unusedPercent")), "events": refs.groupBy("eventType").agg(F.countDistinct("chunk", "id").alias("unique"), F.sum("n").alias("directRefs")).orderBy(F.desc("directRefs"), "eventType")}
