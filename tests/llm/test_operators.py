@@ -147,7 +147,32 @@ def test_simhash(docs, data, none):
     assert Counter((r["doc_id"], r["component_id"]) for r in got) == Counter((i, least[comp[p]]) for i, p in prints)
     assert simhash.near_duplicates(none).count() == 0
     kept = simhash.kept_documents(docs)
-    assert kept.columns == docs.columns and kept.where("doc_id IS NOT NULL").count() == len({x for x in least.values() if x is not None})
+    assert kept.columns == docs.columns
+    own = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert {0, 3, 4, 5, 7, 10, None} <= own and own.isdisjoint({1, 2, 6, 11})
+
+
+def test_similar_documents(spark):
+    rng = np.random.default_rng(8)
+    base = [[f"w{x}" for x in rng.integers(0, 5000, 300)] for _ in range(6)]
+    texts = []
+    for b in base:
+        texts.append(" ".join(b))
+        for k in range(10):  # each change takes five of 296 shingles
+            c = list(b)
+            for at in rng.choice(300, 3, replace=False):
+                c[at] = f"new{k}"
+            texts.append(" ".join(c))
+    texts += [texts[0], None, "", "a b"]
+    df = table(spark, texts, DOCUMENTS)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df.select("doc_id", "text")).collect()}
+    groups = [{got[11 * g + k] for k in range(11)} for g in range(6)]
+    assert all(len(g) <= 2 for g in groups) and sum(len(g) for g in groups) <= 8 and got[66] == got[0]
+    assert len(set().union(*groups)) == sum(map(len, groups)) and got[67] == got[68] == 67 and got[69] == 69
+    rows_ = [(i, int(p) if p < 1 << 63 else int(p) - (1 << 64), bytes(s)) for i, (p, s) in enumerate(zip(*simhash.sketches([(t or "").encode() for t in texts]), strict=True))]
+    links = spark.createDataFrame(rows_, "node long, fingerprint long, sketch binary")
+    found = [brute_components(range(len(texts)), [(r.a, r.b) for r in simhash.similar_links(links, 0.8, bucket).collect()]) for bucket in (4096, 5)]
+    assert found[0] == found[1]
 
 
 def test_simhash_links_of_random_fingerprints(spark):

@@ -184,12 +184,195 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     return prints.join(named, "fingerprint", "left").select(F.col("doc_id").alias(id_col), "fingerprint", "component_id")
 
 
-def kept_documents(docs: DataFrame, width: int = 3, radius: int = 3) -> DataFrame:
-    """`docs` with one row of each component: that with its least doc_id, of equal rows one.
+#: Similarity search: tables of KEY_BITS sampled fingerprint bits, the greatest Hamming distance that is looked at, and bins of a sketch.
+TABLES, KEY_BITS, FAR, BINS = 28, 16, 16, 64
+#: A standard error of a sketch's estimate at a similarity of 0.8: estimates that far below the bound still count.
+MARGIN = 0.05
+#: Members of a bucket that are compared by shifts; larger buckets by bucket_links' table.
+SMALL = 128
+
+
+def sketches(texts: list, width: int = 5) -> tuple:
+    """(fingerprints of 3-word shingles, sketches): a sketch has in each bin a byte of the least hash of the text's `width`-word shingles there, 0 for none.
+
+    The share of equal bins estimates the Jaccard similarity of two texts' sets of shingles.
+    """
+    prints, out = text_fingerprints(texts, 3), np.zeros((len(texts), BINS), np.uint8)
+    c = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x7F4A7C15 for k in range(width)], np.uint64)
+    for i, text in enumerate(texts):
+        words = text.translate(LOWER).split()
+        if not words:
+            continue
+        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+        n = len(h) - width + 1
+        m = sum(h[k : k + n] * c[k] for k in range(width)) if n > 0 else np.array([(h * c[: len(h)]).sum()], np.uint64)
+        m ^= m >> np.uint64(31)
+        m *= np.uint64(0xBF58476D1CE4E5B9)
+        m = np.sort(m ^ (m >> np.uint64(29)))  # the highest bits are the bin, so each bin's least comes first
+        bins, first = np.unique((m >> np.uint64(58)).astype(np.int64), return_index=True)
+        out[i, bins] = 1 + (m[first] >> np.uint64(20)) % np.uint64(255)
+    return prints, out
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
+    """Which rows of two arrays of sketches agree in at least that share of the bins that either has."""
+    some = (a > 0) | (b > 0)
+    return ((a == b) & some).sum(axis=1) >= least * some.sum(axis=1)
+
+
+def table_masks(tables: int = TABLES, bits: int = KEY_BITS) -> np.ndarray:
+    """The sampled bits of each table, as masks."""
+    rng = np.random.default_rng(17)
+    return np.array([sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)], np.uint64)
+
+
+def bucket_pairs(keys: np.ndarray, prints: np.ndarray, held: np.ndarray, least: float):
+    """Pairs of places in sorted keys that are of one bucket, whose fingerprints are near and whose sketches agree: shift by shift."""
+    live, shift = np.arange(len(keys)), 1
+    while True:
+        live = live[live + shift < len(keys)]
+        live = live[keys[live] == keys[live + shift]]
+        if not len(live):
+            return
+        near = live[np.bitwise_count(prints[live] ^ prints[live + shift]) <= FAR]
+        for at in range(0, len(near), 1 << 16):
+            some = near[at : at + (1 << 16)]
+            hit = some[alike(held[some], held[some + shift], least)]
+            yield hit, hit + shift
+        shift += 1
+
+
+def wide_pairs(prints: np.ndarray, held: np.ndarray, least: float, chunk: int = 256):
+    """As bucket_pairs(), of one large bucket: the pivot table discards pairs block by block."""
+    pivots = np.random.default_rng(64).integers(0, 2**64, N_PIVOTS, dtype=np.uint64)
+    table = np.stack([np.bitwise_count(prints ^ p).astype(np.int16) for p in pivots])
+    order = np.argsort(table[0], kind="stable")
+    x, table = prints[order], table[:, order]
+    for at in range(0, len(x), chunk):
+        end = min(at + chunk, len(x))
+        stop = np.searchsorted(table[0], table[0, end - 1] + FAR, side="right")
+        far = np.zeros((end - at, stop - at), bool)
+        for p in (1, 2):
+            far |= np.abs(table[p, at:end, None] - table[p, None, at:stop]) > FAR
+        i, j = np.nonzero(~far)
+        i, j = i[j > i] + at, j[j > i] + at
+        near = np.bitwise_count(x[i] ^ x[j]) <= FAR
+        i, j = order[i[near]], order[j[near]]
+        for k in range(0, len(i), 1 << 16):
+            a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
+            ok = alike(held[a], held[b], least)
+            yield a[ok], b[ok]
+
+
+def similar_links(rows: DataFrame, least: float, bucket: int = BUCKET) -> DataFrame:
+    """Links (a, b) between nodes of rows (node, fingerprint, sketch) that span the groups of similar ones.
+
+    Rows meet in a table if its sampled fingerprint bits agree; with the fixed parameters two texts whose
+    fingerprints differ in 8 of 64 bits meet with a probability of 94 %. A bucket emits a spanning forest.
+    Buckets of more than `bucket` rows are split into pairs of chunks, so none is gathered in one task.
+    """
+    masks = table_masks()
+    base = rows.select("node", "fingerprint", "sketch")
+
+    def keys_of(x):
+        return np.stack([((x & m) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(8)) ^ np.uint64(t << 57) for t, m in enumerate(masks)])
+
+    def spread(batches):
+        for batch in batches:
+            x = batch.column(1).to_numpy().view(np.uint64)
+            keys, n = keys_of(x), len(x)
+            at = pa.array(np.tile(np.arange(n), len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(batch.column(i).take(at) for i in range(3))], names=["key", "node", "fingerprint", "sketch"])
+
+    def only_keys(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(keys_of(batch.column(0).to_numpy().view(np.uint64)).ravel().view(np.int64))], names=["key"])
+
+    hot = cut(base.select("fingerprint").mapInArrow(only_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).withColumn("chunks", F.ceil(F.col("n") / bucket).cast("int")).select("key", "chunks"))
+    each = base.mapInArrow(spread, "key long, node long, fingerprint long, sketch binary")
+    each = each.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "key", "left")
+    own = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    tasks = each.withColumn("own", own).select(F.explode(pairs).alias("p"), "key", "node", "fingerprint", "sketch")
+    tasks = tasks.select(F.when(F.col("p.j") > 0, F.xxhash64("key", "p.i", "p.j")).otherwise(F.col("key")).alias("key"), "node", "fingerprint", "sketch")
+    tasks = tasks.repartition("key").sortWithinPartitions("key")
+
+    def link(batches):
+        held: list = []
+        size = 0
+        a, b = [], []
+
+        def close(keep_last: bool):
+            nonlocal held, size
+            key, node, x = (np.concatenate([h[i] for h in held]) for i in range(3))
+            s = np.concatenate([h[3] for h in held])
+            end = np.searchsorted(key, key[-1]) if keep_last else len(key)  # the last bucket may go on
+            ends = np.append(np.flatnonzero(key[1:end] != key[: end - 1]) + 1, end) if end else np.zeros(0, int)
+            starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
+            large = ends - starts > SMALL
+            inside = np.zeros(end + 1, np.int64)
+            np.add.at(inside, starts[large], 1)
+            np.add.at(inside, ends[large], -1)
+            small = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
+            for i, j in bucket_pairs(key[small], x[small], s[small], least_):
+                a.append(node[small[i]])
+                b.append(node[small[j]])
+            for p, q in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
+                root = np.arange(q - p)
+                for i, j in wide_pairs(x[p:q], s[p:q], least_):
+                    root = local_roots(q - p, i, j, root)
+                own = np.flatnonzero(root != np.arange(q - p))
+                a.append(node[p + own])
+                b.append(node[p + root[own]])
+            held, size = ([(key[end:], node[end:], x[end:], s[end:])] if keep_last else []), len(key) - end
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), sketch))
+            size += batch.num_rows
+            if size >= 100_000:
+                close(True)
+        if held and size:
+            close(False)
+        if not a:
+            return
+        x, y = np.concatenate(a), np.concatenate(b)
+        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+        root = local_roots(len(nodes), at[: len(x)], at[len(x) :])
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], names=["a", "b"])
+
+    least_ = least - MARGIN
+    return tasks.mapInArrow(link, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) of docs with a doc_id: groups by estimated similarity of their five-word shingles.
+
+    Texts with equal fingerprint and sketch are one node, so copies are not compared with each other.
+    Texts without words are alike. A similarity is estimated by BINS bins; pairs at or over `least` less MARGIN link.
+    """
+
+    def run(batches):
+        for batch in batches:
+            prints, s = sketches(texts_of(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array([x.tobytes() for x in s], pa.binary())], names=["doc_id", "fingerprint", "sketch"])
+
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
+    each = cut(own.mapInArrow(run, "doc_id long, fingerprint long, sketch binary"))
+    nodes = cut(each.groupBy("fingerprint", "sketch").agg(F.min("doc_id").alias("node")))
+    comp = components(similar_links(nodes, least)).withColumnRenamed("node", "linked")
+    named = nodes.join(comp, nodes.node == F.col("linked"), "left").select("fingerprint", "sketch", F.coalesce("component", "node").alias("component_id"))
+    return each.join(named, ["fingerprint", "sketch"]).select("doc_id", "component_id")
+
+
+def kept_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
+    """`docs` with one row of each group of similar_documents(): that with its least doc_id, of equal rows one.
 
     Rows with a null doc_id stay: no decision can name them.
     """
-    near = near_duplicates(docs, width, radius)
-    keep = near.where("doc_id = component_id").select("doc_id").distinct()
+    keep = similar_documents(docs, least).where("doc_id = component_id").select("doc_id").distinct()
     one = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id IS NULL"))
