@@ -155,7 +155,7 @@ def test_analyses(spark):
     del f
     s = Session(spark)
     s.add_events("jdk.ExecutionSample", spark.createDataFrame([(i, "STATE_RUNNABLE" if i % 4 else "BLOCKED", (f"t{i % 2}",), stack(("A", "leaf"), ("B", "root"))) for i in range(40)], kind))
-    s.add_events("jdk.JavaExceptionThrow", spark.createDataFrame([(1, None, ("t",), stack(("java.lang.Throwable", "<init>"), ("x.MyException", "<init>"), ("A", "go")))] * 3, kind))
+    s.add_events("jdk.JavaExceptionThrow", spark.createDataFrame([(1, None, ("t",), stack(("java.lang.Throwable", "fillInStackTrace"), ("java.lang.Throwable", "<init>"), ("x.MyException", "<init>"), ("A", "go")))] * 3, kind))
     s.add_events("jdk.CPULoad", spark.createDataFrame([(0.5,), (0.95,)], "machineTotal double"))
     assert analyses.hot_methods(s).first().method == "A.leaf:1"
     assert analyses.flamegraph(s, "jdk.ExecutionSample").first().stack == "B.root:1;A.leaf:1"

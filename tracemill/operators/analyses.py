@@ -98,7 +98,8 @@ def exceptions(session, event_type: str | None = None, min_count: int = 1, limit
     d = df.select(f.alias("f"), column(df, "thrownClass/name", "thrownClass").alias("thrown"))
     d = d.withColumn("made", F.try_element_at(F.filter("f", thrown), F.lit(-1)))
     kind = F.coalesce(F.regexp_extract("made", r"^(.*)\.<init>", 1), F.col("thrown"))
-    site = F.try_element_at(F.filter("f", lambda x: ~ctor(x)), F.lit(1))
+    after = F.when(F.col("made").isNull(), F.col("f")).otherwise(F.slice("f", F.size("f") - F.array_position(F.reverse("f"), F.col("made")).cast("int") + 2, F.size("f")))
+    site = F.try_element_at(F.filter(after, lambda x: ~ctor(x)), F.lit(1))
     d = d.select(F.translate(kind, "/", ".").alias("type"), site.alias("site")).where("type IS NOT NULL AND type <> ''")
     pairs = d.groupBy("type", "site").agg(F.count("*").alias("k"))
     types = pairs.groupBy("type").agg(F.sum("k").alias("count"), F.max_by("site", F.struct(F.when(F.col("site").isNotNull(), F.col("k")).otherwise(-1), "site")).alias("topThrowSite"))
@@ -107,12 +108,6 @@ def exceptions(session, event_type: str | None = None, min_count: int = 1, limit
     return {"types": types.orderBy(F.desc("count"), "type").limit(limit), "sites": sites.orderBy(F.desc("count"), "site").limit(20)}
 
 
-def by_index(values: Column, q: float) -> Column:
-    """The value at place floor(n * q) of the sorted values: this report's own percentile."""
-    s = F.array_sort(values)
-    return F.get(s, F.least(F.floor(F.size(s) * q), F.size(s) - 1).cast("int"))
-
-
 def use(session, start: int | None = None, end: int | None = None) -> dict:
     """Utilisation, saturation and errors of CPU, memory, threads and I/O."""
     out = {}
