@@ -26,8 +26,8 @@ from .common import LOWER, cut, spilled, texts_of
 DEPTH, CONTEXTS = 6, 8192
 #: Tokens with at least one HEAVY-th of all occurrences, of which there are HEAVY at most, are broadcast.
 HEAVY = 200_000
-#: Bytes that are counted at once.
-CHUNK = 1 << 22
+#: Texts that are walked at once.
+TEXTS = 100
 END = b"\n"
 
 
@@ -73,22 +73,41 @@ class Tree:
     table: np.ndarray
     n: int
 
+    def __getstate__(self):
+        return self.child, self.table, self.n
+
+    def __setstate__(self, state):
+        self.child, self.table, self.n = state
+
+    def starts(self) -> tuple:
+        """For three bytes, the last highest, the longest context of at most three; and which contexts have longer ones. Made once a process."""
+        if not hasattr(self, "_starts"):
+            level = np.where(self.child[0] > 0, self.child[0], 0).astype(np.int32)
+            for _ in (2, 3):
+                inner = level < len(self.child)
+                longer = self.child[np.where(inner, level, 0)]
+                longer[~inner | (level == 0)] = 0
+                level = np.where(longer > 0, longer, level[:, None]).ravel()
+            deep = np.zeros(self.n, bool)
+            deep[: len(self.child)] = (self.child > 0).any(axis=1)
+            three = np.zeros(self.n, bool)
+            ends = self.child[0][self.child[0] > 0]
+            for _ in (2, 3):
+                ends = ends[ends < len(self.child)]
+                ends = self.child[ends]
+                ends = ends[ends > 0]
+            three[ends] = True
+            self._starts = level, three & deep, deep
+        return self._starts
+
     def nodes(self, stream: np.ndarray, depth: int) -> np.ndarray:
         """The longest context of each place of a stream of bytes that begins with `depth` bytes of no text."""
-        one = self.child[0]
-        if len(self.child) > one.max():  # else no context is longer than a byte
-            two = np.where(self.child[one] > 0, self.child[one], one[:, None]).astype(np.int32)  # by the last byte and that before
-        else:
-            two = np.repeat(one[:, None], 256, axis=1)
-        deep = (self.child > 0).any(axis=1)
+        level, more, deep = self.starts()
+        s = stream.astype(np.int32)
         node = np.zeros(len(stream), np.int32)
-        node[2:] = two[stream[1:-1], stream[:-2]]
-        deep = np.append(deep, np.zeros(self.n - len(deep), bool))
-        whole = np.zeros(self.n, bool)  # contexts of two bytes
-        whole[self.child[one[one > 0]]] = True
-        whole[0] = False
-        live = np.flatnonzero((whole & deep)[node])
-        for d in range(3, depth + 1):
+        node[3:] = level[(s[2:-1] << 16) | (s[1:-2] << 8) | s[:-3]]
+        live = np.flatnonzero(more[node])
+        for d in range(4, depth + 1):
             live = live[live >= d]
             to = self.child[node[live], stream[live - d]]
             found = to > 0
@@ -241,12 +260,17 @@ def deeper_counts(docs: DataFrame, tree, depth: int) -> DataFrame:
         t, first = tree.value
         total = np.zeros((t.n - first) * 256, np.int64)
         for batch in batches:
-            texts = texts_of(batch.column(0))
-            for at in range(0, len(texts), 1000):
-                stream, begins, ends = stream_of(texts[at : at + 1000])
+            texts, found = texts_of(batch.column(0)), []
+            for at in range(0, len(texts), TEXTS):
+                stream, begins, ends = stream_of(texts[at : at + TEXTS])
                 node = t.nodes(stream, depth)
                 at_ = np.flatnonzero((node >= first) & inside(len(stream), begins, ends))
-                total += np.bincount((node[at_].astype(np.int64) - first) * 256 + stream[at_], minlength=len(total))
+                found.append((node[at_] - first) * 256 + stream[at_])
+                if sum(map(len, found)) > len(total):
+                    total += np.bincount(np.concatenate(found), minlength=len(total))
+                    found = []
+            if found:
+                total += np.bincount(np.concatenate(found), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([as_long(some), as_long(total[some])], names=["key", "n"])
 
@@ -323,8 +347,8 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
         seen: dict = {}
         for batch in batches:
             texts = texts_of(batch.column(2))
-            for at in range(0, len(texts), 500):
-                some = texts[at : at + 500]
+            for at in range(0, len(texts), TEXTS):
+                some = texts[at : at + TEXTS]
                 stream, begins, ends = stream_of(some)
                 values = t.table[t.nodes(stream, depth), stream].astype(np.float64)
                 upto = np.concatenate([[0.0], np.cumsum(np.where(inside(len(stream), begins, ends), values, 0.0))])
@@ -352,7 +376,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
                 flat = np.array([x for o in rare for x in o], np.int64).reshape(-1, 2)
                 offsets = pa.array(lens, pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(flat[:, 0])), pa.ListArray.from_arrays(offsets, pa.array(flat[:, 1].astype(np.int32)))]
-                rows = batch.slice(at, 500)
+                rows = batch.slice(at, TEXTS)
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(x, pa.int64()) for x in (n_tokens, known)), pa.array(sums, pa.float64()), pa.array(upto[ends] - upto[begins]), as_long(ends - begins), *lists], names=["doc_id", "held_out", "n_tokens", "known", "sums", "score", "n_bytes", "keys", "times"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, n_bytes long, keys array<long>, times array<int>"
