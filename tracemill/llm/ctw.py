@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -214,9 +215,9 @@ def as_long(column):
     return pa.array(column.astype(np.int64))
 
 
-def token_hash(token: bytes) -> int:
-    """64 bits as a signed long; b"" stands for the end of a text."""
-    return xxhash.xxh64_intdigest(token, 7) - (1 << 63)
+def token_hashes(tokens: list) -> np.ndarray:
+    """64 bits of each token as a signed long; b"" stands for the end of a text."""
+    return (np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(7)), np.uint64, len(tokens)) ^ np.uint64(1 << 63)).view(np.int64)
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -230,7 +231,7 @@ def first_counts(docs: DataFrame) -> DataFrame:
         tokens: Counter = Counter()
 
         def flush():
-            keys = np.fromiter(map(token_hash, tokens), np.int64, len(tokens))
+            keys = token_hashes(list(tokens))
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int8)), pa.array(keys), pa.array(np.fromiter(tokens.values(), np.int64, len(tokens)))], names=["kind", "key", "n"])
             tokens.clear()
 
@@ -338,13 +339,12 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
     tree, tokens = learn(own, depth, contexts)
     n, v = (x or 0 for x in tokens.agg(F.sum("n"), F.count("*")).first())
-    heavy = dict(zip(*(c.tolist() for c in columns_of(tokens.where(F.col("n") >= max(2.0, n / HEAVY)))), strict=True))  # HEAVY rows at most
-    sent = spark.sparkContext.broadcast((tree, heavy))
+    key, count = columns_of(tokens.where(F.col("n") >= max(2.0, n / HEAVY)).orderBy("key"))  # HEAVY rows at most
+    key, count = (key, count) if len(key) else (np.zeros(1, np.int64), np.full(1, -1))
+    sent = spark.sparkContext.broadcast((tree, key, np.where(count > 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)))
 
     def run(batches):
-        t, often = sent.value
-        logs = {k: math.log10(c + 1) for k, c in often.items()}
-        seen: dict = {}
+        t, often, logs = sent.value
         for batch in batches:
             texts = texts_of(batch.column(2))
             for at in range(0, len(texts), TEXTS):
@@ -352,32 +352,20 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dept
                 stream, begins, ends = stream_of(some)
                 values = t.table[t.nodes(stream, depth), stream].astype(np.float64)
                 upto = np.concatenate([[0.0], np.cumsum(np.where(inside(len(stream), begins, ends), values, 0.0))])
-                n_tokens, known, sums, rare = [], [], [], []
-                for text in some:
-                    words = Counter(text.translate(LOWER).split())
-                    words[b""] = 1
-                    k, s, other = 0, 0.0, []
-                    for w, c in words.items():
-                        h = seen.get(w)
-                        if h is None:
-                            h = token_hash(w)
-                            if h in logs:
-                                seen[w] = h
-                        if h in logs:
-                            k += c
-                            s += c * logs[h]
-                        else:
-                            other.append((h, c))
-                    n_tokens.append(sum(words.values()))
-                    known.append(k)
-                    sums.append(s)
-                    rare.append(other)
-                lens = np.cumsum([0, *map(len, rare)])
-                flat = np.array([x for o in rare for x in o], np.int64).reshape(-1, 2)
-                offsets = pa.array(lens, pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(flat[:, 0])), pa.ListArray.from_arrays(offsets, pa.array(flat[:, 1].astype(np.int32)))]
+                bags = [Counter(x.translate(LOWER).split()) for x in some]
+                for bag in bags:
+                    bag[b""] = 1
+                owner = np.repeat(np.arange(len(some)), [len(bag) for bag in bags])
+                times = np.fromiter((n for bag in bags for n in bag.values()), np.int64, len(owner))
+                keys = token_hashes([w for bag in bags for w in bag])
+                place = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+                hit = often[place] == keys
+                total = lambda x: np.bincount(owner, x, len(some))  # noqa: B023, E731
+                rare = ~hit
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[rare], minlength=len(some)))]), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(keys[rare])), pa.ListArray.from_arrays(offsets, pa.array(times[rare].astype(np.int32)))]
                 rows = batch.slice(at, TEXTS)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(x, pa.int64()) for x in (n_tokens, known)), pa.array(sums, pa.float64()), pa.array(upto[ends] - upto[begins]), as_long(ends - begins), *lists], names=["doc_id", "held_out", "n_tokens", "known", "sums", "score", "n_bytes", "keys", "times"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), as_long(total(times)), as_long(total(times * hit)), pa.array(total(times * hit * logs[place])), pa.array(upto[ends] - upto[begins]), as_long(ends - begins), *lists], names=["doc_id", "held_out", "n_tokens", "known", "sums", "score", "n_bytes", "keys", "times"])
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, n_bytes long, keys array<long>, times array<int>"
     rows = spilled(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
