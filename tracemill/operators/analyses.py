@@ -22,7 +22,7 @@ STATE_WORDS = (("WAITING", ("park", "wait", "sleep", "await")), ("IO", ("read",
 
 def first_present(session, names: tuple) -> str | None:
     """The first of the event types that has events."""
-    return next((n for n in names if n in session.events and session.events[n].take(1)), None)
+    return next((n for n in names if n in session.events and session.event_type(n).take(1)), None)
 
 
 def column(df: DataFrame, *paths: str) -> Column:

@@ -43,6 +43,8 @@ class Session:
 
     def event_type(self, name: str) -> DataFrame:
         if name in self.events:
+            if callable(self.events[name]):  # opened when first asked for
+                self.events[name] = self.events[name]()
             return self.events[name]
         near = sorted((n for n in self.events if n.lower().startswith(name.lower())), key=len) or sorted((n for n in self.events if distance(n.lower(), name.lower()) <= 3), key=lambda n: distance(n.lower(), name.lower()))
         raise QueryError(f"no event type {name}" + (f"; did you mean {near[0]}?" if near else ""))
@@ -59,7 +61,7 @@ class Session:
         """(type, count) of all event types, each counted on its own scan."""
         if not self.events:
             return self.spark.createDataFrame([], "type string, count long")
-        parts = [df.agg(F.count("*").alias("count")).select(F.lit(n).alias("type"), "count") for n, df in sorted(self.events.items())]
+        parts = [self.event_type(n).agg(F.count("*").alias("count")).select(F.lit(n).alias("type"), "count") for n in sorted(self.events)]
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -91,6 +93,7 @@ class Session:
         if query.root == "samples":
             if self.samples is None:
                 raise QueryError("no samples are open")
+            self.samples = self.samples() if callable(self.samples) else self.samples
             return compiler.compile_query(query, compiler.Rows(self.samples, SAMPLES, context=context))
         if self.heap is None:
             raise QueryError("no heap is open")
@@ -144,14 +147,17 @@ def of_tables(spark: SparkSession, sf_dir: str) -> Session:
     """A session over the star-schema tables of a folder; the event table is also there by type, with times, durations and threads."""
     s = Session(spark)
     keys = {"lineitem": F.col("l_orderkey") * 16 + F.col("l_linenumber"), "orders": F.col("o_orderkey"), "part": F.col("p_partkey"), "customer": F.col("c_custkey"), "supplier": F.col("s_suppkey"), "nation": F.col("n_nationkey"), "region": F.col("r_regionkey"), "events": F.col("event_id")}
-    for name, key in keys.items():
-        s.add_events(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), key)
-    raw = s.events["events"]
-    timed = raw.withColumns({"startTime": F.unix_micros(F.col("ts").cast("timestamp")) * 1000, "duration": (F.col("value") * 1_000_000_000).cast("long"), "eventThread": F.struct(F.col("user_id").alias("javaThreadId"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("osName"))})
-    for kind in ("click", "view", "purchase", "signup", "error"):
-        s.events[kind] = timed.where(F.col("event_type") == kind)
-    s.events["all_events"] = timed
+
+    def table(name: str) -> DataFrame:
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn(ORD, keys[name].cast("long"))
+
+    def timed() -> DataFrame:
+        return s.event_type("events").withColumns({"startTime": F.unix_micros(F.col("ts").cast("timestamp")) * 1000, "duration": (F.col("value") * 1_000_000_000).cast("long"), "eventThread": F.struct(F.col("user_id").alias("javaThreadId"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("osName"))})
+
     stack = F.filter(F.split("p_type", " "), lambda x: x != "")
-    s.add_events("stacks", s.events["part"].withColumn("stackTrace", stack))
-    s.add_samples(s.events["part"].select(ORD, F.col("p_size").cast("long").alias("cpu"), F.col("p_brand").alias("thread"), F.transform(stack, lambda x: F.struct(x.alias("name"))).alias("stackTrace")), ["cpu"])
+    s.events |= {name: lambda name=name: table(name) for name in keys}
+    s.events |= {kind: lambda kind=kind: timed().where(F.col("event_type") == kind) for kind in ("click", "view", "purchase", "signup", "error")}
+    s.events |= {"all_events": timed, "stacks": lambda: s.event_type("part").withColumn("stackTrace", stack)}
+    s.samples = lambda: s.event_type("part").select(ORD, F.col("p_size").cast("long").alias("cpu"), F.col("p_brand").alias("thread"), F.transform(stack, lambda x: F.struct(x.alias("name"))).alias("stackTrace"))
+    s.value_types = ["cpu"]
     return s
