@@ -287,6 +287,18 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination(docs.limit(0), bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_any_case(spark):
+    """A whole copy of an item is found however its letters are cased, on both sides."""
+    own = "The old Mill near Boston sold Alice and Bob nine Pears, which Carol of Paris took to Dora on Monday by the River Road"
+    bench = spark.createDataFrame([(1, own), (2, own.upper())], "item_id long, text string")
+    texts = [own.upper(), own.lower(), own.title(), own, "Said: " + own.upper() + " END", "THE OLD MILL NEAR BOSTON is closed", own[:60] + own[60:].upper()]
+    got = rows(decontaminate.contamination(table(spark, texts), bench))
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(d, i) for d in (0, 1, 2, 3, 4, 6) for i in (1, 2)}
+    assert all(r["exact"] and r["n_windows"] <= r["item_windows"] for r in got)
+    left = decontaminate.clean_documents(table(spark, texts), bench)
+    assert [r.doc_id for r in left.select("doc_id").collect()] == [5]
+
+
 def test_slots_must_be_consistent(spark):
     item = "If Alice has 4 pears and Alice eats 4 of them then Alice has none of the 4 pears left on the plate today"
     same = item.replace("Alice", "Bob").replace("4", "9")

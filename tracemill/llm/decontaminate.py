@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units become typed placeholders, so that a re-parameterised question has the windows
-of its template. Windows of canonical words are hash-joined with those of the benchmark; a document that
-holds most of an item's windows is aligned with it, and each placeholder's values must map to the same
+of its template. Names are known by their capitals, so a copy in other letters has other placeholders:
+windows are taken with and without names, and a window is held in either form. Windows of canonical words
+are hash-joined with those of the benchmark; a document that holds most of an item's windows is aligned with it, and each placeholder's values must map to the same
 values throughout. Everything is DataFrame code: no Python runs on the executors.
 """
 
@@ -23,25 +24,54 @@ UNIT = r"(?<![\p{L}\p{N}<>])(?:" + "|".join(sorted(UNITS.split(), key=lambda u:
 NAME = r"(?<![\p{L}\p{N}<>])\p{Lu}\p{Ll}+(?![\p{L}\p{N}<>])"
 
 
-def canonical(text: Column) -> Column:
-    """Text or word with placeholders for numbers, names and, after a number, units; lower case, without punctuation.
+def marked(text: Column) -> Column:
+    """Text or word with placeholders for numbers and, after a number, units, and with marks around names; lower case, without punctuation.
 
     White space is neither made nor removed, so it may run on texts or on their words alike.
     """
-    text = F.regexp_replace(text, NAME, "<name>")
+    for mark in "\x01\x03":
+        text = F.replace(text, F.lit(mark), F.lit("\x02"))
+    text = F.regexp_replace(text, NAME, "\x01$0\x03")
     text = F.regexp_replace(text, NUMBER, "<num>")
     text = F.regexp_replace(F.lower(text), UNIT, "<unit>")
-    return F.regexp_replace(text, r"[^\p{L}\p{N}<>\x20\x09-\x0D]+", "")
+    return F.regexp_replace(text, r"[^\p{L}\p{N}<>\x20\x09-\x0D\x01\x03]+", "")
+
+
+def named(text: Column) -> Column:
+    """Of a marked text: names as placeholders."""
+    return F.regexp_replace(text, r"\x01[^\x03]*\x03", "<name>")
+
+
+def unnamed(text: Column) -> Column:
+    """Of a marked text: names as the words they are, whatever their capitals."""
+    return F.replace(F.replace(text, F.lit("\x01"), F.lit("")), F.lit("\x03"), F.lit(""))
+
+
+def canonical(text: Column) -> Column:
+    return named(marked(text))
+
+
+def split_words(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+
+
+def canonical_words(rows: DataFrame, text: Column) -> DataFrame:
+    """`rows` and the words of a text in both forms, `words` and `plain`: one of each to a word."""
+    rows = rows.withColumn("marked", marked(F.coalesce(text, F.lit(""))))
+    return rows.withColumn("words", split_words(named(F.col("marked")))).withColumn("plain", split_words(unnamed(F.col("marked")))).drop("marked")
 
 
-def canonical_words(text: Column) -> Column:
-    return F.regexp_extract_all(canonical(F.coalesce(text, F.lit(""))), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+def windows(words: Column, plain: Column, width: int = WINDOW) -> Column:
+    """Array of (position, hash, plain hash) of the windows of words in both forms; fewer words than a window are one, none has none."""
+    of = lambda x, i: F.xxhash64(*(F.get(x, i - 1 + k) for k in range(width)))
+    at = lambda i: F.struct((i - 1).alias("pos"), of(words, i).alias("hash"), of(plain, i).alias("plain"))
+    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1))), at)).otherwise(F.array().cast("array<struct<pos: int, hash: bigint, plain: bigint>>"))
 
 
-def windows(words: Column, width: int = WINDOW) -> Column:
-    """Array of (position, hash) of the windows of words; fewer words than a window are one, none has none."""
-    at = lambda i: F.struct((i - 1).alias("pos"), F.xxhash64(*(F.get(words, i - 1 + k) for k in range(width))).alias("hash"))
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1))), at)).otherwise(F.array().cast("array<struct<pos: int, hash: bigint>>"))
+def forms(rows: DataFrame, *keep: str) -> DataFrame:
+    """`keep`, pos, window (the hash with placeholders for names) and hash of the windows of `rows` in either form; a form equal to the other is left out."""
+    rows = rows.select(*keep, F.explode(windows(F.col("words"), F.col("plain"))).alias("w")).select(*keep, "w.pos", F.col("w.hash").alias("window"), "w.plain")
+    return rows.select(*keep, "pos", "window", F.explode(F.when(F.col("plain") == F.col("window"), F.array("window")).otherwise(F.array("window", "plain"))).alias("hash"))
 
 
 def aligned_words(text: Column) -> Column:
@@ -57,7 +87,8 @@ def join_small(left: DataFrame, right: DataFrame, rows: int, on, how: str) -> Da
 def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", share: float = SHARE, consistent: float = CONSISTENT) -> DataFrame:
     """(id, item_id, n_windows, item_windows, n_slots, consistency, exact, text_hash): a row for each document and item that it holds.
 
-    A document holds an item if it has at least `share` of the item's distinct windows and, aligned at the
+    A document holds an item if it has at least `share` of the item's distinct windows, each with
+    placeholders for names or with its words in any case, and, aligned at the
     most frequent offset, at least `consistent` of the item's placeholders keep one value each. exact: all
     placeholders have the item's own values. Null and empty texts hold nothing and are held by nothing;
     items of fewer than WINDOW words match documents of exactly their words. Equal items each get their
@@ -65,20 +96,22 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     d = d.withColumn("text_hash", F.xxhash64("text"))
-    bench = cut(items.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), canonical_words(F.col(item_text_col)).alias("words"), F.col(item_text_col).alias("text")))
-    own = cut(bench.select("item_id", F.explode(windows(F.col("words"))).alias("w")).select("item_id", "w.hash", "w.pos").groupBy("item_id", "hash").agg(F.min("pos").alias("ipos")))
+    bench = items.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
+    bench = cut(canonical_words(bench, F.col("text")))
+    own = cut(forms(bench, "item_id").groupBy("item_id", "window", "hash").agg(F.min("pos").alias("ipos")))
     hashes = own.select("hash").distinct()
     n = hashes.count()
-    each = d.select("doc_id", "text_hash", canonical_words(F.col("text")).alias("words")).select("doc_id", "text_hash", F.explode(windows(F.col("words"))).alias("w"))
-    hits = cut(join_small(each.select("doc_id", "text_hash", "w.pos", "w.hash"), hashes, n, "hash", "left_semi"))
-    totals = own.groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    held = hits.select("doc_id", "text_hash", "hash").distinct().join(own.select("item_id", "hash"), "hash").groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_windows"))
+    each = forms(canonical_words(d, F.col("text")), "doc_id", "text_hash").select("doc_id", "text_hash", "pos", "hash")
+    hits = cut(join_small(each, hashes, n, "hash", "left_semi"))
+    totals = own.select("item_id", "window").distinct().groupBy("item_id").agg(F.count("*").alias("item_windows"))
+    held = hits.select("doc_id", "text_hash", "hash").distinct().join(own.select("item_id", "window", "hash"), "hash").select("doc_id", "text_hash", "item_id", "window").distinct()
+    held = held.groupBy("doc_id", "text_hash", "item_id").agg(F.count("*").alias("n_windows"))
     found = cut(held.join(totals, "item_id").where(F.col("n_windows") >= share * F.col("item_windows")))
     m = found.count()
     keys = ["doc_id", "text_hash", "item_id"]
     f, h = found.alias("f"), hits.alias("h")
     same = F.col("h.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("h.text_hash") == F.col("f.text_hash"))
-    offsets = h.join(f, same).select("f.doc_id", "f.text_hash", "f.item_id", "h.pos", "h.hash").join(own, ["item_id", "hash"])
+    offsets = h.join(f, same).select("f.doc_id", "f.text_hash", "f.item_id", "h.pos", "h.hash").join(own.groupBy("item_id", "hash").agg(F.min("ipos").alias("ipos")), ["item_id", "hash"])
     offsets = offsets.groupBy(*keys, (F.col("pos") - F.col("ipos")).alias("offset")).agg(F.count("*").alias("k"))
     best = offsets.groupBy(*keys).agg(F.max(F.struct("k", (-F.col("offset")).alias("back"))).alias("b")).select(*keys, (-F.col("b.back")).alias("offset"))
     marked = d.alias("d")
@@ -87,7 +120,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     texts = join_small(marked, b, m, pair, "inner").select("b.doc_id", "b.text_hash", "b.item_id", "b.offset", aligned_words(F.col("d.text")).alias("have")).dropDuplicates(keys)
     want = bench.select("item_id", aligned_words(F.col("text")).alias("want"))
     both = texts.join(want.dropDuplicates(["item_id"]), "item_id")
-    slots = F.filter(F.transform("want", lambda x, i: F.struct(x["canon"].alias("canon"), x["word"].alias("was"), F.get("have", i + F.col("offset")).alias("now"))), lambda s: s["canon"].rlike("<num>|<name>|<unit>") & (s["now"]["canon"] == s["canon"]))
+    slots = F.filter(F.transform("want", lambda x, i: F.struct(x["canon"].alias("canon"), x["word"].alias("was"), F.get("have", i + F.col("offset")).alias("now"))), lambda s: s["canon"].rlike("<num>|<name>|<unit>") & ((s["now"]["canon"] == s["canon"]) | (s["now"]["word"] == s["was"])))
     slot = both.select(*keys, F.explode_outer(slots).alias("s")).select(*keys, F.col("s.was").alias("was"), F.col("s.now.word").alias("now"))
     pairs = slot.groupBy(*keys, "was", "now").agg(F.count("was").alias("k"))
     values = pairs.groupBy(*keys, "was").agg(F.max("k").alias("most"), F.sum("k").alias("n"), F.bool_and(F.coalesce(F.col("was") == F.col("now"), F.lit(True))).alias("equal"))
