@@ -436,6 +436,17 @@ def test_html(spark):
     assert entities.unescape("&copy;") == "©"
 
 
+def test_html_copies_without_article():
+    """Copies of a page, and a paragraph that recurs on two pages, keep their text; what all of many pages hold goes."""
+    chrome = "<div>All our pages begin so</div>"
+    pages = [f"{chrome}<p>Story {i} told.</p><p>Its end {i}.</p>" for i in range(12)]
+    pages += [pages[0], pages[0], pages[1] + "<p>Shared.</p>", pages[2] + "<p>Shared.</p>"]
+    want = [f"Story {i} told.\nIts end {i}." for i in [*range(12), 0, 0]] + [f"Story {i} told.\nIts end {i}.\nShared." for i in (1, 2)]
+    assert html.extract(pages) == want
+    assert html.extract(["<p>One and the same.</p>"] * 2) == ["One and the same."] * 2
+    assert html.extract(["<p>One and the same.</p>"] * 40) == ["One and the same."] * 40
+
+
 def test_template_nests():
     pages = [html.tokens_of(page(f"<p>t{i}</p>", n=i)) for i in range(4)]
     shape = html.template(pages)

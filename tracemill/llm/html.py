@@ -11,6 +11,7 @@ furniture are.
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -22,7 +23,7 @@ from .common import cut
 
 #: Pages that one template is deduced from at most; a larger host has several groups.
 GROUP = 256
-#: Pages that must hold a run of text in the article before it counts as template text.
+#: Different pages that must hold a run of text before it counts as template text.
 LEAST_PAGES, LEAST_SHARE = 10, 0.9
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|math|textarea)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S | re.I)
 #: Element names, and the words in a class or id by which page furniture is known.
@@ -82,8 +83,8 @@ def in_main(path: tuple) -> bool:
     return any(x.split(".")[0] in MAIN or ".main" in x or " main" in x for x in path)
 
 
-def template(pages: list) -> set:
-    """Tokens of the valid equivalence classes of pages, each a list of tokens. One page alone has no template text."""
+def template(pages: list, least_text: int = 2) -> set:
+    """Tokens of the valid equivalence classes of pages, each a list of tokens; text only of at least `least_text` pages. One page alone has no template text."""
     where = [defaultdict(list) for _ in pages]
     for held, page in zip(where, pages, strict=True):
         for i, t in enumerate(page):
@@ -95,7 +96,7 @@ def template(pages: list) -> set:
     classes: dict = defaultdict(list)
     least = min(2, len(pages))
     for t, vector in pages_of.items():
-        if len(vector) >= least:
+        if len(vector) >= (least if t[0] != "text" else least_text):
             classes[tuple(vector)].append(t)
     valid = []
     for vector, own in classes.items():
@@ -138,10 +139,32 @@ def nests(own: list, other: list) -> bool:
     return True
 
 
+def body(page: list) -> tuple:
+    """A page's texts in its article, or else outside furniture, without blanks."""
+    article = any(in_main(path) for kind, path, _ in page if kind == "text")
+    return tuple(t for t in page if t[0] == "text" and t[2].strip() and not furniture(t[1]) and (not article or in_main(t[1])))
+
+
+def distinct(pages: list) -> list:
+    """One page of each different body: copies of a page are one page to the template. Pages without a body are left out."""
+    first: dict = {}
+    for page in pages:
+        own = body(page)
+        if own:
+            first.setdefault(own, page)
+    return list(first.values())
+
+
+def spread(n: int) -> int:
+    """Of how many of n different pages a text must be before it can be template text."""
+    return max(LEAST_PAGES, math.ceil(LEAST_SHARE * n))
+
+
 def extract(pages: list) -> list:
     """The main text of each of the pages of one host (html strings)."""
     tokens = [tokens_of(p) for p in pages]
-    shape = template([[t for t in page if t[0] != "text" or not in_main(t[1])] for page in tokens])
+    own = distinct(tokens)
+    shape = template([[t for t in page if t[0] != "text" or not in_main(t[1])] for page in own], spread(len(own)))
     seen = Counter(t for page in tokens for t in {t for t in page if t[0] == "text" and in_main(t[1])})
     articles = len({tuple(t for t in page if t[0] == "text" and in_main(t[1])) for page in tokens})
     fixed = {t for t, n in seen.items() if articles >= LEAST_PAGES and n >= LEAST_SHARE * len(pages)}
