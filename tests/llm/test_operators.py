@@ -447,6 +447,17 @@ def test_html_copies_without_article():
     assert html.extract(["<p>One and the same.</p>"] * 40) == ["One and the same."] * 40
 
 
+def test_html_template_decides_in_article():
+    """In an article, too, the classes tell slots from template: a notice of a small host's pages goes, a passage that most pages share stays."""
+    note = '<p class="x7">All rights are with the house and its heirs.</p>'
+    few = [page(f"<p>Text of number {i}, long enough to be more than the note is, so it stays here.</p>{note}", n=i) for i in range(5)]
+    assert html.extract(few) == [f"H{i} & co\nText of number {i}, long enough to be more than the note is, so it stays here." for i in range(5)]
+    most = [page(f"<p>Text {i}.</p>" + "<p>A passage that nearly all quote.</p>" * (i > 0) + note * (i < 19), n=i) for i in range(20)]
+    assert html.extract(most) == [f"H{i} & co\nText {i}." + "\nA passage that nearly all quote." * (i > 0) for i in range(20)]
+    near = [page(f"<p>The same long story is told on every page of the three.</p><p>{i}</p>") for i in range(3)]
+    assert html.extract(near) == [f"H0 & co\nThe same long story is told on every page of the three.\n{i}" for i in range(3)]
+
+
 def test_template_nests():
     pages = [html.tokens_of(page(f"<p>t{i}</p>", n=i)) for i in range(4)]
     shape = html.template(pages)

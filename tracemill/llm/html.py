@@ -5,7 +5,7 @@ each told apart by the path of open elements. Tokens with equal occurrence vecto
 form equivalence classes; a class is valid if its tokens keep their order on all pages that hold them and
 no class crosses another. The valid classes, nested, are the template; what it leaves between its tokens
 are the slots. The slots in the article are the main text; without an article those outside page
-furniture are.
+furniture are. Article and furniture are known by element, class and id names.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import Counter, defaultdict
+from collections import defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -102,8 +102,13 @@ def template(pages: list, least_text: int = 2) -> set:
     for vector, own in classes.items():
         k, n = vector[0]
         own.sort(key=lambda t: where[k][t][0])
-        if all(ordered([where[k][t] for t in own]) for k, _ in vector):
-            valid.append((len(vector), len(own), vector, own))
+        tags = [t for t in own if t[0] != "text"]
+        if len(tags) < len(own) and len(vector) < len(pages) and not tags:
+            continue  # text that some pages lack and that brings no tag of its own is no part of the template
+        for some in (own, tags):  # text that moves about does not unmake the class of the tags
+            if some and all(ordered([where[k][t] for t in some]) for k, _ in vector):
+                valid.append((len(vector), len(some), vector, some))
+                break
     valid.sort(key=lambda x: (-x[0], -x[1]))
     out: set = set()
     kept: list = []
@@ -156,22 +161,28 @@ def distinct(pages: list) -> list:
 
 
 def spread(n: int) -> int:
-    """Of how many of n different pages a text must be before it can be template text."""
-    return max(LEAST_PAGES, math.ceil(LEAST_SHARE * n))
+    """Of how many of n different pages a text must be before it can be template text: of a few pages all."""
+    return math.ceil(LEAST_SHARE * n) if n >= LEAST_PAGES else max(n, 3)
+
+
+def without_copies(shape: set, pages: list) -> set:
+    """`shape` of fewer than LEAST_PAGES different pages, less its text if that is half of any page's body: such pages are near copies."""
+    for page in pages if len(pages) < LEAST_PAGES else ():
+        own = body(page)
+        if 2 * sum(len(t[2]) for t in own if t in shape) >= sum(len(t[2]) for t in own):
+            return {t for t in shape if t[0] != "text"}
+    return shape
 
 
 def extract(pages: list) -> list:
     """The main text of each of the pages of one host (html strings)."""
     tokens = [tokens_of(p) for p in pages]
     own = distinct(tokens)
-    shape = template([[t for t in page if t[0] != "text" or not in_main(t[1])] for page in own], spread(len(own)))
-    seen = Counter(t for page in tokens for t in {t for t in page if t[0] == "text" and in_main(t[1])})
-    articles = len({tuple(t for t in page if t[0] == "text" and in_main(t[1])) for page in tokens})
-    fixed = {t for t, n in seen.items() if articles >= LEAST_PAGES and n >= LEAST_SHARE * len(pages)}
-    return [main_text(page, shape, fixed) for page in tokens]
+    shape = without_copies(template(own, spread(len(own))), own)
+    return [main_text(page, shape) for page in tokens]
 
 
-def main_text(page: list, shape: set, fixed: set) -> str:
+def main_text(page: list, shape: set) -> str:
     """Slots of the page in its article, or else outside furniture; blocks end at tags that are not inline."""
     article = any(in_main(path) for kind, path, _ in page if kind == "text")
     blocks, line = [], []
@@ -181,7 +192,7 @@ def main_text(page: list, shape: set, fixed: set) -> str:
             if value.split(".")[0] not in INLINE:
                 blocks.append("".join(line))
                 line = []
-        elif not furniture(path) and (in_main(path) if article else t not in shape) and t not in fixed:
+        elif not furniture(path) and (in_main(path) or not article) and t not in shape:
             line.append(entities.unescape(value))
     blocks.append("".join(line))
     return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
