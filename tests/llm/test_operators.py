@@ -410,6 +410,18 @@ def test_network_gradients():
         assert abs((up - down) / 2e-3 - g[k][i]) < 1e-4
 
 
+def test_toxicity_reads_long_words_whole():
+    net = toxicity.Network.fresh({}, np.zeros(0, np.float32))
+    glue = b"glued" * 9
+    a, b, c = net.score([glue + b"idiot" + glue, glue + b"thing" + glue, glue + b"idiot" + glue])
+    assert abs(a - c) < 1e-6 < 1e-4 < abs(a - b)
+    for n in (1, 20, 21, 29, 30, 31, 45, 1000):
+        w = bytes(97 + (i * i + i // 7) % 26 for i in range(n))
+        pieces = toxicity.words_of(b"x " + w + b". y")[1:-1]
+        assert all(len(p) <= toxicity.CHARS for p in pieces) and all(any(w[i : i + 11] in p for p in pieces) for i in range(max(1, n - 10)))
+    assert toxicity.words_of(b"Short, words") == [b"short", b"words"]
+
+
 def test_windows_cover_all():
     for n in (0, 1, 31, 32, 33, 48, 49, 200, 1001):
         s = toxicity.windows_of(n)

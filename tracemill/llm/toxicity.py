@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input is the sum of a row for the word itself (if the training sample knows it) and of rows for
-its hashed character trigrams. Both directions of a GRU read windows of words; attention pools their
+its hashed character trigrams; a long word is several overlapping pieces. Both directions of a GRU read windows of words; attention pools their
 states into one logit a window. A text's windows overlap by half and cover it whole; its logit is that
 of its highest window, and the training takes gradients through each text's highest windows alike.
 """
@@ -33,14 +33,18 @@ def sigmoid(x):
 
 
 def words_of(text: bytes) -> list:
-    return text.translate(PLAIN).split()
+    """Words of at most CHARS bytes; longer ones are cut into pieces that overlap by half or more and cover them whole."""
+    words = text.translate(PLAIN).split()
+    if max(map(len, words), default=0) <= CHARS:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= CHARS else [w[i : i + CHARS] for i in (*range(0, len(w) - CHARS, CHARS // 2), len(w) - CHARS)])]
 
 
 def trigram_rows(words: list) -> np.ndarray:
-    """For each word the table rows of its first CHARS trigrams, with boundary marks; 0 is none."""
+    """For each word, of at most CHARS bytes, the table rows of its trigrams, with boundary marks; 0 is none."""
     wide = np.zeros((len(words), CHARS + 2), np.uint8)
     if words:
-        marked = [b"^" + w[:CHARS] + b"$" for w in words]
+        marked = [b"^" + w + b"$" for w in words]
         flat = np.frombuffer(b"".join(marked), np.uint8)
         sizes = np.array([len(w) for w in marked])
         wide[np.arange(CHARS + 2) < sizes[:, None]] = flat
