@@ -1,5 +1,6 @@
 """Each operator on small inputs against brute force: nulls, empty and very long texts, ties, repeated rows, empty tables, extra columns with clashing names."""
 
+import functools
 import hashlib
 import html as entities
 import math
@@ -52,7 +53,7 @@ def none(spark):
 
 
 def test_ctw(docs, data, none):
-    got = rows(ctw.scores(docs, depth=4, contexts=64))
+    got = rows(ctw.scores(docs, depth=4))
     train = Counter()
     for i, t, _ in data:
         if i is None or zlib.crc32(str(i).encode()) % 7 != 2:
@@ -68,33 +69,84 @@ def test_ctw(docs, data, none):
     assert ctw.scores(none).count() == 0
 
 
-def test_ctw_is_a_probability():
-    rng = np.random.default_rng(1)
-    root = (rng.random(256) * 50).astype(int).astype(float)
-    byte = np.arange(256)
-    tree = ctw.weighted_tree([ctw.Level([b""], np.zeros(256, int), byte, root), ctw.Level([b"a", b"b"], np.repeat([0, 1], 256), np.tile(byte, 2), np.tile(root, 2) // 3)])
-    assert np.allclose((10.0 ** tree.table.astype(float)).sum(axis=1), 1, atol=1e-4)
-
-
-def test_ctw_matches_sequential_mixture():
-    """A tree of one context: the block probability is the mean of both models, the prediction their posterior mixture."""
-    counts = np.zeros((1, 256))
-    counts[0, 65], counts[0, 66] = 6, 2
-    below = np.zeros((1, 256))
-    below[0, 65] = 4
-    tree = ctw.weighted_tree([ctw.Level([b""], np.zeros(2, int), np.array([65, 66]), np.array([6.0, 2.0])), ctw.Level([b"z"], np.zeros(1, int), np.array([65]), np.array([4.0]))])
-    z, o = ctw.decisions(counts)
-    zb, ob = ctw.decisions(below)
-    rz, ro = ctw.decisions(counts - below)
-    p = 1.0
-    node = 1
-    for bit in f"{65:08b}":
-        e, s = ctw.log_kt(z[0, node], o[0, node]), ctw.log_kt(zb[0, node], ob[0, node]) + ctw.log_kt(rz[0, node], ro[0, node])
-        w = 1 / (1 + math.exp(s - e))
-        one = w * (o[0, node] + 0.5) / (z[0, node] + o[0, node] + 1) + (1 - w) * (ob[0, node] + 0.5) / (zb[0, node] + ob[0, node] + 1)
-        p *= one if bit == "1" else 1 - one
-        node = node * 2 + int(bit)
-    assert abs(10 ** float(tree.table[1, 65]) - p) < 1e-5
+def brute_ctw(train, depth):
+    """The context tree of streams as dictionaries; gives the log10 probability of a byte after a context."""
+    counts = {}
+    for s in train:
+        s = b"\n" * depth + s
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                counts.setdefault(s[i - d : i], Counter())[s[i]] += 1
+    nodes = {c for c, n in counts.items() if not c or sum(n.values()) >= 2}
+    children = {}
+    for c in nodes:
+        if c:
+            children.setdefault(c[1:], []).append(c)
+
+    def split(n, prefix):
+        """Zeros and ones of the decision after the bits of prefix."""
+        own = [0, 0]
+        for byte, k in n.items():
+            bits = f"{byte:08b}"
+            if bits.startswith(prefix):
+                own[int(bits[len(prefix)])] += k
+        return own
+
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.lru_cache(None)
+    def node(c, prefix):
+        """Log block probability, own prediction of a one, own weight, the rest's prediction."""
+        z, o = split(counts.get(c, Counter()), prefix)
+        if c not in children:
+            return kt(z, o), (o + 0.5) / (z + o + 1), 1.0, 0.5
+        rest = Counter(counts[c])
+        for x in children[c]:
+            rest.subtract(counts[x])
+        rz, ro = split(rest, prefix)
+        e, s = kt(z, o), kt(rz, ro) + sum(node(x, prefix)[0] for x in children[c])
+        both = max(e, s) + math.log1p(math.exp(-abs(e - s)))
+        return both - math.log(2), (o + 0.5) / (z + o + 1), math.exp(e - both), (ro + 0.5) / (rz + ro + 1)
+
+    def one(context, prefix):
+        p, share = 0.0, 1.0
+        for d in range(depth + 1):
+            c = context[len(context) - d :]
+            _, own, weight, rest = node(c, prefix)
+            p, share = p + share * weight * own, share * (1 - weight)
+            if d == depth or context[len(context) - d - 1 :] not in nodes:
+                return p + share * rest
+
+    def log10(byte, context):
+        bits = f"{byte:08b}"
+        return sum(math.log10(p if b == "1" else 1 - p) for k, b in enumerate(bits) for p in [one(context, bits[:k])])
+
+    return log10
+
+
+@pytest.mark.parametrize("depth", [2, 3, 6])
+def test_ctw_matches_brute_force(spark, depth):
+    rng = np.random.default_rng(4)
+    pool = ["".join("abé"[k] for k in rng.integers(0, 3, n)) for n in (1, 2, 3, 4)] + ["abba", "cab"]
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 9))) for _ in range(12)] + [None, "", "abba cab abba", "Abba cab abba"]
+    df = table(spark, texts, DOCUMENTS)
+    got = {r["doc_id"]: r for r in rows(ctw.scores(df, depth=depth))}
+    streams = [b" ".join(words(t)) + b"\n" for t in texts]
+    log10 = brute_ctw([s for i, s in enumerate(streams) if not got[i]["held_out"]], depth)
+    for i, s in enumerate(streams):
+        padded = b"\n" * depth + s
+        want = sum(log10(padded[k], padded[k - depth : k]) for k in range(depth, len(padded)))
+        assert abs(got[i]["score"] - want) < 1e-3, (i, texts[i])
+    assert any(r["held_out"] for r in got.values()) and not all(r["held_out"] for r in got.values())
+
+
+def test_ctw_in_small_pieces(docs, monkeypatch):
+    """Small batches, rows and runs of shards, and many salts, change no score; a table grows with the texts."""
+    want = sorted((r["doc_id"] or -1, r["n_known"], round(r["score"], 3)) for r in rows(ctw.scores(docs)))
+    for name, value in (("BATCH", 2000), ("ROW", 50), ("TOGETHER", 300), ("LOOKED_UP", 3)):
+        monkeypatch.setattr(ctw, name, value)
+    assert sorted((r["doc_id"] or -1, r["n_known"], round(r["score"], 3)) for r in rows(ctw.scores(docs))) == want
 
 
 def test_mixing(docs, data, none):

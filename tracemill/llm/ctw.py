@@ -3,40 +3,47 @@
 A text is its lower-cased words joined by spaces and closed by a line feed. Each byte is eight binary
 decisions; every context (the bytes before, up to DEPTH of them) has a Krichevsky-Trofimov estimator for
 each decision. A context's block probability is the even mixture of its own estimate and of the product
-of its children's, so the prediction mixes all depths by their posterior weights. Counts are of all
-training texts; of each length the CONTEXTS most frequent contexts that occur twice have nodes of their
-own and all others are counted together as the rest of the context above them, which bounds the tree
-whatever the corpus.
+of its children's, so the prediction mixes all depths by their posterior weights. Every context that
+occurs twice in the training texts has a node of its own, so the tree grows with the corpus; those that
+occur once are counted together as the rest of the context above.
+
+No process holds the tree. Texts are read in batches, whose distinct strings of DEPTH + 1 bytes are
+counted and dealt to shards by the two bytes before the last. Shards are merged and weighted bottom up;
+the contexts of two bytes, 65,536 at most, meet on the driver, which weights the top of the tree and
+sends its share of each prediction back. Shards then predict every string, and the batches look theirs
+up. Counts of whole tokens take the same way.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
-from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, cut, spilled, texts_of
-
-DEPTH, CONTEXTS = 6, 8192
-#: Tokens with at least one HEAVY-th of all occurrences, of which there are HEAVY at most, are broadcast.
-HEAVY = 200_000
-#: Texts that are walked at once.
-TEXTS = 100
+from .common import LOWER, shared_dir, spilled, texts_of
+
+DEPTH = 6
+#: Occurrences in the training texts from which a context has a node.
+LEAST = 2
+#: Bytes of texts of a batch, of texts that are looked at at once, and keys of a row.
+BATCH, CHUNK, ROW = 64 << 20, 1 << 21, 1 << 19
+#: Keys of whole shards that are weighted at once, unless one has more.
+TOGETHER = 1 << 17
+#: Batches that one task looks up.
+LOOKED_UP = 512
+#: Shards below TOKENS are contexts of two bytes; DOCS marks rows of texts; those between are of tokens, by hash.
+TOKENS, DOCS = 1 << 16, 1 << 20
+#: Counts whose log gamma is in a table.
+TABLE = 1 << 16
 END = b"\n"
 
 
-def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Log of the Krichevsky-Trofimov probability of a zeros and b ones."""
-    return log_gamma(a + 0.5) + log_gamma(b + 0.5) - log_gamma(a + b + 1) - math.log(math.pi)
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """By Stirling's series, from x + 6 down."""
     y = x + 6
@@ -46,332 +53,522 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return out
 
 
-def decisions(counts: np.ndarray) -> tuple:
-    """Zeros and ones at each of the 255 decisions (node 1 is the highest bit's) of rows of 256 counts."""
-    zeros, ones = np.zeros((len(counts), 256)), np.zeros((len(counts), 256))
-    level, width = counts, 128
-    while width:
-        pair = level.reshape(len(counts), width, 2)
-        zeros[:, width : 2 * width], ones[:, width : 2 * width] = pair[:, :, 0], pair[:, :, 1]
-        level, width = pair.sum(axis=2), width // 2
-    return zeros, ones
+def log_kt(a: np.ndarray, b: np.ndarray, held: dict = {}) -> np.ndarray:  # noqa: B006  kept between calls
+    """Log of the Krichevsky-Trofimov probability of a zeros and b ones (whole numbers)."""
+    if not held:
+        n = np.arange(TABLE, dtype=np.float64)
+        held["half"], held["whole"] = log_gamma(n + 0.5), log_gamma(n + 1)
 
+    def of(name, x, shift):
+        out = held[name][np.minimum(x, TABLE - 1)]
+        big = x >= TABLE
+        if big.any():
+            out[big] = log_gamma(x[big] + shift)
+        return out
 
-def byte_table(ones: np.ndarray) -> np.ndarray:
-    """Log10 probability of each byte by rows of the 255 decisions' probabilities of a one."""
-    out = np.zeros((len(ones), 1), np.float64)
-    for bit in range(8):
-        p = ones[:, 1 << bit : 2 << bit]
-        out = np.stack([out + np.log10(1 - p), out + np.log10(p)], axis=2).reshape(len(ones), -1)
-    return out.astype(np.float32)
-
-
-@dataclass
-class Tree:
-    """child[node, byte]: the context one byte longer to the left, or 0, of all but the longest contexts. table: log10 probability of the next byte by the longest context. n: how many contexts there are."""
-
-    child: np.ndarray
-    table: np.ndarray
-    n: int
-
-    def __getstate__(self):
-        return self.child, self.table, self.n
-
-    def __setstate__(self, state):
-        self.child, self.table, self.n = state
-
-    def starts(self) -> tuple:
-        """For three bytes, the last highest, the longest context of at most three; and which contexts have longer ones. Made once a process."""
-        if not hasattr(self, "_starts"):
-            level = np.where(self.child[0] > 0, self.child[0], 0).astype(np.int32)
-            for _ in (2, 3):
-                inner = level < len(self.child)
-                longer = self.child[np.where(inner, level, 0)]
-                longer[~inner | (level == 0)] = 0
-                level = np.where(longer > 0, longer, level[:, None]).ravel()
-            deep = np.zeros(self.n, bool)
-            deep[: len(self.child)] = (self.child > 0).any(axis=1)
-            three = np.zeros(self.n, bool)
-            ends = self.child[0][self.child[0] > 0]
-            for _ in (2, 3):
-                ends = ends[ends < len(self.child)]
-                ends = self.child[ends]
-                ends = ends[ends > 0]
-            three[ends] = True
-            self._starts = level, three & deep, deep
-        return self._starts
-
-    def nodes(self, stream: np.ndarray, depth: int) -> np.ndarray:
-        """The longest context of each place of a stream of bytes that begins with `depth` bytes of no text."""
-        level, more, deep = self.starts()
-        s = stream.astype(np.int32)
-        node = np.zeros(len(stream), np.int32)
-        node[3:] = level[(s[2:-1] << 16) | (s[1:-2] << 8) | s[:-3]]
-        live = np.flatnonzero(more[node])
-        for d in range(4, depth + 1):
-            live = live[live >= d]
-            to = self.child[node[live], stream[live - d]]
-            found = to > 0
-            live, to = live[found], to[found]
-            node[live] = to
-            live = live[deep[to]]
-        return node
-
-
-@dataclass
-class Level:
-    """Contexts of one length as byte strings, oldest byte first, and their counts: n of byte at the place of a context."""
+    return of("half", a, 0.5) + of("half", b, 0.5) - of("whole", a + b, 1.0) - math.log(math.pi)
 
-    contexts: list
-    place: np.ndarray
-    byte: np.ndarray
-    n: np.ndarray
 
-    def dense(self) -> np.ndarray:
-        out = np.zeros((len(self.contexts), 256))
-        out[self.place, self.byte] = self.n
-        return out
+def log_odds(x: np.ndarray, y: np.ndarray) -> tuple:
+    """log(exp x + exp y), and the share of x in it."""
+    both = np.logaddexp(x, y)
+    return both, np.exp(np.clip(x - both, -700, 0))
+
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed byte planes of their differences."""
+    planes = np.diff(values, prepend=0).astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    return pa.compress(planes, codec="zstd", asbytes=True)
 
-def child_table(levels: list) -> tuple:
-    """Tree.child of the contexts of levels (lists of byte strings), and for each level the places in the level before of the contexts one byte shorter."""
-    first = np.cumsum([0, *map(len, levels)])
-    child = np.zeros((max(1, first[-2]), 256), np.int32)
-    ups, place = [np.zeros(1, np.int64)], {b"": 0}
-    for d, contexts in enumerate(levels[1:], 1):
-        up = np.array([place[c[1:]] for c in contexts], np.int64)
-        child[first[d - 1] + up, [c[0] for c in contexts]] = first[d] + np.arange(len(contexts))
-        ups.append(up)
-        place = {c: i for i, c in enumerate(contexts)}
-    return child, ups, int(first[-1])
-
-
-def weighted_tree(levels: list) -> Tree:
-    """The tree of Levels of the lengths 0, 1, ...; the context one byte shorter must be in the level before. Dense arrays are of one level at a time."""
-    child, ups, n = child_table([x.contexts for x in levels])
-
-    def estimates(d):
-        """The decisions of a level's counts and of those that no child has."""
-        counts, held = levels[d].dense(), np.zeros((len(levels[d].contexts), 256))
-        if d + 1 < len(levels):
-            below = levels[d + 1]
-            np.add.at(held, (ups[d + 1][below.place], below.byte), below.n)
-        return decisions(counts), decisions(np.maximum(counts - held, 0))
-
-    weights, sums = [], None
-    for d in range(len(levels) - 1, -1, -1):
-        (z, o), (rz, ro) = estimates(d)
-        e = log_kt(z, o)
-        inner = np.zeros(len(e), bool)
-        if sums is not None:
-            inner[ups[d + 1]] = True
-        split = log_kt(rz, ro) + (sums if sums is not None else 0)
-        both = np.logaddexp(e, split)
-        weights.append(np.where(inner[:, None], np.exp(np.clip(e - both, -700, 0)), 1.0).astype(np.float32))
-        if d:
-            block = np.where(inner[:, None], both - math.log(2), e)
-            sums = np.zeros((len(levels[d - 1].contexts), 256))
-            np.add.at(sums, ups[d], block)
-            del block
-        del z, o, rz, ro, e, split, both
-    table, base, share = np.zeros((n, 256), np.float32), np.zeros((1, 256)), np.ones((1, 256))
-    at = 0
-    for d, w in enumerate(reversed(weights)):
-        (z, o), (rz, ro) = estimates(d)
-        base, share = base[ups[d]], share[ups[d]]
-        base += share * w * ((o + 0.5) / (z + o + 1))
-        share *= 1 - w
-        table[at : at + len(w)] = byte_table(np.clip(base + share * ((ro + 0.5) / (rz + ro + 1)), 1e-9, 1 - 1e-9))
-        at += len(w)
-    return Tree(child, table, n)
-
-
-def stream_of(texts: list) -> tuple:
-    """Bytes of the normalised texts, each after DEPTH line feeds, and the places of their first bytes and ends."""
-    bodies = [b" ".join(t.translate(LOWER).split()) + END for t in texts]
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    planes = pa.decompress(data, 8 * n, codec="zstd", asbytes=True)
+    return np.cumsum(np.frombuffer(planes, np.uint8).reshape(8, n).T.copy().view("<i8").ravel())
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    at = firsts(keys)
+    return keys[at], np.add.reduceat(n, at) if len(at) else n
+
+
+def firsts(x: np.ndarray) -> np.ndarray:
+    """Places of sorted values that differ from the one before."""
+    return np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, np.int64)
+
+
+# Reading texts
+
+
+def bodies_of(texts: list) -> list:
+    return [b" ".join(t.translate(LOWER).split()) + END for t in texts]
+
+
+def stream_of(bodies: list) -> tuple:
+    """The bytes of bodies, each after DEPTH line feeds, and the places of their first bytes and ends."""
     stream = np.frombuffer(b"".join(END * DEPTH + b for b in bodies), np.uint8)
     ends = np.cumsum([len(b) + DEPTH for b in bodies])
     return stream, ends - np.array([len(b) for b in bodies]), ends
 
 
-def inside(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Which of n places are of a text."""
+def inside(n: int, begins: np.ndarray, ends: np.ndarray, flags: np.ndarray | None = None) -> np.ndarray:
+    """Which of n places are of a body (that has its flag)."""
     d = np.zeros(n + 1, np.int8)
-    d[begins] += 1
-    np.subtract.at(d, ends, 1)
-    return np.cumsum(d[:-1]).astype(bool)
+    some = slice(None) if flags is None else flags
+    d[begins[some]] += 1
+    np.subtract.at(d, ends[some], 1)
+    return np.cumsum(d[:-1], dtype=np.int8).astype(bool)
 
 
-def gram_keys(stream: np.ndarray) -> np.ndarray:
-    """At each place the four bytes up to it, the last lowest."""
-    s = stream.astype(np.uint32)
-    out = s.copy()
-    for k in (1, 2, 3):
-        out[k:] |= s[:-k] << np.uint32(8 * k)
+def string_keys(stream: np.ndarray) -> np.ndarray:
+    """At each place its byte (lowest) and the DEPTH bytes before it, the last one highest."""
+    out = stream.astype(np.int64)
+    for k in range(1, DEPTH + 1):
+        out[k:] |= stream[:-k].astype(np.int64) << (8 * (DEPTH + 1 - k))
     return out
 
 
-def as_long(column):
-    return pa.array(column.astype(np.int64))
+def token_keys(bodies: list) -> tuple:
+    """62 bits of hash of every token of bodies, and how many tokens each has; the line feed that closes a body is its end token."""
+    words = [b[:-1].split(b" ") if len(b) > 1 else [] for b in bodies]
+    sizes = np.array([len(w) + 1 for w in words])
+    out = np.fromiter((h for w in words for h in map(xxhash.xxh64_intdigest, (*w, b""), repeat(7))), np.uint64, int(sizes.sum()))
+    return (out >> np.uint64(2)).view(np.int64), sizes
+
+
+def portions(texts: list):
+    """Runs of texts of about CHUNK bytes, as (first, last) numbers."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) + 1
+        if size >= CHUNK or i + 1 == len(texts):
+            yield at, i + 1
+            at, size = i + 1, 0
+
+
+class Counts:
+    """Distinct keys of a batch and how often training texts hold them."""
 
+    def __init__(self):
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-def token_hashes(tokens: list) -> np.ndarray:
-    """64 bits of each token as a signed long; b"" stands for the end of a text."""
-    return (np.fromiter(map(xxhash.xxh64_intdigest, tokens, repeat(7)), np.uint64, len(tokens)) ^ np.uint64(1 << 63)).view(np.int64)
+    def add(self, keys: np.ndarray, held_out: np.ndarray):
+        x = (keys << 1) | held_out
+        x.sort()
+        at = firsts(x >> 1)
+        times = np.add.reduceat(1 - (x & 1), at) if len(at) else np.zeros(0, np.int64)
+        self.keys, self.n = summed(np.concatenate([self.keys, x[at] >> 1]), np.concatenate([self.n, times]))
 
 
-def training(docs: DataFrame) -> DataFrame:
-    return docs.where("coalesce(held_out, false) = false").select("text")
+KEYED = "batch long, shard int, size int, keys binary, counts binary"
 
 
-def first_counts(docs: DataFrame) -> DataFrame:
-    """(kind, key, n) over the training texts: tokens by hash (kind 0) and strings of four bytes (kind 1)."""
+def shard_rows(batch: int, strings: Counts, tokens: Counts):
+    """A batch's rows of KEYED, a record batch at a time."""
+    for c, shard in ((strings, strings.keys >> 8 * (DEPTH - 1)), (tokens, TOKENS + (tokens.keys >> 54))):
+        at = firsts(shard)
+        rows = [(int(shard[i]), s, min(s + ROW, e)) for i, e in zip(at.tolist(), [*at[1:].tolist(), len(shard)], strict=True) for s in range(i, e, ROW)]
+        for k in range(0, len(rows), 500):
+            some = rows[k : k + 500]
+            yield [pa.array([batch] * len(some), pa.int64()), pa.array([x[0] for x in some], pa.int32()), pa.array([e - s for _, s, e in some], pa.int32()), pa.array([packed(c.keys[s:e]) for _, s, e in some], pa.binary()), pa.array([packed(c.n[s:e]) for _, s, e in some], pa.binary())]
+
+
+def gathered(docs: DataFrame) -> DataFrame:
+    """KEYED and (ids, held, sizes): a batch's rows by shard, and rows of DOCS with its normalised texts in keys."""
+    names = [*(x.split()[0] for x in KEYED.split(", ")), "ids", "held", "sizes"]
+    lists = [pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64())]
 
     def run(batches):
-        tokens: Counter = Counter()
+        number, size, strings, tokens = TaskContext.get().partitionId() << 32, 0, Counts(), Counts()
 
-        def flush():
-            keys = token_hashes(list(tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(keys), np.int8)), pa.array(keys), pa.array(np.fromiter(tokens.values(), np.int64, len(tokens)))], names=["kind", "key", "n"])
-            tokens.clear()
+        def close():
+            for columns in shard_rows(number, strings, tokens):
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(len(columns[0]), t) for t in lists)], names=names)
 
         for batch in batches:
-            texts, grams = texts_of(batch.column(0)), []
-            for at in range(0, len(texts), 1000):
-                for t in texts[at : at + 1000]:
-                    tokens.update(t.translate(LOWER).split())
-                tokens[b""] += len(texts[at : at + 1000])
-                stream, begins, ends = stream_of(texts[at : at + 1000])
-                grams.append(np.unique(gram_keys(stream)[inside(len(stream), begins, ends)], return_counts=True))
-                if len(tokens) > 1_000_000:
-                    yield from flush()
-            if grams:
-                keys, at = np.unique(np.concatenate([g for g, _ in grams]), return_inverse=True)
-                n = np.bincount(at, np.concatenate([c for _, c in grams]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(keys), np.int8)), as_long(keys), as_long(n)], names=["kind", "key", "n"])
-        yield from flush()
-
-    return training(docs).mapInArrow(run, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def deeper_counts(docs: DataFrame, tree, depth: int) -> DataFrame:
-    """(key, n) over the training texts: places whose longest context is tree's node key >> 8, of the tree's last level, and their byte."""
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
+                texts, out = texts_of(rows.column(2)), rows.column(1).to_numpy(zero_copy_only=False).astype(object)
+                out = np.array([bool(x) for x in out])  # a null is not held out
+                for i, j in portions(texts):
+                    bodies = bodies_of(texts[i:j])
+                    stream, begins, ends = stream_of(bodies)
+                    trained = inside(len(stream), begins, ends, np.flatnonzero(~out[i:j]))
+                    some = inside(len(stream), begins, ends)
+                    strings.add(string_keys(stream)[some], ~trained[some])
+                    keys, each = token_keys(bodies)
+                    tokens.add(keys, np.repeat(out[i:j], each))
+                    blob = b"".join(bodies)
+                    docs_row = [[number], [DOCS], [len(blob)], [pa.compress(blob, codec="zstd", asbytes=True)], [b""], [rows.column(0).slice(i, j - i).to_pylist()], [rows.column(1).slice(i, j - i).to_pylist()], [[len(b) for b in bodies]]]
+                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), *lists]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(docs_row, kinds, strict=True)], names=names)
+                    size += len(blob)
+                if size >= BATCH:
+                    yield from close()
+                    number, size, strings, tokens = number + 1, 0, Counts(), Counts()
+        if size:
+            yield from close()
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, KEYED + ", ids array<long>, held array<boolean>, sizes array<long>")
+
+
+# The tree
+
+
+def groups(batches, by: list):
+    """Rows, as dicts, that agree in the columns `by`, of sorted rows: (values, iterator of rows)."""
+    from itertools import groupby
+
+    rows = (row for batch in batches for at in range(0, batch.num_rows, 64) for row in batch.slice(at, 64).to_pylist())
+    yield from groupby(rows, key=lambda r: tuple(r[c] for c in by))
+
+
+def merged_rows(rows) -> tuple:
+    """Keys and sums of the counts of rows of KEYED."""
+    keys, n, held, m = [], [], 0, 0
+    for r in rows:
+        keys.append(unpacked(r["keys"], r["size"]))
+        n.append(unpacked(r["counts"], r["size"]))
+        held += r["size"]
+        if held > 2 * m + ROW:  # sums go on in memory that grows with the distinct keys alone
+            a, b = summed(np.concatenate(keys), np.concatenate(n))
+            keys, n, held, m = [a], [b], len(a), len(a)
+    return summed(np.concatenate(keys), np.concatenate(n))
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """(shard, size, keys, counts): sums over the batches of KEYED and `salt`; a shard's salts stay apart."""
 
     def run(batches):
-        t, first = tree.value
-        total = np.zeros((t.n - first) * 256, np.int64)
-        for batch in batches:
-            texts, found = texts_of(batch.column(0)), []
-            for at in range(0, len(texts), TEXTS):
-                stream, begins, ends = stream_of(texts[at : at + TEXTS])
-                node = t.nodes(stream, depth)
-                at_ = np.flatnonzero((node >= first) & inside(len(stream), begins, ends))
-                found.append((node[at_] - first) * 256 + stream[at_])
-                if sum(map(len, found)) > len(total):
-                    total += np.bincount(np.concatenate(found), minlength=len(total))
-                    found = []
-            if found:
-                total += np.bincount(np.concatenate(found), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([as_long(some), as_long(total[some])], names=["key", "n"])
+        for (shard, _), some in groups(batches, ["shard", "salt"]):
+            keys, n = merged_rows(some)
+            for at in range(0, len(keys), ROW):
+                k, c = keys[at : at + ROW], n[at : at + ROW]
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([len(k)], pa.int32()), pa.array([packed(k)], pa.binary()), pa.array([packed(c)], pa.binary())], names=["shard", "size", "keys", "counts"])
 
-    return training(docs).mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt").mapInArrow(run, "shard int, size int, keys binary, counts binary")
 
 
-def level_of(key: np.ndarray, n: np.ndarray, length: int) -> Level:
-    """A level of counts by key: the context's bytes as a number, then the byte."""
-    own, at = np.unique(key >> 8, return_inverse=True)
-    return Level([int(c).to_bytes(length, "big") for c in own], at, key & 255, n.astype(np.float64))
+class Level:
+    """The contexts of one length that have nodes: contexts (sorted), and the sorted (context, byte) keys with their counts n."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        key, n = summed(((keys >> 8 * (DEPTH + 1 - depth)) << 8) | (keys & 255), n)
+        at = firsts(key >> 8)
+        total = np.add.reduceat(n, at) if len(at) else n
+        own = np.repeat(total >= LEAST, np.diff(np.append(at, len(key))))
+        self.key, self.n = key[own], n[own]
+        self.contexts = self.key[firsts(self.key >> 8)] >> 8
+
+    def decisions(self, bit: int) -> tuple:
+        """The sorted (context, decision) keys that occur at one of a byte's eight bits, their zeros and ones."""
+        node = ((self.key >> 8) << 8) | (1 << bit) | ((self.key & 255) >> (8 - bit))
+        at = firsts(node)
+        one = (self.key >> (7 - bit)) & 1
+        sums = (lambda x: np.add.reduceat(x, at)) if len(at) else (lambda x: x)
+        return node[at], sums(self.n * (1 - one)), sums(self.n * one)
+
+
+class Subtree:
+    """The contexts of 2 to `depth` bytes of whole shards, weighted bottom up, a bit at a time; keys need not be sorted."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray, depth: int):
+        own = n > 0
+        self.levels = [Level(keys[own], n[own], d) for d in range(2, depth + 1)]
+        for level, below in zip(self.levels, [*self.levels[1:], None], strict=True):
+            level.inner = np.isin(level.contexts, below.contexts >> 8) if below else np.zeros(len(level.contexts), bool)
+
+    def nodes(self, bit: int) -> list:
+        """For each level: its (context, decision) keys, log block probabilities, own predictions, own weights and the rests' predictions."""
+        out: list = []
+        below = None
+        for level in reversed(self.levels):
+            key, z, o = level.decisions(bit)
+            inner = level.inner[np.searchsorted(level.contexts, key >> 8)]
+            own, rz, ro, sums = log_kt(z, o), z, o, 0.0
+            if below and len(below[0]):
+                child, cz, co, block = below
+                up = np.searchsorted(key, (child >> 16 << 8) | (child & 255))
+                rz, ro = z - np.bincount(up, cz, len(key)).astype(np.int64), o - np.bincount(up, co, len(key)).astype(np.int64)
+                sums = np.bincount(up, block, len(key))
+            both, weight = log_odds(own, log_kt(rz, ro) + sums)
+            block = np.where(inner, both - math.log(2), own)
+            out.append((key, block, (o + 0.5) / (z + o + 1), np.where(inner, weight, 1.0), (ro + 0.5) / (rz + ro + 1)))
+            below = key, z, o, block
+        return out[::-1]
+
+    def blocks(self, shards: np.ndarray) -> np.ndarray:
+        """Log block probabilities of contexts of two bytes (sorted) at each of the 256 decisions; zeros where one has no node."""
+        out = np.zeros((len(shards), 256))
+        for bit in range(8):
+            key, block, *_ = self.nodes(bit)[0]
+            out[np.searchsorted(shards, key >> 8), key & 255] = block
+        return out
 
+    def predict(self, keys: np.ndarray, base: np.ndarray, share: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Log10 probability of each key's byte; base and share: what the top of the tree predicts at each decision, and the share that it leaves, of the rows' shards."""
+        out = np.zeros(len(keys))
+        exists, inner, at = [], [], []
+        for d, level in enumerate(self.levels, 2):
+            context = keys >> 8 * (DEPTH + 1 - d)
+            i = np.minimum(np.searchsorted(level.contexts, context), max(0, len(level.contexts) - 1))
+            found = level.contexts[i] == context if len(level.contexts) else np.zeros(len(keys), bool)
+            exists.append(found)
+            inner.append(level.inner[i] if len(level.contexts) else found)
+            at.append(context)
+        for bit in range(8):
+            node = (1 << bit) | ((keys & 255) >> (8 - bit))
+            p, left = base[row, node], share[row, node]
+            for k, (own, _, guess, weight, rest) in enumerate(self.nodes(bit)):
+                live = np.flatnonzero(exists[k])
+                if not len(live):
+                    break
+                q = (at[k][live] << 8) | node[live]
+                i = np.minimum(np.searchsorted(own, q), len(own) - 1)
+                seen = own[i] == q
+                w = np.where(seen, weight[i], np.where(inner[k][live], 0.5, 1.0))
+                mine = left[live]
+                p[live] += mine * w * np.where(seen, guess[i], 0.5)
+                mine = mine * (1 - w)
+                last = ~exists[k + 1][live] if k + 1 < len(self.levels) else np.ones(len(live), bool)
+                p[live[last]] += (mine * np.where(seen, rest[i], 0.5))[last]
+                left[live] = np.where(last, 0, mine)
+            p = np.clip(p, 1e-9, 1 - 1e-9)
+            out += np.log10(np.where((keys >> (7 - bit)) & 1, p, 1 - p))
+        return out
 
-def columns_of(df: DataFrame) -> list:
-    """A bounded table's columns as arrays on the driver."""
-    got = df.toArrow()
-    return [c.to_numpy() for c in got.columns]
 
+def decisions(counts: np.ndarray) -> tuple:
+    """Zeros and ones at each of the 255 decisions (node 1 is the highest bit's) of rows of 256 counts."""
+    zeros, ones = np.zeros((2, len(counts), 256), np.int64)
+    level, width = counts, 128
+    while width:
+        pair = level.reshape(len(counts), width, 2)
+        zeros[:, width : 2 * width], ones[:, width : 2 * width] = pair[:, :, 0], pair[:, :, 1]
+        level, width = pair.sum(axis=2), width // 2
+    return zeros, ones
 
-def learn(docs: DataFrame, depth: int = DEPTH, contexts: int = CONTEXTS):
-    """(tree, token counts): the tree holds at most `contexts` contexts of each length, whatever the corpus."""
-    spark = docs.sparkSession
-    counts = cut(first_counts(docs))
-    grams = counts.where("kind = 1").select("key", "n")
-    if not grams.take(1):
-        return weighted_tree([Level([b""], np.zeros(0, int), np.zeros(0, int), np.zeros(0))]), counts.select("key", "n")
-    levels: list = []
-    for d in range(min(depth, 3) + 1):
-        own = grams.groupBy((F.col("key") % 256 ** (d + 1)).alias("key")).agg(F.sum("n").alias("n"))
-        if d:
-            kept = own.groupBy(F.floor(F.col("key") / 256).alias("context")).agg(F.sum("n").alias("m")).where("m > 1").orderBy(F.desc("m"), "context").limit(contexts).select("context")
-            own = own.join(kept, F.floor(F.col("key") / 256) == F.col("context")).select("key", "n")
-        key, n = columns_of(own)  # at most `contexts` times 256 rows
-        if d:  # of equal counts the limit may keep a context without the one above it
-            known = np.array(sorted(int.from_bytes(c, "big") for c in levels[-1].contexts), np.int64)
-            some = np.isin((key >> 8) % 256 ** (d - 1), known)
-            key, n = key[some], n[some]
-        if not len(key):
-            break
-        levels.append(level_of(key, n, d))
-    for d in range(len(levels), depth + 1):
-        last, parents = levels[-1], set(levels[-1].contexts)
-        most = np.flatnonzero(last.n > 1)
-        most = most[np.argsort(-last.n[most], kind="stable")][:contexts]
-        new = [c for c in (last.contexts[i] + bytes([b]) for i, b in zip(last.place[most].tolist(), last.byte[most].tolist(), strict=True)) if c[1:] in parents]
-        if d < 4 or not new:
-            break
-        child, _, n = child_table([*(x.contexts for x in levels), new])
-        sent = spark.sparkContext.broadcast((Tree(child, np.zeros((0, 256)), n), n - len(new)))
-        key, k = columns_of(deeper_counts(docs, sent, d))
-        sent.unpersist()
-        levels.append(Level(new, key >> 8, key & 255, k.astype(np.float64)))
-    return weighted_tree(levels), counts.where("kind = 0").select("key", "n")
-
-
-def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, contexts: int = CONTEXTS, folds: int = 7, fold: int = 2) -> DataFrame:
+
+class Top:
+    """The contexts of up to one byte. shards: contexts of two bytes (the last one highest); counts and blocks: their rows of 256."""
+
+    def __init__(self, shards: np.ndarray, counts: np.ndarray, blocks: np.ndarray):
+        node = counts.sum(axis=1) >= LEAST
+        one, whole = np.zeros((2, 256, 256), np.int64)
+        sums = np.zeros((256, 256))
+        up = shards >> 8
+        np.add.at(whole, up, counts)
+        np.add.at(one, up[node], counts[node])
+        np.add.at(sums, up[node], blocks[node])
+        inner = np.bincount(up[node], minlength=256) > 0
+        (z, o), (rz, ro) = decisions(whole), decisions(whole - one)
+        own = log_kt(z, o)
+        both, weight = log_odds(own, log_kt(rz, ro) + sums)
+        weight = np.where(inner[:, None], weight, 1.0)
+        block = np.where(inner[:, None], both - math.log(2), own)
+        self.held = whole.sum(axis=1) >= LEAST
+        root, covered = whole.sum(axis=0, keepdims=True), whole[self.held].sum(axis=0, keepdims=True)
+        (z0, o0), (rz0, ro0) = decisions(root), decisions(root - covered)
+        _, w0 = log_odds(log_kt(z0, o0), log_kt(rz0, ro0) + block[self.held].sum(axis=0))
+        w0 = w0 if self.held.any() else np.ones_like(w0)
+        base = np.repeat(w0 * ((o0 + 0.5) / (z0 + o0 + 1)), 256, axis=0)
+        share = np.repeat(1 - w0, 256, axis=0)
+        rest0 = ((ro0 + 0.5) / (rz0 + ro0 + 1))[0]
+        base[~self.held] += share[~self.held] * rest0
+        share[~self.held] = 0
+        base += share * weight * ((o + 0.5) / (z + o + 1))
+        self.share = share * (1 - weight)
+        self.base, self.rest = base, (ro + 0.5) / (rz + ro + 1)
+        self.nodes = set(shards[node].tolist())
+
+    def of(self, shard: int) -> tuple:
+        """base and share of Subtree.predict for a shard."""
+        up = shard >> 8
+        if shard in self.nodes:
+            return self.base[up], self.share[up]
+        return self.base[up] + self.share[up] * self.rest[up], np.zeros(256)
+
+
+def shard_runs(batches):
+    """Whole shards of rows sorted by shard, merged: (are they of tokens, keys, counts), some TOGETHER keys at a time unless one shard has more."""
+    kind, held, size = False, [], 0
+
+    def close():
+        keys, n = zip(*held, strict=True)
+        return kind, np.concatenate(keys), np.concatenate(n)
+
+    for (shard,), some in groups(batches, ["shard"]):
+        if held and ((shard >= TOKENS) != kind or size >= TOGETHER):
+            yield close()
+            held, size = [], 0
+        kind = shard >= TOKENS
+        held.append(merged_rows(some))
+        size += len(held[-1][0])
+    if held:
+        yield close()
+
+
+def tops(sums: DataFrame, depth: int) -> tuple:
+    """(Top, sum of token counts, distinct tokens): a row for each context of two bytes, 65,536 at most, and sums come to the driver."""
+
+    def run(batches):
+        for token, keys, n in shard_runs(batches):
+            shards, row = np.unique(keys >> 8 * (DEPTH - 1), return_inverse=True) if not token else (np.full(1, -1), None)
+            columns = [pa.array(shards, pa.int32()), pa.array([int(n.sum()) if token else 0] * len(shards), pa.int64()), pa.array([int((n > 0).sum()) if token else 0] * len(shards), pa.int64())]
+            if token:
+                columns += [pa.nulls(1, pa.binary())] * 2
+            else:
+                counts = np.bincount(row * 256 + (keys & 255), n, len(shards) * 256).astype(np.int64).reshape(-1, 256)
+                columns += [pa.array([x.tobytes() for x in rows], pa.binary()) for rows in (counts, Subtree(keys, n, depth).blocks(shards))]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "n", "distinct", "counts", "block"])
+
+    got = sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, n long, distinct long, counts binary, block binary").toArrow().to_pylist()
+    own = [r for r in got if r["shard"] >= 0]
+    rows = lambda name, kind: np.array([np.frombuffer(r[name], kind) for r in own]).reshape(-1, 256)
+    top = Top(np.array([r["shard"] for r in own], np.int64), rows("counts", np.int64), rows("block", np.float64))
+    return top, sum(r["n"] for r in got), sum(r["distinct"] for r in got)
+
+
+def predicted(sums: DataFrame, top, depth: int) -> DataFrame:
+    """(shard, size, keys, values): log10 probabilities of strings, as doubles; counts of tokens, as longs."""
+
+    def run(batches):
+        for token, keys, n in shard_runs(batches):
+            shard, values = (TOKENS + (keys >> 54), n) if token else (keys >> 8 * (DEPTH - 1), None)
+            at = firsts(shard)
+            if not token:
+                base, share = zip(*map(top.value.of, shard[at].tolist()), strict=True)
+                values = Subtree(keys, n, depth).predict(keys, np.array(base), np.array(share), np.searchsorted(shard[at], shard))
+            for s, e in zip(at.tolist(), [*at[1:].tolist(), len(keys)], strict=True):
+                rows = [(i, min(i + ROW, e)) for i in range(s, e, ROW)]
+                yield pa.RecordBatch.from_arrays([pa.array([shard[s]] * len(rows), pa.int32()), pa.array([j - i for i, j in rows], pa.int32()), pa.array([packed(keys[i:j]) for i, j in rows], pa.binary()), pa.array([values[i:j].tobytes() for i, j in rows], pa.binary())], names=["shard", "size", "keys", "values"])
+
+    return sums.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "shard int, size int, keys binary, values binary")
+
+
+def looked_up(rows: DataFrame, model: DataFrame, salts: int) -> DataFrame:
+    """(batch, shard, size, keys, values as floats or longs) for the rows of KEYED and `salt`: each shard's model meets its batches."""
+    asked = rows.select("shard", "salt", F.lit(1).alias("kind"), "batch", "size", "keys", F.lit(None).cast("binary").alias("values"))
+    told = model.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("batch"), "size", "keys", "values")
+
+    def run(batches):
+        for (shard, _), some in groups(batches, ["shard", "salt"]):
+            kind = np.int64 if shard >= TOKENS else np.float64
+            known, values = [], []
+            table = None
+            for r in some:
+                keys = unpacked(r["keys"], r["size"])
+                if r["kind"] == 0:
+                    known.append(keys)
+                    values.append(np.frombuffer(r["values"], kind))
+                    continue
+                if table is None:
+                    table, value = np.concatenate(known), np.concatenate(values)
+                    order = np.argsort(table, kind="stable")  # the rows of a shard may come in any order
+                    table, value = table[order], value[order]
+                got = value[np.searchsorted(table, keys)]
+                got = got if shard >= TOKENS else got.astype(np.float32)
+                yield pa.RecordBatch.from_arrays([pa.array([r["batch"]], pa.int64()), pa.array([shard], pa.int32()), pa.array([r["size"]], pa.int32()), pa.array([r["keys"]], pa.binary()), pa.array([got.tobytes()], pa.binary())], names=["batch", "shard", "size", "keys", "values"])
+
+    both = asked.unionByName(told).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
+    return both.mapInArrow(run, "batch long, shard int, size int, keys binary, values binary")
+
+
+class Lookup:
+    """Values by key, in a table with open addressing."""
+
+    def __init__(self, keys: list, values: list, kind):
+        self.keys, self.values = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (values, kind)))
+        self.shift = 64 - max(4, int(2 * len(self.keys) + 1).bit_length())
+        self.table = np.full(1 << (64 - self.shift), -1, np.int32)
+        todo, slot = np.arange(len(self.keys), dtype=np.int32), self.slots(self.keys)
+        while len(todo):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = todo[free]
+            lost = self.table[slot] != todo
+            todo, slot = todo[lost], (slot[lost] + 1) & (len(self.table) - 1)
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).view(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all in the table."""
+        slot = self.slots(keys)
+        place = self.table[slot]
+        todo = np.flatnonzero(self.keys[place] != keys)
+        slot = slot[todo]
+        while len(todo):
+            slot = (slot + 1) & (len(self.table) - 1)
+            got = self.table[slot]
+            if (got < 0).any():
+                raise KeyError("a key that no row has told of")
+            place[todo] = got
+            wrong = self.keys[got] != keys[todo]
+            todo, slot = todo[wrong], slot[wrong]
+        return self.values[place]
+
+
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, logs double, score double, n_bytes long"
+
+
+def summed_up(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """SCORED: each batch's values meet its texts."""
+    blank = lambda kind: F.lit(None).cast(kind)
+    a = found.select("batch", "shard", "size", "keys", "values", blank("array<long>").alias("ids"), blank("array<boolean>").alias("held"), blank("array<long>").alias("sizes"))
+    b = texts.select("batch", "shard", "size", "keys", blank("binary").alias("values"), "ids", "held", "sizes")
+
+    def run(batches):
+        for _, some in groups(batches, ["batch"]):
+            held: tuple = ([], [], [], [])
+            tables = None
+            for r in some:
+                if r["shard"] < DOCS:
+                    token = r["shard"] >= TOKENS
+                    held[2 * token].append(unpacked(r["keys"], r["size"]))
+                    held[2 * token + 1].append(np.frombuffer(r["values"], np.int64 if token else np.float32))
+                    continue
+                if tables is None:
+                    tables = Lookup(*held[:2], np.float32), Lookup(*held[2:], np.int64)
+                    held = ([], [], [], [])
+                blob = pa.decompress(r["keys"], r["size"], codec="zstd", asbytes=True)
+                cuts = np.concatenate([[0], np.cumsum(r["sizes"])]).tolist()
+                bodies = [blob[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
+                stream, begins, ends = stream_of(bodies)
+                own = inside(len(stream), begins, ends)
+                logs = np.concatenate([[0.0], np.cumsum(tables[0](string_keys(stream)[own]), dtype=np.float64)])
+                score = np.diff(logs[cuts])
+                keys, each = token_keys(bodies)
+                counts = tables[1](keys)
+                owner = np.repeat(np.arange(len(each)), each)
+                sums = np.bincount(owner, np.log10(counts + 1.0), len(each))
+                known = np.bincount(owner, counts > 0, len(each)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(each.astype(np.int64)), pa.array(known), pa.array(sums), pa.array(score), pa.array(r["sizes"], pa.int64())], names=[x.split()[0] for x in SCORED.split(", ")])
+
+    return a.unionByName(b).repartition("batch").sortWithinPartitions("batch", "shard").mapInArrow(run, SCORED)
+
+
+def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, folds: int = 7, fold: int = 2) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte): one row per input row.
 
     Texts whose crc32(id as text) mod folds is fold are held out of all counts; a null id is not held out
     and has held_out null. Null texts count as empty: they are their end alone. score covers the text's
-    words in lower case, the spaces between them and its end. Repeated rows count and score as rows of
-    their own. An empty table gives none.
+    words in lower case, the spaces between them and its end; depth is 2 to DEPTH. Repeated rows count
+    and score as rows of their own. An empty table gives none.
     """
     spark = docs.sparkSession
+    shared_dir(spark)
     held = F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), held.alias("held_out"), F.col(text_col).alias("text"))
-    tree, tokens = learn(own, depth, contexts)
-    n, v = (x or 0 for x in tokens.agg(F.sum("n"), F.count("*")).first())
-    key, count = columns_of(tokens.where(F.col("n") >= max(2.0, n / HEAVY)).orderBy("key"))  # HEAVY rows at most
-    key, count = (key, count) if len(key) else (np.zeros(1, np.int64), np.full(1, -1))
-    sent = spark.sparkContext.broadcast((tree, key, np.where(count > 0, np.log10(np.maximum(count, 0) + 1.0), 0.0)))
-
-    def run(batches):
-        t, often, logs = sent.value
-        for batch in batches:
-            texts = texts_of(batch.column(2))
-            for at in range(0, len(texts), TEXTS):
-                some = texts[at : at + TEXTS]
-                stream, begins, ends = stream_of(some)
-                values = t.table[t.nodes(stream, depth), stream].astype(np.float64)
-                upto = np.concatenate([[0.0], np.cumsum(np.where(inside(len(stream), begins, ends), values, 0.0))])
-                bags = [Counter(x.translate(LOWER).split()) for x in some]
-                for bag in bags:
-                    bag[b""] = 1
-                owner = np.repeat(np.arange(len(some)), [len(bag) for bag in bags])
-                times = np.fromiter((n for bag in bags for n in bag.values()), np.int64, len(owner))
-                keys = token_hashes([w for bag in bags for w in bag])
-                place = np.minimum(np.searchsorted(often, keys), len(often) - 1)
-                hit = often[place] == keys
-                total = lambda x: np.bincount(owner, x, len(some))  # noqa: B023, E731
-                rare = ~hit
-                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[rare], minlength=len(some)))]), pa.int32())
-                lists = [pa.ListArray.from_arrays(offsets, pa.array(keys[rare])), pa.ListArray.from_arrays(offsets, pa.array(times[rare].astype(np.int32)))]
-                rows = batch.slice(at, TEXTS)
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), as_long(total(times)), as_long(total(times * hit)), pa.array(total(times * hit * logs[place])), pa.array(upto[ends] - upto[begins]), as_long(ends - begins), *lists], names=["doc_id", "held_out", "n_tokens", "known", "sums", "score", "n_bytes", "keys", "times"])
-
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, sums double, score double, n_bytes long, keys array<long>, times array<int>"
-    rows = spilled(own.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()))
-    rare = rows.select("row", F.explode(F.arrays_zip("keys", "times")).alias("z")).select("row", F.col("z.keys").alias("key"), F.col("z.times").alias("times"))
-    hit = rare.join(tokens, "key").groupBy("row").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("sum_more"))
-    known = F.col("known") + F.coalesce("more", F.lit(0).cast("long"))
-    base = F.col("sums") + F.coalesce("sum_more", F.lit(0.0)) - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
-    out = rows.drop("keys", "times").join(hit, "row", "left")
-    return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", known.alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"))
+    all_ = spilled(gathered(own))
+    keyed = all_.where(F.col("shard") < DOCS).select("batch", "shard", "size", "keys", "counts")
+    salts = -(-max(1, all_.select("batch").distinct().count()) // LOOKED_UP)
+    keyed = keyed.withColumn("salt", F.pmod(F.xxhash64("batch"), F.lit(salts)).cast("int"))
+    sums = spilled(merged(keyed))
+    top, n, v = tops(sums, depth)
+    sent = spark.sparkContext.broadcast(top)
+    model = spilled(predicted(sums, sent, depth))
+    out = summed_up(all_.where(F.col("shard") == DOCS), looked_up(keyed, model, salts))
+    base = F.col("logs") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))
+    return out.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score", "n_bytes", (-F.col("score") / math.log10(2) / F.col("n_bytes")).alias("bits_per_byte"))
