@@ -204,7 +204,22 @@ def test_simhash(docs, data, none):
     assert {0, 3, 4, 5, 7, 10, None} <= own and own.isdisjoint({1, 2, 6, 11})
 
 
-def test_similar_documents(spark):
+def brute_similar(data, least=0.8, width=5):
+    """(id, text) rows of each group by Jaccard similarity of sets of word shingles."""
+    own = sorted({(i, t) for i, t in data if i is not None}, key=lambda x: (x[0], x[1] or ""))
+    sets = []
+    for _, t in own:
+        w = words(t)
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or ({tuple(w)} if w else set()))
+    links = [(a, b) for a in range(len(own)) for b in range(a) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) > 0]
+    comp = brute_components(range(len(own)), links)
+    groups = {}
+    for k, row in enumerate(own):
+        groups.setdefault(comp[k], []).append(row)
+    return list(groups.values())
+
+
+def test_similar_documents(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = [[f"w{x}" for x in rng.integers(0, 5000, 300)] for _ in range(6)]
     texts = []
@@ -212,19 +227,57 @@ def test_similar_documents(spark):
         texts.append(" ".join(b))
         for k in range(10):  # each change takes five of 296 shingles
             c = list(b)
-            for at in rng.choice(300, 3, replace=False):
+            for at in rng.choice(300, 1 + k if k < 5 else 9 + k, replace=False):
                 c[at] = f"new{k}"
             texts.append(" ".join(c))
-    texts += [texts[0], None, "", "a b"]
+    texts += [texts[0], None, "", "a b", "b a", "A  b"]
     df = table(spark, texts, DOCUMENTS)
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(df.select("doc_id", "text")).collect()}
-    groups = [{got[11 * g + k] for k in range(11)} for g in range(6)]
-    assert all(len(g) <= 2 for g in groups) and sum(len(g) for g in groups) <= 8 and got[66] == got[0]
-    assert len(set().union(*groups)) == sum(map(len, groups)) and got[67] == got[68] == 67 and got[69] == 69
-    rows_ = [(i, int(p) if p < 1 << 63 else int(p) - (1 << 64), bytes(s)) for i, (p, s) in enumerate(zip(*simhash.sketches([(t or "").encode() for t in texts]), strict=True))]
-    links = spark.createDataFrame(rows_, "node long, fingerprint long, sketch binary")
-    found = [brute_components(range(len(texts)), [(r.a, r.b) for r in simhash.similar_links(links, 0.8, bucket).collect()]) for bucket in (4096, 5)]
-    assert found[0] == found[1]
+    again = df.union(df.where("doc_id = 5")).union(spark.createDataFrame([(7, "another text of its own under an id that is taken", "en", "a", 0), (None, "a b", "en", "a", 0), (None, "a b", "en", "a", 0)], DOCUMENTS))
+    groups = brute_similar([(r.doc_id, r.text) for r in again.collect()])
+    ids = sorted(min(i for i, _ in g) for g in groups)
+    assert 30 < len(groups) < 45
+    for bucket, small in ((4096, 128), (5, 3)):  # chunks of buckets, and tables of references
+        monkeypatch.setattr(simhash, "SMALL", small)
+        rows_ = simhash.similar_documents(again).collect()
+        assert Counter(r.component_id for r in rows_) == Counter(min(i for i, _ in g) for g in groups for _ in g)
+        kept = simhash.kept_documents(again)
+        assert kept.columns == again.columns
+        assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == ids and kept.where("doc_id IS NULL").count() == 2
+        nodes = [(i, *(int(v) for v in p.view(np.int64))) for i, p in enumerate(simhash.set_prints([(t or "").encode() for t in texts], 5)[1].T.copy())]
+        found = simhash.similar_candidates(spark.createDataFrame(nodes, "node long, x long, y long"), bucket).collect()
+        assert all(r.d <= simhash.FAR for r in found)
+        comp = brute_components(range(len(texts)), [(r.a, r.b) for r in found])
+        assert all(len({comp[11 * g + k] for k in range(6)}) == 1 for g in range(6))
+
+
+def test_spanning_forest():
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 40, (2, 300))
+    d = rng.integers(0, 9, 300)
+    x, y, w = (v[simhash.spanning(a, b, d)] for v in (a, b, d))
+    for most in range(9):  # at any distance the forest joins what the links join
+        one, two = (brute_components(range(40), [(int(p), int(q)) for p, q, k in zip(*z, strict=True) if k <= most]) for z in ((a, b, d), (x, y, w)))
+        assert one == two
+    assert len(x) < 40
+
+
+def test_references_discard_only_far_pairs(monkeypatch):
+    rng = np.random.default_rng(6)
+    x, y = rng.integers(0, 2**63, (2, 200)).astype(np.uint64)
+    for g in (0, 20):
+        x[50 + g : 70 + g] = x[g] ^ (np.uint64(1) << rng.integers(0, 63, 20).astype(np.uint64))
+        y[50 + g : 70 + g] = y[g]
+    x[90:95], y[90:95] = x[0] ^ np.uint64(0xFFFF), y[0]  # some farther from the first group, by more than NEAREST of their like
+    x[95], y[95] = x[20] ^ np.uint64(0xFFFFFF), y[20]
+    want = [(p, q, int(x[p] ^ x[q]).bit_count() + int(y[p] ^ y[q]).bit_count()) for p in range(200) for q in range(p)]
+    want = [w for w in want if w[2] <= simhash.FAR]
+    i, j, d = simhash.wide_links(x, y, 16)
+    got = {(max(p, q), min(p, q), k) for p, q, k in zip(i.tolist(), j.tolist(), d.tolist(), strict=True)}
+    assert got <= set(want) and len(got) < len(want)
+    assert brute_components(range(200), [w[:2] for w in want]) == brute_components(range(200), [w[:2] for w in got])
+    monkeypatch.setattr(simhash, "NEAREST", 300)
+    i, j, _ = simhash.wide_links(x, y, 16)
+    assert {(max(p, q), min(p, q)) for p, q in zip(i.tolist(), j.tolist(), strict=True)} == {w[:2] for w in want}
 
 
 def test_simhash_links_of_random_fingerprints(spark):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, components, cut, local_roots, texts_of
+from .common import LOWER, components, cut, local_roots, spilled, texts_of
 
 N_PIVOTS = 16
 #: Distinct fingerprints that one task compares at once; larger buckets are split into pairs of chunks.
@@ -184,128 +184,213 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
     return prints.join(named, "fingerprint", "left").select(F.col("doc_id").alias(id_col), "fingerprint", "component_id")
 
 
-#: Similarity search: tables of KEY_BITS sampled fingerprint bits, the greatest Hamming distance that is looked at, and bins of a sketch.
-TABLES, KEY_BITS, FAR, BINS = 28, 16, 16, 64
-#: A standard error of a sketch's estimate at a similarity of 0.8: estimates that far below the bound still count.
-MARGIN = 0.05
-#: Members of a bucket that are compared by shifts; larger buckets by bucket_links' table.
-SMALL = 128
+#: Similarity search: tables of KEY_BITS sampled bits of a fingerprint of 128 bits, and the greatest Hamming distance that is looked at.
+TABLES, KEY_BITS, FAR = 96, 16, 32
+#: Members of a bucket that are compared by shifts; larger buckets by their table of distances to as many REFERENCES of their own.
+SMALL, REFERENCES = 32, 8
+#: A spanning forest alone would lose links: distances are noisy, so a lighter link can fail verification where a heavier one holds.
+NEAREST = 4
+#: Pairs of a task that are thinned at once.
+PAIRS = 1 << 20
 
 
-def sketches(texts: list, width: int = 5) -> tuple:
-    """(fingerprints of 3-word shingles, sketches): a sketch has in each bin a byte of the least hash of the text's `width`-word shingles there, 0 for none.
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
 
-    The share of equal bins estimates the Jaccard similarity of two texts' sets of shingles.
-    """
-    prints, out = text_fingerprints(texts, 3), np.zeros((len(texts), BINS), np.uint8)
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct word shingles; fewer words than a shingle are one."""
+    words = text.translate(LOWER).split()
+    if not words:
+        return np.zeros(0, np.uint64)
     c = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x7F4A7C15 for k in range(width)], np.uint64)
-    for i, text in enumerate(texts):
-        words = text.translate(LOWER).split()
-        if not words:
-            continue
-        h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-        n = len(h) - width + 1
-        m = sum(h[k : k + n] * c[k] for k in range(width)) if n > 0 else np.array([(h * c[: len(h)]).sum()], np.uint64)
-        m ^= m >> np.uint64(31)
-        m *= np.uint64(0xBF58476D1CE4E5B9)
-        m = np.sort(m ^ (m >> np.uint64(29)))  # the highest bits are the bin, so each bin's least comes first
-        bins, first = np.unique((m >> np.uint64(58)).astype(np.int64), return_index=True)
-        out[i, bins] = 1 + (m[first] >> np.uint64(20)) % np.uint64(255)
-    return prints, out
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    n = len(h) - width + 1
+    m = sum(h[k : k + n] * c[k] for k in range(width)) if n > 0 else np.array([(h * c[: len(h)]).sum() + np.uint64(len(h))], np.uint64)
+    m = np.sort(mixed(m))
+    return m[np.concatenate([[True], m[1:] != m[:-1]])]
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float) -> np.ndarray:
-    """Which rows of two arrays of sketches agree in at least that share of the bins that either has."""
-    some = (a > 0) | (b > 0)
-    return ((a == b) & some).sum(axis=1) >= least * some.sum(axis=1)
+def set_prints(texts: list, width: int) -> tuple:
+    """(64 bits that name each text's set of shingles, two halves of its SimHash of 128 bits); no words give zeros."""
+    name, prints = np.zeros(len(texts), np.uint64), np.zeros((2, len(texts)), np.uint64)
+    for i, text in enumerate(texts):
+        m = shingle_set(text, width)
+        if len(m):
+            name[i] = mixed(m + np.uint64(7)).sum()
+            for k, h in enumerate((m, mixed(m ^ np.uint64(0x94D049BB133111EB)))):
+                prints[k, i] = fingerprint_bits(h, np.zeros(1, np.int64))[0]
+    return name, prints
 
 
 def table_masks(tables: int = TABLES, bits: int = KEY_BITS) -> np.ndarray:
-    """The sampled bits of each table, as masks."""
+    """The sampled bits of each table, as masks of both halves."""
     rng = np.random.default_rng(17)
-    return np.array([sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)], np.uint64)
+    chosen = [rng.choice(128, bits, replace=False).tolist() for _ in range(tables)]
+    return np.array([[sum(1 << (b - 64 * k) for b in own if b // 64 == k) for k in (0, 1)] for own in chosen], np.uint64)
+
+
+def table_keys(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A row for each table: its number in the highest bits, and a hash of the sampled bits of each fingerprint."""
+    one, two = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+    return np.stack([(mixed((x & m[0]) * one ^ (y & m[1]) * two) >> np.uint64(7)) | np.uint64(t << 57) for t, m in enumerate(table_masks())])
+
 
+def differing(x, y, i, j) -> np.ndarray:
+    return np.bitwise_count(x[i] ^ x[j]).astype(np.int64) + np.bitwise_count(y[i] ^ y[j])
 
-def bucket_pairs(keys: np.ndarray, prints: np.ndarray, held: np.ndarray, least: float):
-    """Pairs of places in sorted keys that are of one bucket, whose fingerprints are near and whose sketches agree: shift by shift."""
+
+def bucket_pairs(keys: np.ndarray, x: np.ndarray, y: np.ndarray):
+    """Near pairs of places in sorted keys that are of one bucket, and their distances: shift by shift."""
     live, shift = np.arange(len(keys)), 1
     while True:
         live = live[live + shift < len(keys)]
         live = live[keys[live] == keys[live + shift]]
         if not len(live):
             return
-        near = live[np.bitwise_count(prints[live] ^ prints[live + shift]) <= FAR]
-        for at in range(0, len(near), 1 << 16):
-            some = near[at : at + (1 << 16)]
-            hit = some[alike(held[some], held[some + shift], least)]
-            yield hit, hit + shift
+        d = differing(x, y, live, live + shift)
+        near = d <= FAR
+        yield live[near], live[near] + shift, d[near]
         shift += 1
 
 
-def wide_pairs(prints: np.ndarray, held: np.ndarray, least: float, chunk: int = 256):
-    """As bucket_pairs(), of one large bucket: the pivot table discards pairs block by block."""
-    pivots = np.random.default_rng(64).integers(0, 2**64, N_PIVOTS, dtype=np.uint64)
-    table = np.stack([np.bitwise_count(prints ^ p).astype(np.int16) for p in pivots])
-    order = np.argsort(table[0], kind="stable")
-    x, table = prints[order], table[:, order]
-    for at in range(0, len(x), chunk):
-        end = min(at + chunk, len(x))
-        stop = np.searchsorted(table[0], table[0, end - 1] + FAR, side="right")
-        far = np.zeros((end - at, stop - at), bool)
-        for p in (1, 2):
-            far |= np.abs(table[p, at:end, None] - table[p, None, at:stop]) > FAR
-        i, j = np.nonzero(~far)
-        i, j = i[j > i] + at, j[j > i] + at
-        near = np.bitwise_count(x[i] ^ x[j]) <= FAR
-        i, j = order[i[near]], order[j[near]]
-        for k in range(0, len(i), 1 << 16):
-            a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-            ok = alike(held[a], held[b], least)
-            yield a[ok], b[ok]
-
-
-def similar_links(rows: DataFrame, least: float, bucket: int = BUCKET) -> DataFrame:
-    """Links (a, b) between nodes of rows (node, fingerprint, sketch) that span the groups of similar ones.
+def wide_links(x: np.ndarray, y: np.ndarray, chunk: int = 256) -> tuple:
+    """As thinned(bucket_pairs()), of one large bucket: pairs whose distances to a reference fingerprint differ by more than FAR are discarded unseen.
 
-    Rows meet in a table if its sampled fingerprint bits agree; with the fixed parameters two texts whose
-    fingerprints differ in 8 of 64 bits meet with a probability of 94 %. A bucket emits a spanning forest.
-    Buckets of more than `bucket` rows are split into pairs of chunks, so none is gathered in one task.
+    Each reference is the member that is farthest from those before it, so the members of a group of near copies are all near one and far from others.
+    """
+    first, table = 0, []
+    for _ in range(REFERENCES):
+        table.append(np.bitwise_count(x ^ x[first]).astype(np.int16) + np.bitwise_count(y ^ y[first]))
+        first = int(np.argmax(np.min(table, axis=0)))
+    table = np.stack(table)
+    order = np.argsort(table[0], kind="stable")
+    x, y, table = x[order], y[order], table[:, order]
+
+    def blocks():
+        """Rows at.. and columns from.. of the matrix of distances; discarded and own pairs are beyond FAR."""
+        for at in range(0, len(x), chunk):
+            end = min(at + chunk, len(x))
+            begin, stop = np.searchsorted(table[0], [table[0, at] - FAR, table[0, end - 1] + FAR + 1])
+            far = np.zeros((end - at, stop - begin), bool)
+            for p in range(REFERENCES):
+                far |= np.abs(table[p, at:end, None] - table[p, None, begin:stop]) > FAR
+            i, j = np.nonzero(~far)
+            out = np.full(far.shape, FAR + 1, np.int16)
+            out[i, j] = differing(x, y, i + at, j + begin)
+            out[np.arange(at, end) - at, np.arange(at, end) - begin] = FAR + 1
+            yield at, begin, out
+
+    found = []
+    for at, begin, d in blocks():
+        k = min(NEAREST, d.shape[1])
+        j = np.argpartition(d, k - 1, axis=1)[:, :k]
+        i, near = np.repeat(np.arange(len(d)), k), np.take_along_axis(d, j, axis=1).ravel()
+        some = near <= FAR
+        found.append((i[some] + at, j.ravel()[some] + begin, near[some].astype(np.int64)))
+    i, j, d = (np.concatenate(c) for c in zip(*found, strict=True))
+    root = local_roots(len(x), i, j)
+    while True:  # then the lightest links between what these leave apart
+        best = np.full(len(x), np.iinfo(np.int64).max)
+        for at, begin, block in blocks():
+            block[root[at : at + len(block), None] == root[None, begin : begin + block.shape[1]]] = FAR + 1
+            column = block.argmin(axis=1)
+            least = block[np.arange(len(block)), column].astype(np.int64)
+            some = np.flatnonzero(least <= FAR)
+            np.minimum.at(best, root[at + some], (least[some] << 48) | ((at + some) << 24) | (column[some] + begin))
+        pick = np.unique(best[best < np.iinfo(np.int64).max])
+        if not len(pick):
+            return order[i], order[j], d
+        more = (pick >> 24) & 0xFFFFFF, pick & 0xFFFFFF
+        i, j, d = np.append(i, more[0]), np.append(j, more[1]), np.append(d, pick >> 48)
+        root = local_roots(len(x), *more, root)
+
+
+def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Of links between nodes with their distances, the places of a minimum spanning forest (Boruvka's rounds)."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = at[: len(a)], at[len(a) :]
+    key = (d.astype(np.int64) << 40) | np.arange(len(a))
+    root, chosen, open_ = np.arange(len(nodes)), [], np.arange(len(a))
+    while True:
+        open_ = open_[root[i[open_]] != root[j[open_]]]
+        if not len(open_):
+            break
+        best = np.full(len(nodes), np.iinfo(np.int64).max)
+        np.minimum.at(best, root[i[open_]], key[open_])
+        np.minimum.at(best, root[j[open_]], key[open_])
+        pick = np.unique(best[best < np.iinfo(np.int64).max]) & ((1 << 40) - 1)
+        chosen.append(pick)
+        root = local_roots(len(nodes), i[pick], j[pick], root)
+    return np.concatenate([np.zeros(0, np.int64), *chosen])
+
+
+def thinned(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple:
+    """Distinct links: a minimum spanning forest, and of each node those to its NEAREST nearest."""
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    order = np.lexsort((b, a))
+    a, b, d = a[order], b[order], d[order]
+    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else order
+    a, b, d = a[new], b[new], d[new]
+    ends, link = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((d[link], ends))
+    ends, link = ends[order], link[order]
+    first = np.concatenate([[True], ends[1:] != ends[:-1]]) if len(ends) else ends
+    rank = np.arange(len(ends)) - np.maximum.accumulate(np.where(first, np.arange(len(ends)), 0))
+    kept = np.unique(np.concatenate([link[rank < NEAREST], spanning(a, b, d)]))
+    return a[kept], b[kept], d[kept]
+
+
+def similar_candidates(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(a, b, d): links of rows (node, x, y) whose fingerprints (halves x and y) differ in d bits, FAR at most.
+
+    Rows meet in a table if its sampled bits agree. Each task emits a minimum spanning forest of its
+    links and those to each row's NEAREST nearest, never its pairs; buckets of more than `bucket` rows are split into pairs of chunks.
     """
-    masks = table_masks()
-    base = rows.select("node", "fingerprint", "sketch")
-
-    def keys_of(x):
-        return np.stack([((x & m) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(8)) ^ np.uint64(t << 57) for t, m in enumerate(masks)])
 
     def spread(batches):
         for batch in batches:
-            x = batch.column(1).to_numpy().view(np.uint64)
-            keys, n = keys_of(x), len(x)
-            at = pa.array(np.tile(np.arange(n), len(keys)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(batch.column(i).take(at) for i in range(3))], names=["key", "node", "fingerprint", "sketch"])
+            keys = table_keys(*(batch.column(i).to_numpy().view(np.uint64) for i in (1, 2)))
+            at = pa.array(np.tile(np.arange(batch.num_rows), len(keys)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *(batch.column(i).take(at) for i in range(3))], names=["key", "node", "x", "y"])
 
     def only_keys(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(keys_of(batch.column(0).to_numpy().view(np.uint64)).ravel().view(np.int64))], names=["key"])
-
-    hot = cut(base.select("fingerprint").mapInArrow(only_keys, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > bucket).withColumn("chunks", F.ceil(F.col("n") / bucket).cast("int")).select("key", "chunks"))
-    each = base.mapInArrow(spread, "key long, node long, fingerprint long, sketch binary")
-    each = each.join(F.broadcast(hot) if hot.count() <= 1_000_000 else hot, "key", "left")
-    own = F.pmod(F.xxhash64("node"), F.coalesce("chunks", F.lit(1))).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
-    tasks = each.withColumn("own", own).select(F.explode(pairs).alias("p"), "key", "node", "fingerprint", "sketch")
-    tasks = tasks.select(F.when(F.col("p.j") > 0, F.xxhash64("key", "p.i", "p.j")).otherwise(F.col("key")).alias("key"), "node", "fingerprint", "sketch")
+            keys, n = np.unique(table_keys(*(batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    hot = rows.select("x", "y").mapInArrow(only_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > bucket)
+    hot = cut(hot.select("key", F.ceil(F.col("n") / bucket).cast("int").alias("chunks")))
+    each = rows.select("node", "x", "y").mapInArrow(spread, "key long, node long, x long, y long")
+    each = each.join(F.broadcast(hot) if hot.count() <= 100_000 else hot, "key", "left")  # 1.2 MB at most
+    chunks = F.coalesce("chunks", F.lit(1))
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    tasks = each.withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).select(F.explode(pairs).alias("p"), "key", "node", "x", "y")
+    tasks = tasks.select(F.when(F.col("p.j") > 0, F.xxhash64("key", "p.i", "p.j")).otherwise(F.col("key")).alias("key"), "node", "x", "y")
     tasks = tasks.repartition("key").sortWithinPartitions("key")
 
     def link(batches):
         held: list = []
-        size = 0
-        a, b = [], []
+        forest = (np.zeros(0, np.int64),) * 3
+        found: list = []
+        size = waiting = 0
+
+        def fold():
+            nonlocal forest, found, waiting
+            forest = thinned(*(np.concatenate([forest[k], *(f[k] for f in found)]) for k in range(3)))
+            found, waiting = [], 0
+
+        def add(a, b, d):
+            nonlocal waiting
+            found.append((a, b, d))
+            waiting += len(a)
+            if waiting > PAIRS:
+                fold()
 
         def close(keep_last: bool):
             nonlocal held, size
-            key, node, x = (np.concatenate([h[i] for h in held]) for i in range(3))
-            s = np.concatenate([h[3] for h in held])
+            key, node, x, y = (np.concatenate([h[i] for h in held]) for i in range(4))
             end = np.searchsorted(key, key[-1]) if keep_last else len(key)  # the last bucket may go on
             ends = np.append(np.flatnonzero(key[1:end] != key[: end - 1]) + 1, end) if end else np.zeros(0, int)
             starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
@@ -314,65 +399,91 @@ def similar_links(rows: DataFrame, least: float, bucket: int = BUCKET) -> DataFr
             np.add.at(inside, starts[large], 1)
             np.add.at(inside, ends[large], -1)
             small = np.flatnonzero(np.cumsum(inside[:-1]) == 0)
-            for i, j in bucket_pairs(key[small], x[small], s[small], least_):
-                a.append(node[small[i]])
-                b.append(node[small[j]])
+            for i, j, d in bucket_pairs(key[small], x[small], y[small]):
+                add(node[small[i]], node[small[j]], d)
             for p, q in zip(starts[large].tolist(), ends[large].tolist(), strict=True):
-                root = np.arange(q - p)
-                for i, j in wide_pairs(x[p:q], s[p:q], least_):
-                    root = local_roots(q - p, i, j, root)
-                own = np.flatnonzero(root != np.arange(q - p))
-                a.append(node[p + own])
-                b.append(node[p + root[own]])
-            held, size = ([(key[end:], node[end:], x[end:], s[end:])] if keep_last else []), len(key) - end
+                i, j, d = wide_links(x[p:q], y[p:q])
+                add(node[p + i], node[p + j], d)
+            held, size = ([(key[end:], node[end:], x[end:], y[end:])] if keep_last else []), len(key) - end
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sketch = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, BINS)
-            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64), sketch))
+            held.append(tuple(batch.column(i).to_numpy().view(np.uint64 if i > 1 else np.int64) for i in range(4)))
             size += batch.num_rows
             if size >= 100_000:
                 close(True)
         if held and size:
             close(False)
-        if not a:
-            return
-        x, y = np.concatenate(a), np.concatenate(b)
-        nodes, at = np.unique(np.concatenate([x, y]), return_inverse=True)
-        root = local_roots(len(nodes), at[: len(x)], at[len(x) :])
-        linked = np.flatnonzero(root != np.arange(len(nodes)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], names=["a", "b"])
+        fold()
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest], names=["a", "b", "d"])
+
+    return tasks.mapInArrow(link, "a long, b long, d long")
 
-    least_ = least - MARGIN
-    return tasks.mapInArrow(link, "a long, b long")
 
+def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b) of links between nodes whose sets (node, shingles) have a Jaccard similarity of `least` or more."""
 
-def similar_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) of docs with a doc_id: groups by estimated similarity of their five-word shingles.
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                keep.append(both >= least * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    Texts with equal fingerprint and sketch are one node, so copies are not compared with each other.
-    Texts without words are alike. A similarity is estimated by BINS bins; pairs at or over `least` less MARGIN link.
+    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
+    return links.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
+    """(doc_id, text_hash, times, doc_component, kept): groups of docs by the Jaccard similarity of their sets of word shingles.
+
+    A row for each distinct (doc_id, text), of which `times` are in docs; kept: whether it is the first of
+    its group by doc_id and text_hash. Texts of equal sets are one node, texts without words are alike.
+    Candidates come from the tables of similar_candidates(), and every link is verified on the whole sets
+    of shingles. Rows with a null doc_id are left out.
     """
 
     def run(batches):
         for batch in batches:
-            prints, s = sketches(texts_of(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64)), pa.array([x.tobytes() for x in s], pa.binary())], names=["doc_id", "fingerprint", "sketch"])
+            for at in range(0, batch.num_rows, 1000):
+                rows = batch.slice(at, 1000)
+                name, prints = set_prints(texts_of(rows.column(2)), width)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), *(pa.array(v.view(np.int64)) for v in (name, *prints))], names=["doc_id", "text_hash", "node", "x", "y"])
 
-    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
-    each = cut(own.mapInArrow(run, "doc_id long, fingerprint long, sketch binary"))
-    nodes = cut(each.groupBy("fingerprint", "sketch").agg(F.min("doc_id").alias("node")))
-    comp = components(similar_links(nodes, least)).withColumnRenamed("node", "linked")
-    named = nodes.join(comp, nodes.node == F.col("linked"), "left").select("fingerprint", "sketch", F.coalesce("component", "node").alias("component_id"))
-    return each.join(named, ["fingerprint", "sketch"]).select("doc_id", "component_id")
+    def sets_of(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                rows = batch.slice(at, 500)
+                held = [shingle_set(t, width) for t in texts_of(rows.column(1))]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in held], pa.binary())], names=["node", "shingles"])
+
+    own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
+    each = cut(own.mapInArrow(run, "doc_id long, text_hash long, node long, x long, y long"))
+    rows = each.groupBy("doc_id", "text_hash").agg(F.first("node").alias("node"), F.count("*").alias("times"))
+    nodes = cut(each.groupBy("node").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min(F.struct("doc_id", "text_hash")).alias("first")))
+    links = cut(similar_candidates(nodes).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")))
+    asked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
+    named = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("n_id"), F.col("first.text_hash").alias("n_hash"))
+    texts = own.join(named, (own.doc_id == named.n_id) & (own.text_hash == named.n_hash)).dropDuplicates(["node"]).select("node", "text")
+    sets = texts.mapInArrow(sets_of, "node long, shingles binary")
+    comp = components(verified(links, spilled(sets), least)).withColumnRenamed("node", "linked")
+    grouped = nodes.join(comp, nodes.node == F.col("linked"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    least_of = grouped.groupBy("component").agg(F.min("first").alias("kept"))
+    placed = grouped.join(least_of, "component").select("node", "kept")
+    return rows.join(placed, "node").select("doc_id", "text_hash", "times", F.col("kept.doc_id").alias("component_id"), ((F.col("kept.doc_id") == F.col("doc_id")) & (F.col("kept.text_hash") == F.col("text_hash"))).alias("kept"))
 
 
 def kept_documents(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """`docs` with one row of each group of similar_documents(): that with its least doc_id, of equal rows one.
+    """`docs` with one row of each group of similar_documents(): the first by doc_id and text, of equal rows one.
 
     Rows with a null doc_id stay: no decision can name them.
     """
-    keep = similar_documents(docs, least).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where("doc_id IS NOT NULL").join(keep, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id IS NULL"))
+    keep = cut(similar_documents(docs, least).where("kept").select(F.col("doc_id").alias("k_id"), F.col("text_hash").alias("k_hash"), "times"))
+    same = (docs.doc_id == keep.k_id) & (F.xxhash64(docs.text) == keep.k_hash)
+    once = docs.join(keep.where("times = 1"), same, "left_semi")
+    several = docs.join(F.broadcast(keep.where("times > 1")) if keep.where("times > 1").count() <= 100_000 else keep.where("times > 1"), same, "left_semi")
+    return once.unionByName(several.dropDuplicates(["doc_id", "text"])).unionByName(docs.where("doc_id IS NULL"))
