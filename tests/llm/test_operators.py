@@ -575,6 +575,15 @@ def test_html_template_decides_in_article():
     assert html.extract(near) == [f"H0 & co\nThe same long story is told on every page of the three.\n{i}" for i in range(3)]
 
 
+def test_html_slots_are_of_the_template(monkeypatch):
+    """Without a template nothing is a slot; an article that only one page of a host has is still one."""
+    pages = [page(f"<p>Text {i}.</p>", n=i) for i in range(4)]
+    odd = [*(f"<div class='c'><p>Story {i} goes on and on, and so does this, and so it does again.</p></div><div class='d'>{i}</div>" for i in range(4)), pages[0]]
+    assert html.extract(odd) == [*(f"Story {i} goes on and on, and so does this, and so it does again." for i in range(4)), "H0 & co\nText 0."]
+    monkeypatch.setattr(html, "template", lambda pages, least=2: set())
+    assert html.extract(pages) == [""] * 4
+
+
 def test_template_nests():
     pages = [html.tokens_of(page(f"<p>t{i}</p>", n=i)) for i in range(4)]
     shape = html.template(pages)

@@ -4,8 +4,9 @@ Pages of a host are dealt to groups. In a group the tokens of a page are its tag
 each told apart by the path of open elements. Tokens with equal occurrence vectors over the group's pages
 form equivalence classes; a class is valid if its tokens keep their order on all pages that hold them and
 no class crosses another. The valid classes, nested, are the template; what it leaves between its tokens
-are the slots. The slots in the article are the main text; without an article those outside page
-furniture are. Article and furniture are known by element, class and id names.
+are the slots. Regions are elements of the template: its articles, or else the narrowest element that
+holds most of the text in slots. A region's slots are the main text, less those in page furniture; what
+is furniture or an article is known by element, class and id names.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,8 +24,14 @@ from .common import cut
 
 #: Pages that one template is deduced from at most; a larger host has several groups.
 GROUP = 256
+#: Hosts of several groups that are broadcast at most, of some 100 bytes each.
+BROADCAST_HOSTS = 100_000
 #: Different pages that must hold a run of text before it counts as template text.
 LEAST_PAGES, LEAST_SHARE = 10, 0.9
+#: Share of a group's text in slots that its widest region holds.
+MOST = 0.9
+#: The token that all pages have: the page itself.
+PAGE = ("open", (), "page")
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<(script|style|noscript|template|iframe|svg|math|textarea)\b(?:"[^"]*"|'[^']*'|[^'">])*>.*?(?:</\1\s*>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^'">])*)>|[^<]+|<""", re.S | re.I)
 #: Element names, and the words in a class or id by which page furniture is known.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -118,7 +125,7 @@ def template(pages: list, least_text: int = 2) -> set:
         if all(nests(spans, other[k]) for other in kept if k in other):
             kept.append({k: spans})
             out.update(own)
-    return out if len(pages) > 1 else {t for t in out if t[0] != "text"}
+    return (out if len(pages) > 1 else {t for t in out if t[0] != "text"}) | {PAGE}
 
 
 def ordered(places: list) -> bool:
@@ -174,25 +181,69 @@ def without_copies(shape: set, pages: list) -> set:
     return shape
 
 
+def elements(path: tuple):
+    """The tokens that open the elements of a path, from the outermost, and the paths down to them."""
+    for n in range(len(path)):
+        yield ("open", path[:n], path[n]), path[: n + 1]
+
+
+def regions(pages: list, shape: set) -> list:
+    """Paths of the template's elements that hold main text: articles, and the narrowest that holds most of the text of slots outside furniture.
+
+    Only elements whose opening tags are in the template count, so what no class holds is no region.
+    """
+    sizes: Counter = Counter()
+    main, total = set(), 0
+    for page in pages:
+        for t in page:
+            if t[0] != "text" or t in shape or furniture(t[1]) or not t[2].strip():
+                continue
+            total += len(t[2])
+            for tag, path in elements(t[1]):
+                if tag in shape:
+                    sizes[path] += len(t[2])
+                    if in_main(path[-1:]):
+                        main.add(path)
+    wide = [path for path, n in sizes.items() if n >= MOST * total]
+    return [main, max(wide, key=len) if wide else ()]
+
+
 def extract(pages: list) -> list:
     """The main text of each of the pages of one host (html strings)."""
     tokens = [tokens_of(p) for p in pages]
     own = distinct(tokens)
     shape = without_copies(template(own, spread(len(own))), own)
-    return [main_text(page, shape) for page in tokens]
+    shape |= template_of_rest(tokens, shape)
+    main, wide = regions(own, shape)
+    return [main_text(page, shape, main, wide) for page in tokens]
 
 
-def main_text(page: list, shape: set) -> str:
-    """Slots of the page in its article, or else outside furniture; blocks end at tags that are not inline."""
-    article = any(in_main(path) for kind, path, _ in page if kind == "text")
+def template_of_rest(pages: list, shape: set) -> set:
+    """Tags of the articles of pages that the template lacks: such a page is deduced alone, as it shares no class with others."""
+    out: set = set()
+    for page in pages:
+        tags = {t for t in page if t[0] == "open" and in_main((t[2],))}
+        if tags and not tags & shape:
+            out |= template([page]) & tags
+    return out
+
+
+def main_text(page: list, shape: set, main: set, wide: tuple) -> str:
+    """The slots of the page in the template's regions: in its articles, else in its widest region, else, on a page without that, outside furniture. Blocks end at tags that are not inline."""
+    if not shape:
+        return ""
+    inside = [[path for _, path in elements(t[1])] if t[0] == "text" else [] for t in page]
+    some = [bool(t) and any(p in main for p in t) for t in inside]
+    if not any(some):
+        some = [wide in t for t in inside] if wide and any(wide in t for t in inside) else [t[0] == "text" for t in page]
     blocks, line = [], []
-    for t in page:
+    for t, own in zip(page, some, strict=True):
         kind, path, value = t
         if kind != "text":
             if value.split(".")[0] not in INLINE:
                 blocks.append("".join(line))
                 line = []
-        elif not furniture(path) and (in_main(path) or not article) and t not in shape:
+        elif own and not furniture(path) and t not in shape:
             line.append(entities.unescape(value))
     blocks.append("".join(line))
     return "\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
@@ -207,8 +258,9 @@ def main_texts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """
     own = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).alias("html"))
     own = own.withColumn("host", F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    hosts = cut(own.groupBy("host").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")))
-    dealt = own.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("url", "page_id"), F.col("groups")))
+    large = cut(own.groupBy("host").agg(F.ceil(F.count("*") / group).cast("int").alias("groups")).where("groups > 1"))
+    near = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
+    dealt = own.join(near, "host", "left").withColumn("part", F.pmod(F.xxhash64("url", "page_id"), F.coalesce("groups", F.lit(1)))).repartition("host", "part")
 
     def run(pdf):
         pdf = pdf.sort_values(["page_id"], kind="stable")
