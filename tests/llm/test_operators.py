@@ -169,6 +169,36 @@ def test_mixing(docs, data, none):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_slots(spark, monkeypatch):
+    """The points decide the order: sources alternate by weight from the start, each slot takes one block, and other points give another order."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, f"w{i} " * 16, "en", "abc"[i % 3], 0) for i in range(90)], DOCUMENTS)
+    got = rows(mixing.mix(df, block=16))
+    order = sorted((slot, r["source"], r["doc_id"]) for r in got for slot in r["slots"])
+    assert all(len(r["slots"]) == -(-r["taken"] // r["size"]) for r in got)  # a document is a block here
+    assert len({slot for slot, *_ in order}) == len(order) == 92
+    quota = Counter(s for _, s, _ in order)
+    assert quota == {"a": 57, "b": 23, "c": 12}
+    for n in (16, 32, 64):  # each beginning of the mix is close to the shares
+        own = Counter(s for _, s, _ in order[:n])
+        assert all(abs(own[s] - n * quota[s] / 92) <= 2 for s in quota)
+    points = [sum((i >> k & 1) / 2 ** (k + 1) for k in range(10)) for i in range(92)]
+    drawn = ["a" if x < 57 / 92 else "b" if x < 80 / 92 else "c" for x in points]
+    left, want = Counter(quota), []
+    for s in drawn:
+        if left[s]:
+            left[s] -= 1
+            want.append(s)
+    assert [s for _, s, _ in order][: len(want)] == want
+    mixed = [(r.doc_id, r.source) for r in mixing.mixed_documents(df).collect()]
+    monkeypatch.setattr(mixing, "van_der_corput", lambda i: F.lit(0.999))
+    other = rows(mixing.mix(df, block=16))
+    assert sorted((r["doc_id"], r["taken"]) for r in other) == sorted((r["doc_id"], r["taken"]) for r in got)
+    assert sorted((r["doc_id"], r["slots"]) for r in other) != sorted((r["doc_id"], r["slots"]) for r in got)
+    assert [(r.doc_id, r.source) for r in mixing.mixed_documents(df).collect()] != mixed
+
+
 def test_van_der_corput(spark):
     got = [r[0] for r in spark.range(8).select(mixing.van_der_corput(__import__("pyspark").sql.functions.col("id"))).collect()]
     assert got == [0, 0.5, 0.25, 0.75, 0.125, 0.625, 0.375, 0.875]

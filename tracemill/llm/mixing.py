@@ -89,9 +89,11 @@ def schedule(quota: DataFrame, n_slots: int, block: int = BLOCK) -> DataFrame:
 
 
 def mix(docs: DataFrame, cycle: tuple = (5, 2, 1), limit: int = 3, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, source, size, source_size, target, taken): one row per input row; taken counts repeats.
+    """(id, source, size, source_size, target, taken, slots): one row per input row; taken counts repeats.
 
-    Null texts and texts without words have size 0 and are never taken; a null source is a source, the
+    Quotas fix how much of each source is taken, the points in which order: slots has the slots of the mix
+    that take the document, from its first word that any takes, in order; `limit` + 1 at most, and none
+    for a document that is not taken. Null texts and texts without words have size 0 and are never taken; a null source is a source, the
     last in order. Repeated rows are rows like any other. An empty table gives an empty result. The order
     of a source's documents is that of a hash of their ids, so reruns agree.
     """
@@ -102,7 +104,8 @@ def mix(docs: DataFrame, cycle: tuple = (5, 2, 1), limit: int = 3, block: int =
     first = quota.select("all_slots").first()
     slots = schedule(quota, first[0] if first else 0, block)
     takes = slots.join(quota.select("n", "source_size"), "n").withColumn("full", F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block))
-    takes = takes.groupBy("n", "block").agg(F.sum((F.col("length") == F.col("full")).cast("long")).alias("times"), F.sum(F.when(F.col("length") < F.col("full"), F.col("length")).otherwise(0)).alias("part"))
+    short = F.col("length") < F.col("full")
+    takes = takes.groupBy("n", "block").agg(F.sum((~short).cast("long")).alias("times"), F.sum(F.when(short, F.col("length")).otherwise(0)).alias("part"), F.collect_list(F.when(~short, F.col("slot"))).alias("whole"), F.collect_list(F.when(short, F.col("slot"))).alias("last"))
 
     d = sizes.join(targets, sizes.source.eqNullSafe(targets.source)).select("doc_id", sizes.source, "size", "n", "source_size", "target")
     d = d.withColumn("h", F.xxhash64("doc_id", F.lit("mix"))).withColumn("run", F.pmod(F.xxhash64("h"), F.lit(n_docs // DOC_RUN + 1)))
@@ -115,17 +118,22 @@ def mix(docs: DataFrame, cycle: tuple = (5, 2, 1), limit: int = 3, block: int =
     low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
     high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block).cast("long"))
     words = F.coalesce("times", F.lit(0)) * (high - low) + F.greatest(F.lit(0), F.least(high, F.coalesce("part", F.lit(0))) - low)
-    taken = pieces.join(takes, ["n", "block"], "left").groupBy(*keys).agg(F.sum(words).cast("long").alias("taken"))
-    out = ["doc_id", "source", "size", "source_size", "target", "taken"]
-    none = d.where("size = 0").withColumn("taken", F.lit(0).cast("long"))
+    no_slots = F.array().cast("array<bigint>")
+    by = F.sort_array(F.concat(F.coalesce("whole", no_slots), F.when(low < F.coalesce("part", F.lit(0)), F.col("last")).otherwise(no_slots)))
+    taken = pieces.join(takes, ["n", "block"], "left").select(*keys, "block", words.alias("words"), by.alias("by"))
+    taken = taken.groupBy(*keys).agg(F.sum("words").cast("long").alias("taken"), F.min(F.when(F.size("by") > 0, F.struct("block", "by"))).alias("first")).withColumn("slots", F.coalesce("first.by", no_slots))
+    out = ["doc_id", "source", "size", "source_size", "target", "taken", "slots"]
+    none = d.where("size = 0").withColumn("taken", F.lit(0).cast("long")).withColumn("slots", no_slots)
     return taken.select(*out).union(none.select(*out)).withColumnsRenamed({"doc_id": id_col, "source": source_col})
 
 
 def mixed_documents(docs: DataFrame, cycle: tuple = (5, 2, 1), limit: int = 3) -> DataFrame:
-    """`docs` as the mix has them: each row as often as the mix takes its words, rounded to whole documents.
+    """`docs` as the mix has them, in the order of its slots: each row as often as the mix takes its words, rounded to whole documents.
 
     Rows that share a doc_id are taken alike, as often as that of them which is taken most.
     """
-    times = mix(docs, cycle, limit).groupBy("doc_id").agg(F.max(F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)).alias("copies")).where("copies > 0").withColumnRenamed("doc_id", "taken_id")
-    kept = docs.join(times, docs.doc_id.eqNullSafe(times.taken_id))
-    return kept.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    taken = mix(docs, cycle, limit).groupBy("doc_id").agg(F.max(F.struct(times.alias("copies"), "slots")).alias("t")).where("t.copies > 0").select(F.col("doc_id").alias("taken_id"), "t.copies", "t.slots")
+    places = F.transform(F.sequence(F.lit(1).cast("long"), F.col("copies")), lambda k: F.get("slots", (F.least(k, F.size("slots")) - 1).cast("int")))
+    kept = docs.join(taken, docs.doc_id.eqNullSafe(taken.taken_id)).select(*(docs[c] for c in docs.columns), F.explode(places).alias("mix_slot"))
+    return kept.orderBy("mix_slot", docs.doc_id).drop("mix_slot")

@@ -17,7 +17,7 @@ def op1_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", F.try_element_at("slots", F.lit(1)).alias("first_slot"))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
