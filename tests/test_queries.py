@@ -136,13 +136,98 @@ GRAPHS = {
 
 
 @pytest.mark.parametrize("name", sorted(GRAPHS))
-def test_retained_sizes(spark, name):
+def test_retained_sizes(spark, name, monkeypatch):
     edges, roots, n = GRAPHS[name]
     sizes = {i: 10**i for i in range(1, n + 1)}
-    heap = heap_of(spark, edges, roots, sizes)
+    doms = brute_dominators(n, edges, roots)
+    want = {d: sum(sizes[x] for x in xs) for d, xs in doms.items()}
+    for most in (heaps.ONE_TASK, 0):  # one task, and joins
+        monkeypatch.setattr(heaps, "ONE_TASK", most)
+        heap = heap_of(spark, edges, roots, sizes)
+        assert dict(rows(heaps.retained_sizes(heap))) == {i: want.get(i, sizes[i]) for i in sizes}
+        chains = {r.id: r.chain for r in heaps.dominators(heap).collect()}
+        assert {i: set(c) - {0} for i, c in chains.items()} == {i: {d for d in doms if i in doms[d]} for i in doms}
+
+
+def test_dominators_of_random_and_deep_graphs():
+    import numpy as np
+
+    from tracemill.operators import dominators
+
+    rng = np.random.default_rng(1)
+    for n, m in ((8, 12), (12, 30), (20, 24)):
+        for _ in range(20):
+            src, dst = rng.integers(1, n + 1, (2, m))
+            edges = [(int(a), int(b), True) for a, b in zip(src, dst, strict=True)]
+            ids, idom, retained, _ = dominators.tree(np.arange(1, n + 1), np.full(n, 1), src, dst, np.array([1, 2]))
+            want = brute_dominators(n, edges, [1, 2])
+            assert {int(i): int(r) for i, r in zip(ids[1:], retained[1:], strict=True)} == {d: len(xs) for d, xs in want.items()}
+            assert all(d == 0 or x in want[d] for x, d in zip(ids[1:].tolist(), idom[1:].tolist(), strict=True))
+    n = 10_000
+    chain = np.arange(1, n)
+    ids, _, retained, _ = dominators.tree(np.arange(1, n + 1), np.ones(n, int), np.append(chain, n), np.append(chain + 1, n // 2), np.array([1]))
+    assert retained[1:].tolist() == list(range(n, 0, -1)) and ids[1:].tolist() == list(range(1, n + 1))
+
+
+def test_deep_chain_of_objects(spark):
+    """Ten thousand objects in a row, and a diamond at its end."""
+    from pyspark.sql import functions as F
+
+    n = 10_000
+    objects = spark.range(1, n + 4).select("id", F.lit(1).cast("long").alias("class_id"), F.lit(8).cast("long").alias("shallow"), F.lit(None).cast("int").alias("array_length"), F.lit(None).cast("string").alias("string_value"))
+    chain = spark.range(1, n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).union(spark.createDataFrame([(n, n + 1), (n, n + 2), (n + 1, n + 3), (n + 2, n + 3)], "src long, dst long"))
+    edges = chain.select("src", "dst", F.lit("next").alias("field"), F.lit(0).alias("ord"), F.lit(True).alias("strong"))
+    classes = spark.createDataFrame([(1, "a/Node", None, 8, False)], "class_id long, name string, super_id long, instance_size int, is_array boolean")
+    heap = heaps.Heap(objects, edges, classes, spark.createDataFrame([("JAVA_FRAME", 1)], "type string, object_id long"))
     got = dict(rows(heaps.retained_sizes(heap)))
-    want = {d: sum(sizes[x] for x in xs) for d, xs in brute_dominators(n, edges, roots).items()}
-    assert got == {i: want.get(i, sizes[i]) for i in sizes}
+    assert got[1] == 8 * (n + 3) and got[n] == 32 and got[n + 1] == got[n + 2] == got[n + 3] == 8
+
+
+def test_thread_owner_is_named(spark):
+    objects = spark.createDataFrame([(1, 1, 8, None, None), (2, 2, 8, None, "worker"), (3, 1, 8, None, None), (4, 1, 8, None, None), (5, 1, 8, None, None)], "id long, class_id long, shallow long, array_length int, string_value string")
+    edges = spark.createDataFrame([(1, 2, "name", 0, True), (1, 3, "x", 1, True), (1, 4, "y", 2, True), (5, 4, "y", 0, True)], "src long, dst long, field string, ord int, strong boolean")
+    classes = spark.createDataFrame([(1, "a/B", None, 8, False), (2, "java/lang/String", None, 8, False)], "class_id long, name string, super_id long, instance_size int, is_array boolean")
+    s = Session(spark).add_heap(heaps.Heap(objects, edges, classes, spark.createDataFrame([("THREAD_OBJ", 1), ("STICKY_CLASS", 5)], "type string, object_id long")))
+    assert {r.id: (r.ownerThread, r.ownership) for r in s.query("objects | threadOwner").collect()} == {1: ("worker", "exclusive"), 2: ("worker", "exclusive"), 3: ("worker", "exclusive"), 4: ("shared", "shared"), 5: ("shared", "shared")}
+    assert s.query("gcroots | dominatedSize | filter(objectId = 1)").first().threadName == "worker"
+
+
+def test_decorate_time_of_unions_and_long_spans(spark):
+    at = lambda k, t, d: Row(eventThread=Row(javaThreadId=1), startTime=t, duration=d, k=k)
+    s = Session(spark)
+    s.add_events("a", spark.createDataFrame([at("a", 10, 5)])).add_events("b", spark.createDataFrame([at("b", 1000, 5)]))
+    s.add_events("d", spark.createDataFrame([at("d1", 12, 1), at("d2", 1002, 1), at("long", 900, 10**14)]))
+    assert sorted(rows(s.query("events/(a|b) | decorateByTime(d) | select(k, $decorator.k as d)"))) == [("a", "d1"), ("b", "long")]
+    s.add_events("d", spark.createDataFrame([at("d1", 12, 1), at("d2", 1002, 1)]))
+    assert sorted(rows(s.query("events/(a|b) | decorateByTime(d) | select(k, $decorator.k as d)"))) == [("a", "d1"), ("b", "d2")]
+    rng = __import__("random").Random(2)
+    spans = lambda n: [(rng.randrange(10**6), rng.choice([0, 1, 50, 3000, 10**5, 10**9])) for _ in range(n)]
+    p, d = spans(60), spans(60)
+    s.add_events("p", spark.createDataFrame([at(i, *x) for i, x in enumerate(p)]).coalesce(1)).add_events("q", spark.createDataFrame([at(i, *x) for i, x in enumerate(d)]).coalesce(1))
+    got = dict(rows(s.query("events/p | decorateByTime(q) | select(k, $decorator.k as d)")))
+    want = {i: min(((b, j) for j, (b, m) in enumerate(d) if a < b + m and a + n > b), default=(0, None))[1] for i, (a, n) in enumerate(p)}
+    assert got == want
+
+
+def test_order_of_tail_and_unions(spark):
+    s = Session(spark).add_events("e", spark.range(20).withColumnRenamed("id", "odd `name").coalesce(1))
+    assert [r[0] for r in s.query("events/e | tail(3)").collect()] == [17, 18, 19]
+    s.add_events("f", spark.range(20).selectExpr("id as v", "id % 7 as w").coalesce(1))
+    assert [r.v for r in s.query("events/f | sortBy(w) | tail(3) | select(v)").collect()] == [0, 7, 14]
+    s.add_events("g", spark.range(3).selectExpr("id + 100 as v", "id as w").coalesce(1))
+    assert [r.v for r in s.query("events/(f|g) | head(4) | select(v)").collect()] == [0, 100, 1, 101]
+    assert [r.v for r in s.query("events/(g|f) | distinct(w) | select(v)").collect()].count(100) == 1
+
+
+def test_quantiles_of_odd_numbers(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    data = np.concatenate([rng.normal(0, 1e-300, 50), rng.normal(0, 1e300, 50), np.full(200, 7.0), [-1.7e308, 1.7e308, 0.0, 1.5e18, 1.5e18 + 256]])
+    s = Session(spark).add_events("x", spark.createDataFrame([(float(v),) for v in data], "v double"))
+    got = s.query("events/x | quantiles(0.0, 0.01, 0.3, 0.5, 0.77, 0.999, 1.0, path=v)").first()
+    own = np.sort(data)
+    assert list(got)[1:] == [own[max(0, int(np.ceil(round(q * len(own), 9))) - 1)] if q != 0.5 else (own[(len(own) - 1) // 2] + own[len(own) // 2]) / 2 for q in (0.0, 0.01, 0.3, 0.5, 0.77, 0.999, 1.0)]
 
 
 def test_approximate_retained_stops_at_shared(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,6 +12,20 @@ from pyspark.sql import types as T
 NANOS = 1_000_000_000
 
 
+@dataclass(frozen=True)
+class Key:
+    """A column to sort by. Nulls come first where it rises, unless told otherwise."""
+
+    column: Column
+    down: bool = False
+    nulls_first: bool | None = None
+
+    def sort(self, turned: bool = False) -> Column:
+        """The sort column, or turned round."""
+        first = (not self.down if self.nulls_first is None else self.nulls_first) != turned
+        return getattr(self.column, ("desc" if self.down != turned else "asc") + ("_nulls_first" if first else "_nulls_last"))()
+
+
 def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 

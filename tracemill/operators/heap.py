@@ -1,7 +1,7 @@
 """Heap graphs: four tables, their row forms, and the operators on object graphs.
 
 Loops run on the driver over DataFrames, with their lineage cut by reliable checkpoints in the shared
-folder. Dominators run as iterated distributed joins, so no graph is gathered in one task.
+folder. Dominators of large graphs run as iterated distributed joins; a graph that fits is one task's work.
 """
 
 from __future__ import annotations
@@ -9,12 +9,17 @@ from __future__ import annotations
 import tempfile
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from . import dominators as dominators_of
 
 PATTERN_CHARS = "*?"
+#: Strong references and objects of a graph up to which one task finds dominators: some 300 bytes of its memory each.
+ONE_TASK = 4_000_000
 
 
 @dataclass
@@ -127,14 +132,16 @@ def depths(heap: Heap) -> DataFrame:
 
 
 def dominators(heap: Heap) -> DataFrame:
-    """(id, idom) of reached objects; 0 is the virtual root above all roots.
+    """(id, idom, chain) of reached objects; 0 is the virtual root above all roots.
 
-    Every object carries its chain of dominators; a chain is the common prefix of its predecessors' chains
+    Graphs of up to ONE_TASK rows are one task's work. In larger ones every object carries its chain of dominators; a chain is the common prefix of its predecessors' chains
     and itself, renewed in rounds until nothing changes. Chains only shorten after they are first set, so
     the rounds end; each is a join on edges and an aggregation with map-side combine.
     """
 
     def make():
+        if one_task(heap):
+            return tree_rows(heap, True)
         reached = depths(heap)
         into = heap.strong.join(reached.select(F.col("id").alias("src")), "src", "left_semi").join(reached.select(F.col("id").alias("dst")), "dst", "left_semi").where("src <> dst").select("src", "dst")
         roots = reached.where("depth = 0").select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
@@ -154,6 +161,40 @@ def dominators(heap: Heap) -> DataFrame:
     return heap.kept("dominators", make)
 
 
+def one_task(heap: Heap) -> bool:
+    if "one_task" not in heap.derived:
+        heap.derived["one_task"] = heap.strong.count() + heap.objects.count() <= ONE_TASK
+    return heap.derived["one_task"]
+
+
+def tree_rows(heap: Heap, chains: bool) -> DataFrame:
+    """(id, idom, retainedSize) of reached objects, and with `chains` their chains of dominators, by one task over the whole graph."""
+    blank = F.lit(None).cast("long")
+    rows = heap.strong.select("src", "dst", blank.alias("size"))
+    rows = rows.union(heap.gcroots.where("object_id IS NOT NULL").select(blank, "object_id", blank)).union(heap.objects.select("id", blank, F.coalesce(F.col("shallow").cast("long"), F.lit(0).cast("long"))))
+    schema = "id long, idom long, retainedSize long" + (", chain array<long>" if chains else "")
+
+    def run(batches):
+        held = pa.Table.from_batches([*batches]).combine_chunks() if (batches := [b for b in batches if b.num_rows]) else None
+        if held is None:
+            return
+        src, dst, size = held.columns
+        edge, root = pc.and_(src.is_valid(), dst.is_valid()), src.is_null()
+        of = lambda column, mask: column.filter(mask).to_numpy()
+        ids, idoms, sizes, up = dominators_of.tree(of(src, size.is_valid()), of(size, size.is_valid()), of(src, edge), of(dst, edge), of(dst, root))
+        known: dict = {0: [0]}
+        for at in range(1, len(ids), 10_000):
+            part = slice(at, at + 10_000)
+            columns = [pa.array(x[part]) for x in (ids, idoms, sizes)]
+            if chains:
+                for i in range(at, min(at + 10_000, len(ids))):
+                    known[i] = [*known[int(up[i])], int(ids[i])]
+                columns.append(pa.array([known[i] for i in range(at, min(at + 10_000, len(ids)))], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in schema.split(", ")])
+
+    return rows.coalesce(1).mapInArrow(run, schema)
+
+
 def path_chains(reached: DataFrame) -> DataFrame:
     """(id, chain): the shortest path from the virtual root to each object."""
     out = cut(reached.where("depth = 0").select("id", F.array(F.lit(0).cast("long"), F.col("id")).alias("chain")))
@@ -169,6 +210,9 @@ def retained_sizes(heap: Heap) -> DataFrame:
     """(id, retainedSize): an object's own size and those of all that it dominates; unreached objects retain themselves."""
 
     def make():
+        if one_task(heap):
+            summed = tree_rows(heap, False).select("id", F.col("retainedSize").alias("r"))
+            return heap.objects.select("id", "shallow").join(summed, "id", "left").select("id", F.coalesce("r", "shallow").cast("long").alias("retainedSize"))
         chain = dominators(heap).select("id", "chain").join(heap.objects.select("id", "shallow"), "id")
         summed = chain.select(F.explode("chain").alias("id"), "shallow").groupBy("id").agg(F.sum("shallow").alias("r"))
         return heap.objects.select("id", "shallow").join(summed, "id", "left").select("id", F.coalesce("r", "shallow").cast("long").alias("retainedSize"))
@@ -274,7 +318,7 @@ def operators(session) -> dict:
         chains = heap.kept("chains", lambda: path_chains(depths(heap)))
         names = object_rows(heap).select("id", F.col("className").alias("class"), F.col("shallowSize").alias("shallow"))
         steps = rows.df.select(F.col("id").alias("object")).distinct().join(chains, F.col("object") == F.col("id")).select("object", F.posexplode(F.slice("chain", 2, F.greatest(F.size("chain") - 1, F.lit(1)))).alias("step", "id"))
-        return rows.to(steps.join(names, "id").select("object", "step", "id", "class", "shallow"), (F.col("object").asc(), F.col("step").asc()), sorted=True)
+        return rows.to(steps.join(names, "id").select("object", "step", "id", "class", "shallow"), (C.Key(F.col("object")), C.Key(F.col("step"))), sorted=True)
 
     def retention_paths(rows, op):
         """Paths of class names from roots to the input objects, counted."""
@@ -284,7 +328,7 @@ def operators(session) -> dict:
         steps = own.join(chains, "id").select(F.col("id").alias("object"), "retainedSize", F.posexplode(F.slice("chain", 2, F.greatest(F.size("chain") - 1, F.lit(1)))).alias("step", "id"))
         path = steps.join(names, "id").groupBy("object", "retainedSize").agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "class"))), lambda x: x["class"]).alias("p"))
         out = path.groupBy("p").agg(F.count("*").alias("count"), F.sum("retainedSize").alias("retainedSize"))
-        return rows.to(out.select(F.element_at("p", 1).alias("gcRoot"), F.element_at("p", -1).alias("leaf"), "count", F.size("p").alias("depth"), "retainedSize", F.array_join("p", " → ").alias("path")), (F.col("count").desc(), F.col("path").asc()), sorted=True)
+        return rows.to(out.select(F.element_at("p", 1).alias("gcRoot"), F.element_at("p", -1).alias("leaf"), "count", F.size("p").alias("depth"), "retainedSize", F.array_join("p", " → ").alias("path")), (C.Key(F.col("count"), True), C.Key(F.col("path"))), sorted=True)
 
     def dominator_rows(rows, op):
         kind, by = plain(op, "view", None, 0), plain(op, "groupBy", None)
@@ -294,11 +338,11 @@ def operators(session) -> dict:
             name = F.translate("className", "/", ".")
             key = name if by != "package" else F.regexp_replace(name, r"\.?[^.]*$", "")
             out = all_.groupBy(key.alias(by if by != "className" else "class")).agg(F.count("*").alias("count"), F.sum("shallowSize").alias("shallowSize"), F.sum("retainedSize").alias("retainedSize")).where(F.col("retainedSize") >= least)
-            return rows.to(out, (F.col("retainedSize").desc(),), sorted=True)
+            return rows.to(out, (C.Key(F.col("retainedSize"), True),), sorted=True)
         if kind == "objects":
             d = dominators(heap).select("id", F.col("idom").alias("dominator"))
             own = rows.df.select(F.col("id").alias("dominator"), F.col("className").alias("dominatorClass"))
-            return rows.to(all_.join(d, "id").join(own, "dominator"), (F.col("retainedSize").desc(), F.col("id").asc()), sorted=True)
+            return rows.to(all_.join(d, "id").join(own, "dominator"), (C.Key(F.col("retainedSize"), True), C.Key(F.col("id"))), sorted=True)
         if kind == "tree":
             d = dominators(heap).select("id", F.col("idom").alias("dominator"))
             level, out = rows.df.select("id"), None
@@ -307,10 +351,10 @@ def operators(session) -> dict:
                 out = kids if out is None else out.union(kids)
                 level = kids.select("id")
             sizes = out.distinct().join(all_.select("id", "retainedSize"), "id").groupBy("dominator").agg(F.count("*").alias("dominatedCount"), F.sum("retainedSize").alias("retainedSize"))
-            return rows.to(sizes.join(all_.select(F.col("id").alias("dominator"), F.col("className").alias("dominatorClass")), "dominator"), (F.col("retainedSize").desc(), F.col("dominator").asc()), sorted=True)
+            return rows.to(sizes.join(all_.select(F.col("id").alias("dominator"), F.col("className").alias("dominatorClass")), "dominator"), (C.Key(F.col("retainedSize"), True), C.Key(F.col("dominator"))), sorted=True)
         big = rows.df.where(F.col("retainedSize") >= least)
         big = big if big.take(1) else rows.df
-        return rows.to(big.orderBy(F.col("retainedSize").desc(), "id").limit(10), (F.col("retainedSize").desc(), F.col("id").asc()), sorted=True)
+        return rows.to(big.orderBy(F.col("retainedSize").desc(), "id").limit(10), (C.Key(F.col("retainedSize"), True), C.Key(F.col("id"))), sorted=True)
 
     def breakdown(rows, op):
         """What the input objects dominate down to a depth, by depth and class."""
@@ -321,18 +365,19 @@ def operators(session) -> dict:
             own = rows.df.select("id")
         below = dominators(heap).select("id", F.explode(F.transform(F.sequence(F.lit(1), F.size("chain")), lambda i: F.struct(F.get("chain", i - 1).alias("above"), (F.size("chain") - i).alias("depth")))).alias("a")).select("id", "a.above", "a.depth").where(F.col("depth") <= deep)
         hit = below.join(own.withColumnRenamed("id", "above"), "above", "left_semi").join(object_rows(heap, True), "id")
-        return rows.to(hit.groupBy("depth", F.col("className").alias("class")).agg(F.count("*").alias("count"), F.sum("shallowSize").alias("shallowSize"), F.sum("retainedSize").alias("retainedSize")), (F.col("depth").asc(), F.col("retainedSize").desc(), F.col("class").asc()), sorted=True)
+        return rows.to(hit.groupBy("depth", F.col("className").alias("class")).agg(F.count("*").alias("count"), F.sum("shallowSize").alias("shallowSize"), F.sum("retainedSize").alias("retainedSize")), (C.Key(F.col("depth")), C.Key(F.col("retainedSize"), True), C.Key(F.col("class"))), sorted=True)
 
     def thread_owner(rows, op):
-        """The thread object that dominates an object, where one does."""
-        threads = heap.gcroots.where("type = 'THREAD_OBJ'").select(F.col("object_id").alias("t")).distinct()
-        owned = dominators(heap).select("id", F.explode("chain").alias("t")).join(threads, "t").groupBy("id").agg(F.min("t").alias("ownerThread"))
-        return rows.keep(rows.df.join(owned, "id", "left").withColumn("ownership", F.when(F.col("ownerThread").isNotNull(), "exclusive").otherwise("shared")))
+        """The name of the thread whose object dominates an object, "shared" where none does."""
+        threads = thread_names(heap)
+        owned = dominators(heap).select("id", F.explode("chain").alias("t")).join(threads, "t").groupBy("id").agg(F.min_by("name", "t").alias("ownerThread"))
+        return rows.keep(rows.df.join(owned, "id", "left").withColumn("ownership", F.when(F.col("ownerThread").isNotNull(), "exclusive").otherwise("shared")).withColumn("ownerThread", F.coalesce("ownerThread", F.lit("shared"))))
 
     def dominated(rows, op):
         """What each root's object dominates."""
         own = dominators(heap).select(F.col("id").alias("x"), F.explode("chain").alias("objectId")).join(heap.objects.select(F.col("id").alias("x"), "shallow"), "x").groupBy("objectId").agg(F.sum("shallow").alias("dominated"), F.count("*").alias("dominatedCount"))
-        return rows.keep(rows.df.join(own, "objectId", "left"))
+        named = thread_names(heap).select(F.col("t").alias("objectId"), F.col("name").alias("threadName"))
+        return rows.keep(rows.df.join(own, "objectId", "left").join(named, "objectId", "left"))
 
     def what_if(rows, op):
         """What removing the input objects would free. Nested targets count twice in bytes, once in objects."""
@@ -351,7 +396,7 @@ def operators(session) -> dict:
             depth = rows.df.select("depth").first()
             f = fingerprints(heap, int(depth[0]) if depth else 3)
             ids = f.withColumn("fingerprint", F.lower(F.hex("fingerprint"))).join(rows.df.select("fingerprint"), "fingerprint", "left_semi").select("id")
-        return rows.to(object_rows(heap).join(ids, "id", "left_semi"), (F.col("id").asc(),))
+        return rows.to(object_rows(heap).join(ids, "id", "left_semi"), (C.Key(F.col("id")),))
 
     def diff(rows, op):
         """Left join with the same kind of rows of another session by a key; of equal keys there the first counts."""
@@ -394,6 +439,13 @@ def operators(session) -> dict:
     return {"pathToRoot": path_to_root, "retentionPaths": retention_paths, "dominators": dominator_rows, "retainedBreakdown": breakdown, "threadOwner": thread_owner, "dominatedSize": dominated, "whatif": what_if, "objects": members, "join": diff, "waste": waste, "cacheStats": cache, "checkLeaks": leaks, "estimateAge": lambda rows, op: rows.keep(ages(heap, rows.df))}
 
 
+def thread_names(heap: Heap) -> DataFrame:
+    """(t, name) of the objects of threads that are roots; without a text for its name a thread is named by its id."""
+    threads = heap.gcroots.where("type = 'THREAD_OBJ'").select(F.col("object_id").alias("t")).distinct()
+    texts = heap.edges.where("field = 'name'").select(F.col("src").alias("t"), F.col("dst").alias("id")).join(heap.objects.select("id", "string_value"), "id").groupBy("t").agg(F.min("string_value").alias("name"))
+    return threads.join(texts, "t", "left").select("t", F.coalesce("name", F.concat(F.lit("Thread-0x"), F.lower(F.hex("t")))).alias("name"))
+
+
 def normal_class(c):
     """Class names of either notation as dotted names; arrays as name[]."""
     s = F.translate(c, "/", ".")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -15,7 +16,11 @@ from .ast import Call, Compare, Lit, Logic, Named, Op, Path, Query
 from .expressions import EVENTS, Dialect, Scope
 from .parser import QueryError
 
-ORD = "_ord"
+Key = C.Key
+
+#: The place of a row in the order of arrival, and where several event types are read the place of its type among them.
+ORD, TYPE = "_ord", "_type"
+HIDDEN = (ORD, TYPE)
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 
 
@@ -37,7 +42,7 @@ class Rows:
 
     @property
     def names(self) -> list:
-        return [c for c in self.df.columns if c != ORD]
+        return [c for c in self.df.columns if c not in HIDDEN]
 
     def to(self, df: DataFrame, order: tuple = (), **more) -> Rows:
         return replace(self, df=df, order=order, first=False, **({"values": False, "sorted": False} | more))
@@ -47,11 +52,15 @@ class Rows:
         return replace(self, df=df, first=False)
 
     def ordering(self) -> list:
-        return [*self.order, *([F.col(ORD).asc()] if ORD in self.df.columns else [])]
+        return [*self.order, *(Key(F.col(c)) for c in self.hidden)]
+
+    @property
+    def hidden(self) -> list:
+        return [c for c in HIDDEN if c in self.df.columns]
 
     def result(self) -> DataFrame:
-        df = self.df.orderBy(*self.ordering()) if self.sorted and self.order else self.df
-        return df.drop(ORD)
+        df = self.df.orderBy(*map(Key.sort, self.ordering())) if self.sorted and self.order else self.df
+        return df.drop(*HIDDEN)
 
 
 def option(op: Op, name: str, default=None, at: int | None = None):
@@ -84,7 +93,7 @@ def projected(rows: Rows, path: tuple) -> Rows:
     df = rows.df
     for i, step in enumerate(path):
         c, t, _ = C.at_path(df.schema, (step.key,), rows.dialect.aliases) if i == 0 else C.walk(F.col("value"), df.schema["value"].dataType, (step.key,))
-        keep = [ORD] if ORD in df.columns else []
+        keep = rows.hidden
         if isinstance(t, T.ArrayType) and step.span:
             c = F.array(F.get(c, F.lit(step.span[0]))) if len(step.span) == 1 else F.slice(c, step.span[0] + 1, F.greatest(F.lit(0), (F.lit(step.span[1]) if step.span[1] is not None else F.size(c)) - step.span[0]))
         last = i == len(path) - 1
@@ -142,20 +151,58 @@ def stats(rows: Rows, op: Op) -> Rows:
     return rows.to(x.agg(F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("avg"), F.stddev_pop("x").alias("stddev")))
 
 
-def quantile(q: float) -> Column:
-    """Nearest rank; the median is the mean of the middle pair."""
-    return (F.percentile("x", F.lit(0.5)) if q == 0.5 else F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY x)")).alias("p" + f"{100 * q:.10g}")
+#: Parts that a range of numbers is split into at each step towards a rank.
+PARTS = 4096
+
+
+def at_ranks(x: DataFrame, ranks: set, low: float, high: float) -> dict:
+    """The numbers at some ranks (from 0) of the column x, all of them between low and high.
+
+    Each step counts the numbers by equal parts of the ranges that hold a rank and goes on in the parts
+    that do, between their least and greatest number. A step is an aggregation with map-side combine to
+    PARTS rows a rank at most, so neither a task nor the driver gathers numbers.
+    """
+    found: dict = {}
+    open_ = {(low, high): (0, set(ranks))}  # range: (numbers below it, ranks in it)
+    while open_:
+        found |= {r: lo for (lo, hi), (_, own) in open_.items() if lo == hi for r in own}
+        open_ = {k: v for k, v in open_.items() if k[0] != k[1]}
+        if not open_:
+            break
+        parts = [((lo, hi), F.least(F.floor((F.col("x") / 2 - lo / 2) / (hi / 2 - lo / 2) * PARTS), F.lit(PARTS - 1))) for lo, hi in open_]
+        inside = [F.when(F.col("x").between(lo, hi), F.struct(F.lit(i).alias("range"), part.alias("part"))) for i, ((lo, hi), part) in enumerate(parts)]
+        got = x.select("x", F.coalesce(*inside).alias("p")).where("p IS NOT NULL").groupBy("p").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("p").collect()
+        following: dict = {}
+        for i, (base, own) in enumerate(open_.values()):
+            for row in (r for r in got if r.p.range == i):
+                held = {r for r in own if base <= r < base + row.n}
+                if held:
+                    following[row.lo, row.hi] = (base, held)
+                base += row.n
+        open_ = following
+    return found
+
+
+def ranked(x: DataFrame, asked: list, aggregates: dict) -> DataFrame:
+    """One row: count, other aggregates, and the quantiles that are asked for, by nearest rank; the median is the mean of the middle pair."""
+    first = x.agg(F.count("x").alias("count"), F.min("x").alias("_low"), F.max("x").alias("_high"), *(f("x").alias(n) for n, f in aggregates.items())).first()
+    n = first["count"]
+    ends = {q: ((n - 1) // 2, n // 2) if q == 0.5 else (max(0, math.ceil(round(q * n, 9)) - 1),) * 2 for q in asked}
+    got = at_ranks(x, {r for pair in ends.values() for r in pair}, first["_low"], first["_high"]) if n else {}
+    values = [n, *(first[a] for a in aggregates), *(None if not n else got[a] if a == b else (got[a] + got[b]) / 2 for a, b in (ends[q] for q in asked))]
+    names = ["count", *aggregates, *("p" + f"{100 * q:.10g}" for q in asked)]
+    kind = "`count` long, " + ", ".join(f"`{c}` double" for c in names[1:])
+    return x.sparkSession.createDataFrame([tuple(values)], kind)
 
 
 def quantiles(rows: Rows, op: Op) -> Rows:
     asked = [float(a.value) for a in op.args if isinstance(a, Lit)] or [0.5, 0.9, 0.99]
     x = numbers(rows, Op(op.name, tuple(a for a in op.args if isinstance(a, Path)), op.options))
-    return rows.to(x.agg(F.count("x").alias("count"), *map(quantile, asked)))
+    return rows.to(ranked(x, asked, {}))
 
 
 def sketch(rows: Rows, op: Op) -> Rows:
-    x = numbers(rows, op)
-    return rows.to(x.agg(F.count("x").alias("count"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("avg"), F.stddev_pop("x").alias("stddev"), *map(quantile, (0.5, 0.9, 0.99))))
+    return rows.to(ranked(numbers(rows, op), [0.5, 0.9, 0.99], {"min": F.min, "max": F.max, "avg": F.avg, "stddev": F.stddev_pop}))
 
 
 def group_by(rows: Rows, op: Op) -> Rows:
@@ -212,22 +259,19 @@ def group_by(rows: Rows, op: Op) -> Rows:
     by = option(op, "sortBy")
     if rows.dialect.name == "samples" or by:
         up = bool(option(op, "asc", False))
-        c = C.named(names[0] if by == "key" else label)
-        first = (c.asc_nulls_first() if up else c.desc_nulls_last()) if rows.dialect.name != "heap" else (c.asc_nulls_last() if up else c.desc_nulls_first())
-        return rows.to(out, (first, *(C.named(n).asc() for n in names)), sorted=True)
-    return rows.to(out, tuple(C.named(n).asc() for n in names))
+        first = Key(C.named(names[0] if by == "key" else label), not up, not up if rows.dialect.name == "heap" else None)
+        return rows.to(out, (first, *(Key(C.named(n)) for n in names)), sorted=True)
+    return rows.to(out, tuple(Key(C.named(n)) for n in names))
 
 
 # order
-def sort_key(rows: Rows, e, descending: bool) -> Column:
+def sort_key(rows: Rows, e, descending: bool) -> Key:
     c, t = rows.scope.value(e)
     if isinstance(c, Column) and isinstance(t, T.NullType) and rows.dialect.name == "events":
         raise QueryError(f"no field {e.text} to sort by")
     if rows.dialect.name == "samples":
         c = F.coalesce(C.as_double(c, t), F.lit(0.0))
-    if rows.dialect.name == "heap":
-        return c.desc_nulls_first() if descending else c.asc_nulls_last()
-    return c.desc_nulls_last() if descending else c.asc_nulls_first()
+    return Key(c, descending, descending if rows.dialect.name == "heap" else None)
 
 
 def sort_by(rows: Rows, op: Op) -> Rows:
@@ -252,35 +296,27 @@ def top(rows: Rows, op: Op) -> Rows:
     if by is None and rows.dialect.name == "heap":
         return head(rows, Op("head", (Lit(n),)))
     if by is None:
-        numeric = [f.name for f in rows.df.schema.fields if C.is_number(f.dataType) and f.name != ORD]
+        numeric = [f.name for f in rows.df.schema.fields if C.is_number(f.dataType) and f.name not in HIDDEN]
         by = Path(("value",)) if "value" in rows.names else Path((numeric[0] if numeric else rows.names[0],))
     up = bool(option(op, "asc", False)) or any(isinstance(a, Path) and a.text == "asc" for a in op.args)
     order = (sort_key(rows, by, not up), *rows.order)
     rows = replace(rows, order=order, sorted=True)
-    return rows.keep(rows.df.orderBy(*rows.ordering()).limit(n))
+    return rows.keep(rows.df.orderBy(*map(Key.sort, rows.ordering())).limit(n))
 
 
 def head(rows: Rows, op: Op) -> Rows:
     n = int(option(op, "n", 10, 0))
     order = rows.ordering()
-    return rows.keep(rows.df.orderBy(*order).limit(n) if order else rows.df.limit(n))
+    return rows.keep(rows.df.orderBy(*map(Key.sort, order)).limit(n) if order else rows.df.limit(n))
 
 
 def tail(rows: Rows, op: Op) -> Rows:
     n = int(option(op, "n", 10, 0))
     if not rows.ordering():
         raise QueryError("tail needs an order")
-    # the order the other way round: the last n are the first n of it
-    return rows.keep(rows.df.orderBy(*map(flipped, rows.ordering())).limit(n))
-
-
-def flipped(c: Column) -> Column:
-    """A sort column the other way round."""
-    text = c._jc.toString()
-    for end, other in (("ASC NULLS FIRST", "desc_nulls_last"), ("ASC NULLS LAST", "desc_nulls_first"), ("DESC NULLS FIRST", "asc_nulls_last"), ("DESC NULLS LAST", "asc_nulls_first")):
-        if text.endswith(end):
-            return getattr(F.expr(text[: -len(end)].strip()), other)()
-    return c.desc_nulls_last()
+    # the last n are the first n of the order turned round; then the order is as it was
+    last = rows.df.orderBy(*(k.sort(turned=True) for k in rows.ordering())).limit(n)
+    return rows.keep(last.orderBy(*map(Key.sort, rows.ordering())))
 
 
 def distinct(rows: Rows, op: Op) -> Rows:
@@ -291,7 +327,10 @@ def distinct(rows: Rows, op: Op) -> Rows:
     c, t = rows.scope.value(e)
     if not rows.ordering():
         return rows.keep(rows.df.withColumn("_key", C.as_text(c, t)).dropDuplicates(["_key"]).drop("_key"))
-    first = F.row_number().over(Window.partitionBy(C.as_text(c, t)).orderBy(*rows.ordering()))
+    if not rows.order:  # the first by arrival, with map-side combine
+        first = rows.df.select(C.as_text(c, t).alias("_key"), F.struct(*rows.df.columns).alias("_row"), F.struct(*rows.hidden).alias("_at")).groupBy("_key").agg(F.min_by("_row", "_at").alias("_row"))
+        return rows.keep(first.select("_row.*"))
+    first = F.row_number().over(Window.partitionBy(C.as_text(c, t)).orderBy(*map(Key.sort, rows.ordering())))
     return rows.keep(rows.df.withColumn("_n", first).where("_n = 1").drop("_n"))
 
 
@@ -307,15 +346,13 @@ def select(rows: Rows, op: Op) -> Rows:
             raise QueryError("an expression needs a name: expr as name")
         c, _ = rows.scope.value(e)
         out.append(c.alias(name or (e.text if rows.dialect.name == "samples" else str(e.parts[-1]))))
-    keep = [ORD] if ORD in rows.df.columns else []
-    order = ()
-    return rows.to(rows.df.select(*keep, *out), order)
+    return rows.to(rows.df.select(*rows.hidden, *out))
 
 
 def to_map(rows: Rows, op: Op) -> Rows:
     """One row with a map of key to value as strings' keys; null keys are skipped and the last of a key counts."""
     k, v = (rows.scope.value(a) for a in op.args[:2])
-    at = F.col(ORD) if ORD in rows.df.columns else F.monotonically_increasing_id()
+    at = F.struct(*rows.hidden) if rows.hidden else F.monotonically_increasing_id()
     df = rows.df.select(C.as_text(*k).alias("k"), v[0].alias("v"), at.alias("o")).where("k IS NOT NULL")
     last = df.groupBy("k").agg(F.max_by("v", "o").alias("v"))
     return rows.to(last.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("map")))
@@ -345,7 +382,7 @@ def transform(rows: Rows, op: Op) -> Rows:
     if name == "len":
         y = rows.scope.length(path)
         if alone:
-            return rows.to(rows.df.select(*([ORD] if ORD in rows.df.columns else []), y.alias("len")).where("len IS NOT NULL"), rows.order)
+            return rows.to(rows.df.select(*rows.hidden, y.alias("len")).where("len IS NOT NULL"), rows.order)
         return rows.keep(rows.df.withColumn("len" if not heap else rows.dialect.aliases.get(path.text, path.text), F.coalesce(y, F.lit(0).cast("long"))))
     if name == "contains" and not alone:
         return rows.keep(rows.df.where(F.coalesce(s.contains(texts[0]), F.lit(False))))
@@ -359,7 +396,7 @@ def transform(rows: Rows, op: Op) -> Rows:
         "asDateTime": lambda: C.datetime_text(c, texts[0] if texts else None), "formatDuration": lambda: C.duration_text(c), "truncate": lambda: C.truncated(c, texts[0]),
     }[name]()
     if alone:
-        return rows.to(rows.df.select(*([ORD] if ORD in rows.df.columns else []), y.alias("value")).where("value IS NOT NULL"), rows.order, values=True)
+        return rows.to(rows.df.select(*rows.hidden, y.alias("value")).where("value IS NOT NULL"), rows.order, values=True)
     return rows.keep(rows.df.withColumn(rows.dialect.aliases.get(path.text, path.text), y))
 
 
@@ -387,7 +424,7 @@ def frames_of(rows: Rows, op: Op) -> Column:
 
 def flamegraph(rows: Rows, op: Op) -> Rows:
     direction = option(op, "direction", "bottom-up")
-    return rows.to(stacks.flame_nodes(rows.df.select(frames_of(rows, op).alias("frames")), direction != "bottom-up"), (F.col("path").asc(),))
+    return rows.to(stacks.flame_nodes(rows.df.select(frames_of(rows, op).alias("frames")), direction != "bottom-up"), (Key(F.col("path")),))
 
 
 def stackprofile(rows: Rows, op: Op) -> Rows:
@@ -396,16 +433,16 @@ def stackprofile(rows: Rows, op: Op) -> Rows:
         types = rows.context.get("value_types", [])
         value = e.text if e is not None else types[0] if types else None
         c = F.lit(1).cast("long") if value is None else C.named(value)
-        return rows.to(stacks.folded(rows.df.select(frames_of(rows, op).alias("frames"), c.alias("v")), "count" if value is None else value), (C.named("count" if value is None else value).desc(), F.col("stack").asc()), sorted=True)
+        return rows.to(stacks.folded(rows.df.select(frames_of(rows, op).alias("frames"), c.alias("v")), "count" if value is None else value), (Key(C.named("count" if value is None else value), True), Key(F.col("stack"))), sorted=True)
     thread = F.coalesce(*(C.as_text(*rows.scope.value(Path(p))) for p in stacks.THREAD_PATHS), F.lit("<unknown>"))
     time = rows.scope.value(Path(("startTime",)))[0].cast("long")
     df = rows.df.select(frames_of(rows, op).alias("frames"), time.alias("t"), thread.alias("thread"))
     out = stacks.profile(df, option(op, "direction", "top-down") == "top-down", int(option(op, "buckets", 10)), float(option(op, "minPct", 1)))
-    return rows.to(out, (F.col("order").asc(),), sorted=True)
+    return rows.to(out, (Key(F.col("order")),), sorted=True)
 
 
 def callgraph(rows: Rows, op: Op) -> Rows:
-    return rows.to(stacks.call_edges(rows.df.select(frames_of(rows, op).alias("frames"))), (F.col("count").desc(), F.col("caller").asc(), F.col("callee").asc()), sorted=True)
+    return rows.to(stacks.call_edges(rows.df.select(frames_of(rows, op).alias("frames"))), (Key(F.col("count"), True), Key(F.col("caller")), Key(F.col("callee"))), sorted=True)
 
 
 OPERATORS = {

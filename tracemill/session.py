@@ -79,8 +79,11 @@ class Session:
             if not query.types:
                 raise QueryError("events needs a type")
             df = self.event_type(query.types[0])
-            for name in query.types[1:]:
-                df = df.unionByName(self.event_type(name), allowMissingColumns=True)
+            if len(query.types) > 1:  # rows of several types may share a place in the order of arrival
+                parts = [self.event_type(name).withColumn(compiler.TYPE, F.lit(i)) for i, name in enumerate(query.types)]
+                df = parts[0]
+                for more in parts[1:]:
+                    df = df.unionByName(more, allowMissingColumns=True)
             return compiler.compile_query(query, compiler.Rows(df, EVENTS, context=context))
         if query.root in ("metadata", "chunks", "cp"):
             if query.root not in self.tables:
@@ -154,10 +157,12 @@ def of_tables(spark: SparkSession, sf_dir: str) -> Session:
     def timed() -> DataFrame:
         return s.event_type("events").withColumns({"startTime": F.unix_micros(F.col("ts").cast("timestamp")) * 1000, "duration": (F.col("value") * 1_000_000_000).cast("long"), "eventThread": F.struct(F.col("user_id").alias("javaThreadId"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("osName"))})
 
-    stack = F.filter(F.split("p_type", " "), lambda x: x != "")
+    # leaf first: two words, a type that recurs, a brand that some lack, and the same frame at the bottom
+    stack = F.concat(F.split("p_name", " "), F.array_repeat("p_type", F.col("p_size") % 3), F.array(F.when(F.col("p_size") % 4 != 0, F.col("p_brand")), F.lit("main")))
+    named = F.filter(stack, lambda x: x.isNotNull())
     s.events |= {name: lambda name=name: table(name) for name in keys}
     s.events |= {kind: lambda kind=kind: timed().where(F.col("event_type") == kind) for kind in ("click", "view", "purchase", "signup", "error")}
-    s.events |= {"all_events": timed, "stacks": lambda: s.event_type("part").withColumn("stackTrace", stack)}
-    s.samples = lambda: s.event_type("part").select(ORD, F.col("p_size").cast("long").alias("cpu"), F.col("p_brand").alias("thread"), F.transform(stack, lambda x: F.struct(x.alias("name"))).alias("stackTrace"))
+    s.events |= {"all_events": timed, "stacks": lambda: s.event_type("part").withColumn("stackTrace", stack), "timed_stacks": lambda: s.event_type("stacks").withColumns({"startTime": F.col("p_partkey").cast("long") * 1_000_000, "eventThread": F.struct(F.col("p_brand").alias("osName"))})}
+    s.samples = lambda: s.event_type("part").select(ORD, F.col("p_size").cast("long").alias("cpu"), F.col("p_brand").alias("thread"), F.transform(named, lambda x: F.struct(x.alias("name"))).alias("stackTrace"))
     s.value_types = ["cpu"]
     return s
