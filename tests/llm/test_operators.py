@@ -389,7 +389,6 @@ def test_tokens(docs, data, none, tmp_path):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_path())
-    tok.encode_special_tokens = True
     ids = {t: [*tok.encode(t or "", add_special_tokens=False).ids, 2] for _, t, _ in data}
     for block in (1 << 20, 50):
         got = rows(tokens.encoded(docs, queries.tokenizer_path(), str(tmp_path / f"b{block}"), block=block))
@@ -403,7 +402,7 @@ def test_tokens(docs, data, none, tmp_path):
 
 def test_encoder_pieces_are_the_tokenizers():
     enc = tokens.Encoder(queries.tokenizer_path())
-    texts = ["a  b", "  x", " \n a", "a\t  b", "a\x1c b", "", " ", "a b ", "é  x", " a", "don't 12 !!", "\0 a b", "a\nb c\n d", "ab, cd. ef!? gh12 　x", "ÀB ß."] * 2
+    texts = ["a  b", "  x", " \n a", "a\t  b", "a\x1c b", "", " ", "a b ", "é  x", " a", "don't 12 !!", "\0 a b", "a\nb c\n d", "ab, cd. ef!? gh12 　x", "ÀB ß.", "a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext|"] * 2
     assert [x.tolist() for x in enc.encode(texts)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 

@@ -18,8 +18,8 @@ from .common import shared_dir
 
 #: Ids after which a block closes at the end of its document.
 BLOCK = 1 << 20
-#: Pieces that a worker remembers the ids of; all are forgotten at once.
-CACHE = 1_000_000
+#: Pieces that a worker remembers the ids of, at some 250 bytes each; all are forgotten at once.
+CACHE = 300_000
 #: The end of a document.
 END = 2
 
@@ -37,7 +37,7 @@ class Encoder:
 
     The vocabulary's pattern never matches across the step from a character that is no white space to
     one that is, so a text split at such single spaces encodes as its pieces do. Other texts, with two
-    white-space characters in a row at a split, are encoded whole. A new piece is split by the pattern
+    white-space characters in a row at a split or with the string of an added token, are encoded whole. A new piece is split by the pattern
     and each part goes to the library's model; other kinds of tokenizers encode it with all their steps.
     """
 
@@ -48,7 +48,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.vocab = self.tok.get_vocab_size()
         self.kind = np.uint16 if self.vocab <= 1 << 16 else np.uint32
         form = json.loads(self.tok.to_str())
@@ -96,6 +96,9 @@ class Encoder:
             self.cache.clear()
         cache, out = self.cache, []
         for text in texts:
+            if any(a in text for a in self.added):
+                out.append(self.whole(text))
+                continue
             first, *pieces = text.split(" ")
             got = [*map(cache.get, pieces)]
             alone = not first or not first[-1].isspace()
