@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 
 from tracemill.llm import ctw, decontaminate, embeddings, html, mixing, queries, rangecoder, secrets, simhash, suffixes, tokens, toxicity
@@ -409,11 +410,80 @@ def test_encoder_pieces_are_the_tokenizers():
 BENCH = [(1, "A train leaves Boston at 9 km per hour and meets Alice after 12 minutes near the old mill"), (2, "A train leaves Boston at 9 km per hour and meets Alice after 12 minutes near the old mill"), (3, None), (4, ""), (5, "two words"), (6, PASSAGE)]
 
 
+def canonical_form(text):
+    """A text's words with placeholders, its words without those of names, and the words as they are: by rules written anew."""
+    out = []
+    for w in re.findall(r"[^\x20\x09-\x0d]+", text or ""):
+        forms = []
+        for names in (True, False):
+            x = regex.sub(r"(?<![\p{L}\p{N}<>])\p{Lu}\p{Ll}+(?![\p{L}\p{N}<>])", "\x01", w) if names else w
+            x = regex.sub(r"[0-9]+(?:[.,:/-][0-9]+)*", "<num>", x).lower()
+            x = "".join("<unit>" if p in UNITS else "<num>" if p in SPELLED else p for p in regex.split(r"((?<![\p{L}\p{N}<>])[\p{L}\p{N}]+(?![\p{L}\p{N}<>]))", x))
+            forms.append(regex.sub(r"[^\p{L}\p{N}<>]+", "", x.replace("\x01", "<name>")))
+        if forms[0] or forms[1]:
+            out.append((*forms, w.lower()))
+    return out
+
+
+UNITS, SPELLED = set(decontaminate.UNITS.split()), set(decontaminate.SPELLED.split())
+
+
+def brute_contamination(texts, items, share=0.8, consistent=0.8, width=5):
+    """(text number, item) pairs: windows in either form, then slots at the most frequent offset, both ways."""
+    own = {i: canonical_form(t) for i, t in items.items()}
+    found = set()
+    for k, text in enumerate(texts):
+        words_ = canonical_form(text)
+        grams = {}
+        for p in range(max(len(words_) - width + 1, min(1, len(words_)))):
+            for form in (0, 1):
+                grams.setdefault((tuple(w[form] for w in words_[p : p + width])), set()).add(p)
+        for i, item in own.items():
+            spots = range(max(len(item) - width + 1, min(1, len(item))))
+            windows = {}
+            for p in spots:
+                windows.setdefault(tuple(w[0] for w in item[p : p + width]), set()).update({tuple(w[0] for w in item[p : p + width]), tuple(w[1] for w in item[p : p + width])})
+            held = sum(bool(forms & grams.keys()) for forms in windows.values())
+            if not windows or held < share * len(windows):
+                continue
+            first = {}
+            for p in spots:
+                for form in (0, 1):
+                    first.setdefault(tuple(w[form] for w in item[p : p + width]), p)
+            offsets = Counter(q - p for g, p in first.items() for q in grams.get(g, ()))
+            offset = min(offsets, key=lambda o: (-offsets[o], o))
+            pairs = Counter()
+            for p, w in enumerate(item):
+                now = words_[p + offset] if 0 <= p + offset < len(words_) else None
+                if re.search("<num>|<name>|<unit>", w[0]) and now and (now[0] == w[0] or now[2] == w[2]):
+                    pairs[w[2], now[2]] += 1
+            best = lambda side, value: min((p for p in pairs if p[side] == value), key=lambda p: (-pairs[p], p[0] != p[1], p[1 - side]))  # noqa: B023, E731
+            good = sum(n for p, n in pairs.items() if best(0, p[0]) == p == best(1, p[1]))
+            if good >= consistent * sum(pairs.values()):
+                found.add((k, i))
+    return found
+
+
+def test_decontamination_matches_brute_force(spark):
+    rng = np.random.default_rng(12)
+    pool = "Alice Bob Zed Boston Paris the a of and runs meets near mill river 7 12 9.5 km minutes hours two twelve old (train) dogs, House".split()
+    items = {i: " ".join(rng.choice(pool, rng.integers(6, 25))) for i in range(8)}
+    items |= {20: "Alice gave Bob 3 apples and Alice gave Carol 5 apples while Bob ate 2 apples", 21: "one two"}
+    texts = [None, "", "one two", "Zed gave Zed 3 apples and Zed gave Zed 5 apples while Zed ate 2 apples", "so Ann gave Tom 4 apples and Ann gave Eve 6 apples while Tom ate 7 apples today"]
+    for i in items.values():
+        texts += [i, i.upper(), "Well, " + i + " so it is", i.replace("Alice", "Dora").replace("7", "8"), " ".join(x for x in i.split() if rng.random() < 0.9), " ".join(rng.choice(pool) if rng.random() < 0.15 else x for x in i.split())]
+    got = {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.contamination(table(spark, texts, DOCUMENTS), spark.createDataFrame(list(items.items()), "item_id long, text string")))}
+    want = brute_contamination(texts, items)
+    assert got == want
+    assert (4, 20) in got and (3, 20) not in got and len(got) > 30
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(*b, 0) for b in BENCH], "item_id long, text string, hash int")
-    texts = ["Intro here. A train leaves Paris at 40 km per hour and meets Bob after 7 minutes near the old mill. Outro.", "A train stops at 9 o'clock", "two words", "has two words in it", BENCH[0][1].upper(), None, ""]
+    texts = ["Intro here. A train leaves Paris at 40 km per hour and meets Bob after 7 minutes near the old mill. Outro.", "A train stops at 9 o'clock", "two words", "has two words in it", BENCH[0][1].upper(), None, "", "say " + BENCH[0][1].lower(), BENCH[0][1].replace("9", "nine").replace("12", "twelve")]
     got = rows(decontaminate.contamination(table(spark, texts), bench))
-    assert {(r["doc_id"], r["item_id"], r["exact"]) for r in got} == {(0, 1, False), (0, 2, False), (2, 5, True)}
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(0, 1), (0, 2), (2, 5), (4, 1), (4, 2), (7, 1), (7, 2), (8, 1), (8, 2)}
+    assert {(r["doc_id"], r["exact"]) for r in got} == {(0, False), (2, True), (4, True), (7, True), (8, False)}
     got = {(r["doc_id"], r["item_id"]) for r in rows(decontaminate.contamination(docs, bench))}
     assert got == {(7, 6), (8, 6), (9, 6)} or got == {(7, 6), (8, 6)}
     left = decontaminate.clean_documents(docs, bench)

@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation.
 
-Numbers, names and units become typed placeholders, so that a re-parameterised question has the windows
+Numbers (in digits or words), names and units become typed placeholders, so that a re-parameterised question has the windows
 of its template. Names are known by their capitals, so a copy in other letters has other placeholders:
 windows are taken with and without names, and a window is held in either form. Windows of canonical words
 are hash-joined with those of the benchmark; a document that holds most of an item's windows is aligned with it, and each placeholder's values must map to the same
@@ -9,7 +9,7 @@ values throughout. Everything is DataFrame code: no Python runs on the executors
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -21,6 +21,9 @@ NUMBER = r"[0-9]+(?:[.,:/-][0-9]+)*"
 #: Units of measurement, as words of their own.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hrs kb mb gb tb hz khz mhz ghz w kw v a c f k usd eur gbp percent meters metres miles feet inches grams kilograms pounds ounces liters litres gallons seconds minutes hours days weeks months years dollars euros cents degrees"
 UNIT = r"(?<![\p{L}\p{N}<>])(?:" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}<>])"
+#: Numbers as words.
+SPELLED = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+SPELLED_NUMBER = r"(?<![\p{L}\p{N}<>])(?:" + "|".join(sorted(SPELLED.split(), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}<>])"
 NAME = r"(?<![\p{L}\p{N}<>])\p{Lu}\p{Ll}+(?![\p{L}\p{N}<>])"
 
 
@@ -33,7 +36,7 @@ def marked(text: Column) -> Column:
         text = F.replace(text, F.lit(mark), F.lit("\x02"))
     text = F.regexp_replace(text, NAME, "\x01$0\x03")
     text = F.regexp_replace(text, NUMBER, "<num>")
-    text = F.regexp_replace(F.lower(text), UNIT, "<unit>")
+    text = F.regexp_replace(F.regexp_replace(F.lower(text), UNIT, "<unit>"), SPELLED_NUMBER, "<num>")
     return F.regexp_replace(text, r"[^\p{L}\p{N}<>\x20\x09-\x0D\x01\x03]+", "")
 
 
@@ -89,7 +92,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
 
     A document holds an item if it has at least `share` of the item's distinct windows, each with
     placeholders for names or with its words in any case, and, aligned at the
-    most frequent offset, at least `consistent` of the item's placeholders keep one value each. exact: all
+    most frequent offset, at least `consistent` of the item's placeholders keep one value each, and no two the same. exact: all
     placeholders have the item's own values. Null and empty texts hold nothing and are held by nothing;
     items of fewer than WINDOW words match documents of exactly their words. Equal items each get their
     rows; repeated documents are found by (id, text_hash) and get one row. Empty tables give no rows.
@@ -123,8 +126,10 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     slots = F.filter(F.transform("want", lambda x, i: F.struct(x["canon"].alias("canon"), x["word"].alias("was"), F.get("have", i + F.col("offset")).alias("now"))), lambda s: s["canon"].rlike("<num>|<name>|<unit>") & ((s["now"]["canon"] == s["canon"]) | (s["now"]["word"] == s["was"])))
     slot = both.select(*keys, F.explode_outer(slots).alias("s")).select(*keys, F.col("s.was").alias("was"), F.col("s.now.word").alias("now"))
     pairs = slot.groupBy(*keys, "was", "now").agg(F.count("was").alias("k"))
-    values = pairs.groupBy(*keys, "was").agg(F.max("k").alias("most"), F.sum("k").alias("n"), F.bool_and(F.coalesce(F.col("was") == F.col("now"), F.lit(True))).alias("equal"))
-    judged = values.groupBy(*keys).agg(F.sum("n").alias("n_slots"), F.sum("most").alias("most"), F.bool_and("equal").alias("exact"))
+    # a pair of values counts if each is the other's most frequent one, so that two names do not both become a third
+    first = lambda one, other: F.row_number().over(Window.partitionBy(*keys, one).orderBy(F.desc("k"), F.col(one) != F.col(other), other)) == 1
+    pairs = pairs.withColumn("good", first("was", "now") & first("now", "was"))
+    judged = pairs.groupBy(*keys).agg(F.sum("k").alias("n_slots"), F.sum(F.when(F.col("good"), F.col("k")).otherwise(0)).alias("most"), F.bool_and(F.coalesce(F.col("was") == F.col("now"), F.lit(True))).alias("exact"))
     judged = judged.withColumn("consistency", F.when(F.col("n_slots") > 0, F.col("most") / F.col("n_slots")).otherwise(F.lit(1.0))).where(F.col("consistency") >= consistent)
     j = judged.alias("j")
     on = F.col("j.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("j.text_hash") == F.col("f.text_hash")) & (F.col("j.item_id") == F.col("f.item_id"))
