@@ -557,6 +557,15 @@ def test_embeddings(spark):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_doubles_with_named_labels(spark):
+    """Cosines are of the vectors as given: these differ from the bound by less than floats tell."""
+    x = [1.0, 0.0]
+    above, below = ([0.93 + d, math.sqrt(1 - (0.93 + d) ** 2)] for d in (1e-12, -1e-12))
+    df = spark.createDataFrame([(1, x, "a"), (2, above, "a"), (3, below, "a"), (4, x, "b"), (5, above, None), (6, [1e-300, 0.0], "a")], "vec_id long, embedding array<double>, label string")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in rows(embeddings.near_vectors(df))}
+    assert got == {1: (2, 1), 2: (3, 1), 3: (1, 1), 4: (0, 4), 5: (0, 5), 6: (2, 1)}
+
+
 def test_grid_order_skips_nothing(monkeypatch):
     monkeypatch.setattr(embeddings, "LEAF", 4)
     rng = np.random.default_rng(6)

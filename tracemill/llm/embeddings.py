@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import components, local_roots, spilled
 
@@ -72,6 +73,11 @@ def by_length(batch, name: str):
         yield d, batch.filter(pa.array(size == d))
 
 
+def is_double(classes: DataFrame) -> bool:
+    """Whether vectors come in double precision."""
+    return isinstance(classes.schema["embedding"].dataType.elementType, T.DoubleType)
+
+
 def grid_blocks(classes: DataFrame, axes: dict, side: float, block: int) -> DataFrame:
     """Blocks of the grid order: (block, label, d, ids, times, vectors binary, low, high): low and high bound the cells."""
 
@@ -84,7 +90,8 @@ def grid_blocks(classes: DataFrame, axes: dict, side: float, block: int) -> Data
                 yield pa.RecordBatch.from_arrays([*(x.column(c) for c in ("id", "label", "times", "embedding")), pa.array(np.full(len(y), d, np.int32)), *(pa.array(cell[:, k]) for k in range(GRID))], names=["id", "label", "times", "embedding", "d", *(f"c{k}" for k in range(GRID))])
 
     names = [f"c{k}" for k in range(GRID)]
-    placed = classes.select("id", "label", "times", "embedding").mapInArrow(cells, "id long, label long, times long, embedding array<float>, d int, " + ", ".join(f"{c} long" for c in names))
+    kind, exact = ("double", np.float64) if is_double(classes) else ("float", np.float32)
+    placed = classes.select("id", "label", "times", "embedding").mapInArrow(cells, f"id long, label long, times long, embedding array<{kind}>, d int, " + ", ".join(f"{c} long" for c in names))
     kinds = {"block": pa.int64(), "label": pa.int64(), "d": pa.int32(), "ids": pa.list_(pa.int64()), "times": pa.list_(pa.int64()), "vectors": pa.binary(), "low": pa.list_(pa.int64()), "high": pa.list_(pa.int64())}
 
     def pack(batches):
@@ -93,7 +100,7 @@ def grid_blocks(classes: DataFrame, axes: dict, side: float, block: int) -> Data
         def close():
             x = pa.Table.from_batches(held).combine_chunks()
             cell = np.stack([x.column(c).to_numpy() for c in names], axis=1)
-            vectors = rows_of(x.column("embedding").combine_chunks()).astype(np.float32)
+            vectors = rows_of(x.column("embedding").combine_chunks()).astype(exact)
             row = [part + n, x.column("label")[0].as_py(), x.column("d")[0].as_py(), x.column("id").to_pylist(), x.column("times").to_pylist(), vectors.tobytes(), cell.min(axis=0).tolist(), cell.max(axis=0).tolist()]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds.values(), strict=True)], names=list(kinds))
 
@@ -141,7 +148,7 @@ def joined(a, b, cells_a, cells_b, least: float, same: bool, found, at_a: int =
                 joined(a[x], b[y], cells_a[x], cells_b[y], least, same, found, at_a + x.start, at_b + y.start)
 
 
-def block_links(blocks: DataFrame, axes: dict, side: float, least: float) -> DataFrame:
+def block_links(blocks: DataFrame, axes: dict, side: float, least: float, exact=np.float32) -> DataFrame:
     """(id, links, root): for each linked class of vectors, parts of its number of links to other vectors, and links that span the components."""
     k = GRID
     s = blocks.select("block", "label", "d", *(F.element_at("low", i + 1).alias(f"l{i}") for i in range(k)), *(F.element_at("high", i + 1).alias(f"h{i}") for i in range(k)))
@@ -161,7 +168,7 @@ def block_links(blocks: DataFrame, axes: dict, side: float, least: float) -> Dat
 
     def pair(row):
         def side_of(name):
-            u = unit_rows(np.frombuffer(row[f"{name}_vectors"], np.float32).reshape(-1, row["d"]))
+            u = unit_rows(np.frombuffer(row[f"{name}_vectors"], exact).reshape(-1, row["d"]))
             return u, np.floor(u @ axes[row["d"]] / side), np.array(row[f"{name}_ids"], np.int64), np.array(row[f"{name}_times"], np.int64)
 
         same = row["a"] == row["b"]
@@ -195,7 +202,14 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     lengths link with nothing. component_id is the least id that a row reaches, null where only null ids
     are; kept is null for a null id. Repeated vectors link as others do. An empty table gives none.
     """
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("embedding"), F.col(label_col).cast("long").alias("label"))
+    given = vectors.schema
+    kind = "array<float>" if isinstance(given[vector_col].dataType.elementType, T.FloatType) else "array<double>"
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kind).alias("embedding"), F.col(label_col).alias("label"))
+    if isinstance(given[label_col].dataType, T.IntegralType):
+        own = own.withColumn("label", F.col("label").cast("long"))
+    else:  # numbers for labels of other kinds
+        numbers = spilled(own.select("label").where("label IS NOT NULL").distinct().select(F.col("label").alias("x_name"), F.monotonically_increasing_id().alias("x_number")))
+        own = own.join(numbers, F.col("label") == F.col("x_name"), "left").select("vec_id", "embedding", F.col("x_number").alias("label"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", finite) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     marked = own.withColumn("good", good)
@@ -203,7 +217,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     side = math.sqrt(2 - 2 * least) * (1 + 1e-9) + 1e-12
     axes = principal(classes, GRID)
     blocks = spilled(grid_blocks(classes, axes, side, block))
-    found = spilled(block_links(blocks, axes, side, least))
+    found = spilled(block_links(blocks, axes, side, least, np.float64 if is_double(classes) else np.float32))
     comp = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = classes.join(links, "id", "left").join(comp, F.col("id") == F.col("node"), "left")
