@@ -380,12 +380,33 @@ def test_range_coder():
         for ids in (rng.integers(0, 50_257, n), rng.zipf(1.4, n) % 50_257, np.zeros(n, np.int64), np.full(n, 50_256)):
             data = rangecoder.encode_block(ids.astype(np.int64), 50_257)
             assert (rangecoder.decode_block(data) == ids).all()
+    text = np.array([int(x) for x in np.random.default_rng(7).integers(0, 300, 60)])
+    for n in (64 * 256, 64 * 4096 + 5):  # words of ids, so that two ids tell the next
+        start = rng.integers(0, 55, n // 4 + 1)
+        ids = np.concatenate([text[s : s + 4] for s in start])[:n]
+        data = rangecoder.encode_block(ids, 50_257)
+        assert (rangecoder.decode_block(data) == ids).all()
+    assert 8 * len(data) < 4.5 * n  # one by one the ids have 5.6 bits
     broken = bytearray(rangecoder.encode_block(np.arange(500), 50_257))
     broken[40] ^= 1
     with pytest.raises(ValueError):
         rangecoder.decode_block(bytes(broken))
 
 
+def test_range_coder_mixes_orders(monkeypatch):
+    """Each order makes blocks smaller: without what it has seen they grow."""
+    rng = np.random.default_rng(9)
+    words = [rng.integers(0, 2000, k) for k in rng.integers(2, 6, 400)]
+    ids = np.concatenate([words[k] for k in np.minimum(rng.zipf(1.3, 40_000) - 1, 399)])[:100_000].astype(np.int64)
+    whole = len(rangecoder.encode_block(ids, 2000))
+    find = rangecoder.Counts.find
+    sizes = []
+    for gone in ((1,), (0, 1)):
+        monkeypatch.setattr(rangecoder.Counts, "find", lambda self, k, keys, gone=gone: (np.zeros(keys.shape, np.int64), np.zeros(keys.shape, bool)) if k in gone else find(self, k, keys))
+        sizes.append(len(rangecoder.encode_block(ids, 2000)))
+    assert whole < 0.95 * sizes[0] and sizes[0] < 0.95 * sizes[1]
+
+
 def test_tokens(docs, data, none, tmp_path):
     from tokenizers import Tokenizer
 

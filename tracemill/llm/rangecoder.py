@@ -1,13 +1,15 @@
 """Adaptive context-mixing range coder for token ids, in independently reset, checksummed blocks.
 
-A block's ids are dealt to lanes, each a contiguous run with a range coder of its own; all lanes share
-one model, which learns after every step (one id a lane), so numpy codes a step at once. Of the order-2
-and order-1 contexts each predicts one id. Two tables estimate which prediction holds, one by the
-predictions' confidence and one by the previous id; their mixture, weighted by which of them has done
-better, codes the choice. An id that neither predicts is coded by adaptive order-0 frequencies. All
-arithmetic is in integers, so that any machine decodes what another has written.
-
-Block: b"TMR1", ids, vocabulary size, lanes (uint32 each), crc32 of the ids as little-endian uint32, words
+A block's ids are dealt to lanes, each a contiguous run with a range coder of its own; all lanes share one
+model, so numpy codes a step (one id a lane) at once. The counts of what followed each id (order 1) and
+each two ids (order 2) are renewed whenever the block has grown by GROWTH. A step codes by which order an
+id is predicted, the highest that has seen it follow, and then the id by that order's counts; what neither
+has seen goes by adaptive order-0 frequencies. The probability that an order holds is mixed from two
+estimates, one by how much and how variously the context was followed and one by the previous id,
+weighted by which has done better. All arithmetic is in integers, so that any machine decodes what
+another has written.
+
+Block: b"TMR2", ids, vocabulary size, lanes (uint32 each), crc32 of the ids as little-endian uint32, words
 of each lane (uint32), the lanes' 16-bit words, and the crc32 of all before. Little-endian throughout.
 """
 
@@ -18,27 +20,82 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"TMR1"
+MAGIC = b"TMR2"
 LANES, PER_LANE = 4096, 64
-#: Steps between renewals of the cumulative frequencies.
-RENEW = 16
+#: Steps between renewals of the order-0 frequencies and of the estimates, and growth between those of the counts.
+RENEW, GROWTH = 16, 2
 U = np.uint64
-#: A lane's range is at least BOT before a step; both parts of a step leave it at least 2^10.
+#: A lane's range is at least BOT before a step; both parts of a step leave it at least 2^4.
 TOP, BOT = U(1 << 48), U(1 << 40)
-SLOTS2 = 1 << 18
+#: Classes of a context by the bits of its count and of its distinct followers.
+COUNTS, KINDS = 12, 10
+
+
+def summed(keys: np.ndarray, n: np.ndarray) -> tuple:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")  # merges sorted runs
+    keys, n = keys[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.add.reduceat(n, at)
+
+
+def contexts(n: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The class of contexts that were followed n times, by so many kinds of ids."""
+    return np.minimum(np.frexp(n)[1], COUNTS - 1) * KINDS + np.minimum(np.frexp(kinds)[1], KINDS - 1)
+
+
+class Counts:
+    """What followed one id and two ids so far. A context of two ids is the place of their pair among the pairs of order 1."""
+
+    def __init__(self, vocab: int):
+        self.bits = max(1, int(vocab).bit_length())
+        self.vocab = vocab
+        self.keys, self.n = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
+        self.renew()
+
+    def add(self, before2: np.ndarray, before1: np.ndarray, ids: np.ndarray):
+        pair = (before1 << self.bits | ids).ravel()
+        for k, new in enumerate((pair, before2.ravel() << 2 * self.bits | pair)):
+            keys, n = summed(np.sort(new), np.ones(len(new), np.int64))
+            self.keys[k], self.n[k] = summed(np.concatenate([self.keys[k], keys]), np.concatenate([self.n[k], n]))
+        self.renew()
+
+    def renew(self):
+        self.upto = [np.concatenate([[0], np.cumsum(n)]) for n in self.n]
+        first = np.searchsorted(self.keys[0], np.arange(self.vocab + 1) << self.bits)
+        begin = np.searchsorted(self.keys[1], self.keys[0] << self.bits)
+        end = np.searchsorted(self.keys[1], (self.keys[0] + 1) << self.bits)
+        none = np.zeros(1, np.int64)  # of the pair that has not been seen, at the end
+        self.base1, self.total1, self.class1 = self.places(0, first[:-1], first[1:])
+        self.base2, self.total2, self.class2 = self.places(1, np.append(begin, none), np.append(end, none))
+
+    def places(self, k: int, begin: np.ndarray, end: np.ndarray) -> tuple:
+        """Of contexts whose followers are begin to end: the sum of the counts before, their sum, and the class."""
+        total = self.upto[k][end] - self.upto[k][begin]
+        return self.upto[k][begin], total, contexts(total, end - begin)
+
+    def find(self, k: int, keys: np.ndarray) -> tuple:
+        """The places of keys, and which are there."""
+        if not len(self.keys[k]):
+            return np.zeros(keys.shape, np.int64), np.zeros(keys.shape, bool)
+        at = np.minimum(np.searchsorted(self.keys[k], keys), len(self.keys[k]) - 1)
+        return at, self.keys[k][at] == keys
+
+    def pairs(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
+        """The contexts of two ids."""
+        at, seen = self.find(0, before2 << self.bits | before1)
+        return np.where(seen, at, len(self.keys[0]))
 
 
 class Model:
-    """What encoder and decoder learn alike. A prediction is packed as id << 2 | confidence (0 to 3)."""
+    """What encoder and decoder learn alike, step by step: order-0 frequencies and the shares of the orders."""
 
-    def __init__(self, vocab: int, lanes: int):
+    def __init__(self, vocab: int):
         self.vocab = vocab
         self.f0 = np.ones(vocab, np.int64)
-        self.guess1, self.guess2 = np.zeros(vocab, np.int64), np.zeros(SLOTS2, np.int64)
-        self.by_sure = np.tile(np.array([2, 2, 4], np.int64), (32, 1))
-        self.by_prev = np.full(vocab, 16384, np.int64)
+        self.holds2, self.holds1 = (np.tile(np.array([1, 1], np.int64), (COUNTS * KINDS, 1)) for _ in range(2))
+        self.by_prev = np.full(vocab, 32768, np.int64)
         self.won = [8, 8]
-        self.prev1, self.prev2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
         self.escapes: list = []
         self.seen: list = []
         self.renew()
@@ -46,47 +103,37 @@ class Model:
     def renew(self):
         if self.escapes:
             self.f0 = self.f0 + 32 * np.bincount(np.concatenate(self.escapes), minlength=self.vocab)
-            self.by_sure += 2 * np.bincount(np.concatenate(self.seen), minlength=96).reshape(32, 3)
-            big = self.by_sure.sum(axis=1) > 1 << 16
-            self.by_sure[big] = (self.by_sure[big] >> 1) + 1
+            two, one = (np.concatenate([s[k] for s in self.seen]) for k in (0, 1))
+            for table, seen in ((self.holds2, two), (self.holds1, one)):
+                table += np.bincount(seen, minlength=table.size + 2)[: table.size].reshape(table.shape)
+                big = table.sum(axis=1) > 1 << 16
+                table[big] = (table[big] >> 1) + 1
             self.escapes, self.seen = [], []
         if self.f0.sum() > 1 << 23:
             self.f0 = (self.f0 + 1) >> 1
-        self.cum = np.zeros(self.vocab + 1, np.int32)
+        self.cum = np.zeros(self.vocab + 1, np.int64)
         np.cumsum(self.f0, out=self.cum[1:])
         self.total = int(self.cum[-1])
-        two, one, none = self.by_sure.T
-        self.share2 = (two << 16) // (two + one + none)
-        self.share1 = (one << 16) // (one + none)
-        self.share1[1::2] = 0  # both predict the same id
-
-    def predict(self):
-        """The two predicted ids, and of 2^16 the shares of the order-2 and the order-1 choice."""
-        self.h2 = ((self.prev2 * 0x9E3779B1 + self.prev1 * 0x85EBCA77) >> 9) & (SLOTS2 - 1)
-        self.g2, self.g1 = g2, g1 = self.guess2[self.h2], self.guess1[self.prev1]
-        c2, c1 = g2 >> 2, g1 >> 2
-        self.ctx = ((g2 & 3) << 3) | ((g1 & 3) << 1) | (c1 == c2)
-        self.a, self.b = self.share2[self.ctx], self.by_prev[self.prev1]
+        self.share2, self.share1 = (np.clip((t[:, 1] << 16) // t.sum(axis=1), 64, 65000) for t in (self.holds2, self.holds1))
+
+    def shares(self, before1, class2, total2, class1, total1) -> tuple:
+        """Of 2^16 the shares of order 2 and order 1; none for one that has seen nothing."""
+        self.a, self.b = self.share2[class2], self.by_prev[before1]
         wa = self.won[0] * 32 // (self.won[0] + self.won[1])
-        q2 = np.clip((wa * self.a + (32 - wa) * self.b) >> 5, 64, 64000)
-        q1 = ((65536 - q2) * self.share1[self.ctx]) >> 16
-        return c2, c1, q2, q1
+        q2 = np.where(total2 > 0, np.clip((wa * self.a + (32 - wa) * self.b) >> 5, 64, 64000), 0)
+        return q2, np.where(total1 > 0, ((65536 - q2) * self.share1[class1]) >> 16, 0)
 
-    def learn(self, x, choice):
-        hit = choice == 0
-        good = int(np.count_nonzero((self.a > self.b) == hit))
+    def learn(self, before1, ids, choice, class2, total2, class1, total1):
+        hit, known = choice == 0, total2 > 0
+        good, all_ = int(np.count_nonzero(((self.a > self.b) == hit) & known)), int(np.count_nonzero(known))
         self.won[0] += good
-        self.won[1] += len(x) - good
+        self.won[1] += all_ - good
         if sum(self.won) > 1 << 16:
             self.won = [(w >> 1) + 1 for w in self.won]
-        self.by_prev[self.prev1] = self.b + (((hit << 16) - self.b) >> 4)
-        fresh = x << 2
-        for table, at, g in ((self.guess2, self.h2, self.g2), (self.guess1, self.prev1, self.g1)):
-            s = g & 3
-            table[at] = np.where(g - s == fresh, np.minimum(g + 1, fresh + 3), np.where(s > 0, g - 1, fresh))
-        self.seen.append(self.ctx * 3 + choice)
-        self.escapes.append(x[choice == 2])
-        self.prev2, self.prev1 = self.prev1, x
+        self.by_prev[before1[known]] = (self.b + (((hit << 16) - self.b) >> 4))[known]
+        none = COUNTS * KINDS * 2
+        self.seen.append((np.where(known, class2 * 2 + hit, none), np.where(~hit & (total1 > 0), class1 * 2 + (choice == 1), none)))
+        self.escapes.append(ids[choice == 2])
         if len(self.seen) == RENEW:
             self.renew()
 
@@ -98,6 +145,11 @@ def interval(choice, q2, q1):
     return np.where(choice == 0, 0, np.where(one, q2, both)), np.where(choice == 0, q2, np.where(one, q1, 65536 - both))
 
 
+def narrow(low, rng, start, size, unit):
+    low += start.astype(np.uint64) * unit
+    rng[:] = size.astype(np.uint64) * unit
+
+
 def settle(low, rng, shift):
     """Renormalises lanes; shift(lanes) moves one word of the given lanes out or in before they shift."""
     at = None
@@ -118,6 +170,14 @@ def settle(low, rng, shift):
         rng[at] <<= U(16)
 
 
+def epochs(steps: int):
+    """Steps (first, last) between which the counts stay."""
+    at, end = 0, 1
+    while at < steps:
+        yield at, min(end, steps)
+        at, end = end, end * GROWTH
+
+
 def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     """One block's bytes."""
     n = len(ids)
@@ -125,31 +185,41 @@ def encode_block(ids: np.ndarray, vocab: int) -> bytes:
     steps = -(-n // lanes)
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
-    grid = grid.reshape(lanes, steps)
+    grid = grid.reshape(lanes, steps).T.copy()
+    before1 = np.concatenate([np.zeros((1, lanes), np.int64), grid[:-1]]) if steps else grid
+    before2 = np.concatenate([np.zeros((1, lanes), np.int64), before1[:-1]]) if steps else grid
     low, rng = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 64) - 1, np.uint64)
-    out, pos = np.zeros((lanes, 4 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
+    out, pos = np.zeros((lanes, 5 * steps + 8), np.uint16), np.zeros(lanes, np.int64)
 
     def shift(at):
         out[at, pos[at]] = low[at] >> U(48)
         pos[at] += 1
 
-    m = Model(vocab, lanes)
-    for t in range(steps):
-        x = grid[:, t].copy()
-        c2, c1, q2, q1 = m.predict()
-        choice = np.where(x == c2, 0, np.where(x == c1, 1, 2))
-        start, size = interval(choice, q2, q1)
-        r = rng >> U(16)
-        low += start.astype(np.uint64) * r
-        rng[:] = size.astype(np.uint64) * r
-        e = np.flatnonzero(choice == 2)
-        if len(e):
-            y = x[e]
-            r = rng[e] // U(m.total)
-            low[e] += m.cum[y].astype(np.uint64) * r
-            rng[e] = m.f0[y].astype(np.uint64) * r
-        settle(low, rng, shift)
-        m.learn(x, choice)
+    counts, m = Counts(vocab), Model(vocab)
+    for first, last in epochs(steps):
+        x, b1, b2 = (v[first:last] for v in (grid, before1, before2))
+        at1, in1 = counts.find(0, b1 << counts.bits | x)
+        pair = np.concatenate([counts.pairs(b2[:1], b1[:1]), np.where(in1, at1, len(counts.keys[0]))[:-1]])
+        at2, in2 = counts.find(1, b2 << 2 * counts.bits | b1 << counts.bits | x)
+        choices = np.where(in2, 0, np.where(in1, 1, 2))
+        class2, total2, class1, total1 = counts.class2[pair], counts.total2[pair], counts.class1[b1], counts.total1[b1]
+        starts, sizes, totals = np.zeros(x.shape, np.int64), np.ones(x.shape, np.int64), np.ones(x.shape, np.int64)
+        for k, at, base, total in ((0, at1, counts.base1[b1], total1), (1, at2, counts.base2[pair], total2)):
+            own = choices == 1 - k
+            starts[own], sizes[own], totals[own] = counts.upto[k][at[own]] - base[own], counts.n[k][at[own]], total[own]
+        for t in range(last - first):
+            known = class2[t], total2[t], class1[t], total1[t]
+            q2, q1 = m.shares(b1[t], *known)
+            choice = choices[t]
+            narrow(low, rng, *interval(choice, q2, q1), rng >> U(16))
+            e = np.flatnonzero(choice == 2)
+            y = x[t, e]
+            starts[t, e], sizes[t, e], totals[t, e] = m.cum[y], m.f0[y], m.total
+            narrow(low, rng, starts[t], sizes[t], rng // totals[t].astype(np.uint64))
+            settle(low, rng, shift)
+            m.learn(b1[t], x[t], choice, *known)
+        if last < steps:
+            counts.add(b2, b1, x)
     for _ in range(4):
         shift(np.arange(lanes))
         low <<= U(16)
@@ -179,29 +249,40 @@ def decode_block(data: bytes) -> np.ndarray:
         code[at] = (code[at] << U(16)) | grid[at, pos[at]]
         pos[at] += 1
 
-    m = Model(vocab, lanes)
-    out = np.zeros((lanes, steps), np.int64)
-    for t in range(steps):
-        c2, c1, q2, q1 = m.predict()
-        r = rng >> U(16)
-        v = np.minimum((code - low) // r, U(65535)).astype(np.int64)
-        choice = np.where(v < q2, 0, np.where(v < q2 + q1, 1, 2))
-        start, size = interval(choice, q2, q1)
-        low += start.astype(np.uint64) * r
-        rng[:] = size.astype(np.uint64) * r
-        x = np.where(choice == 0, c2, c1)
-        e = np.flatnonzero(choice == 2)
-        if len(e):
-            r = rng[e] // U(m.total)
-            v = np.minimum((code[e] - low[e]) // r, U(m.total - 1)).astype(np.int32)
-            y = np.searchsorted(m.cum, v, side="right") - 1
-            x[e] = y
-            low[e] += m.cum[y].astype(np.uint64) * r
-            rng[e] = m.f0[y].astype(np.uint64) * r
-        settle(low, rng, shift)
-        out[:, t] = x
-        m.learn(x, choice)
-    ids = out.ravel()[:n]
+    counts, m = Counts(vocab), Model(vocab)
+    out = np.zeros((steps + 2, lanes), np.int64)  # two steps of no ids come first
+    for first, last in epochs(steps):
+        pair = counts.pairs(out[first], out[first + 1])
+        for t in range(first, last):
+            b1 = out[t + 1]
+            known = counts.class2[pair], counts.total2[pair], counts.class1[b1], counts.total1[b1]
+            q2, q1 = m.shares(b1, *known)
+            unit = rng >> U(16)
+            v = np.minimum((code - low) // unit, U(65535)).astype(np.int64)
+            choice = np.where(v < q2, 0, np.where(v < q2 + q1, 1, 2))
+            narrow(low, rng, *interval(choice, q2, q1), unit)
+            totals = np.where(choice == 0, known[1], np.where(choice == 1, known[3], m.total))
+            unit = rng // totals.astype(np.uint64)
+            v = np.minimum((code - low) // unit, (totals - 1).astype(np.uint64)).astype(np.int64)
+            x, start, size = np.empty((3, lanes), np.int64)
+            e = np.flatnonzero(choice == 2)
+            x[e] = y = np.searchsorted(m.cum, v[e], side="right") - 1
+            start[e], size[e] = m.cum[y], m.f0[y]
+            following = np.full(lanes, len(counts.keys[0]))
+            for k, base in ((1, counts.base2[pair]), (0, counts.base1[b1])):
+                e = np.flatnonzero(choice == 1 - k)
+                at = np.searchsorted(counts.upto[k], base[e] + v[e], side="right") - 1
+                x[e] = counts.keys[k][at] & ((1 << counts.bits) - 1)
+                start[e], size[e] = counts.upto[k][at] - base[e], counts.n[k][at]
+                following[e] = counts.pairs(b1[e], x[e]) if k else at
+            narrow(low, rng, start, size, unit)
+            settle(low, rng, shift)
+            out[t + 2] = x
+            m.learn(b1, x, choice, *known)
+            pair = following
+        if last < steps:
+            counts.add(out[first:last], out[first + 1 : last + 1], out[first + 2 : last + 2])
+    ids = out[2:].T.ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != crc:
         raise ValueError("the ids do not match their checksum")
     return ids
