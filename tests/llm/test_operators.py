@@ -587,6 +587,16 @@ def test_embeddings_of_doubles_with_named_labels(spark):
     assert got == {1: (2, 1), 2: (3, 1), 3: (1, 1), 4: (0, 4), 5: (0, 5), 6: (2, 1)}
 
 
+def test_embeddings_match_sql(spark):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("create view embeddings as select * from read_parquet('/root/testdata/sf0.001/embeddings.parquet')")
+    want = c.execute(queries.ORACLE_SQL["op8_embeddings"]).df()
+    got = queries.op8_embeddings(spark, "/root/testdata/sf0.001").toPandas()[list(want.columns)]
+    assert sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
+
+
 def test_grid_order_skips_nothing(monkeypatch):
     monkeypatch.setattr(embeddings, "LEAF", 4)
     rng = np.random.default_rng(6)

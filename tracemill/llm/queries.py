@@ -61,4 +61,20 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ctw, op2_mixing, op3_simhash, op4_suffixes, op5_tokens, op6_decontaminate, op7_secrets, op8_embeddings, op9_toxicity, op10_html)}
-ORACLE_SQL: dict[str, str] = {}
+#: Trained models, fingerprints, coded blocks, byte strings and markup are beyond SQL; tests hold those against brute force.
+ORACLE_SQL: dict[str, str] = {
+    "op8_embeddings": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+        ), links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+        ), reach AS (
+            SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+        )
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+        FROM embeddings JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) r ON r.a = vec_id
+        LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY a) l ON l.a = vec_id
+    """,
+}
