@@ -262,3 +262,29 @@ def test_waste_and_caches(spark):
     assert ages[3] == (40, "medium") and ages[1] == (41, "medium") and ages[4] == (10, "ephemeral")
     assert [r.path for r in heaps.all_paths(s.heap, 2).collect()] == [[3, 1, 2]]
     assert {(r.id, r.idom) for r in heaps.hybrid_dominators(s.heap, 1, ("java.util.Linked*",)).select("id", "idom").collect()} >= {(3, 0), (1, 3)}
+
+
+def test_leak_detectors(spark):
+    objects = spark.createDataFrame([(1, 1, 8, None, None), (2, 2, 8, None, None), (3, 3, 2 << 20, None, None), (4, 4, 16, None, None), (5, 5, 11 << 20, 40, None), (6, 6, 11 << 20, None, None), (7, 7, 8, None, "web"), *((10 + i, 7, 24, None, "same") for i in range(3)), *((20 + i, 8, 8, None, None) for i in range(2))], "id long, class_id long, shallow long, array_length int, string_value string")
+    edges = spark.createDataFrame([(1, 2, "locals", 0, True), (2, 3, "value", 0, True), (4, 5, "table", 0, True), (6, 7, "name", 0, True)], "src long, dst long, field string, ord int, strong boolean")
+    names = ["java/lang/Thread", "java/lang/ThreadLocal$ThreadLocalMap$Entry", "[B", "java/util/HashMap", "[Ljava/util/Node;", "app/WebLoader", "java/lang/String", "app/ClickListener"]
+    classes = spark.createDataFrame([(i + 1, n, None, 8, False, 6 if i > 6 else None) for i, n in enumerate(names)], "class_id long, name string, super_id long, instance_size int, is_array boolean, loader_id long")
+    roots = spark.createDataFrame([("THREAD_OBJ", 1), ("STICKY_CLASS", 4), ("JNI_GLOBAL", 6)], "type string, object_id long")
+    s = Session(spark).add_heap(heaps.Heap(objects, edges, classes, roots))
+    leaks = lambda text: s.query(f"objects | checkLeaks({text})").collect()
+    r = leaks('"threadlocal-leak"')
+    assert [(x.id, x.attachedToThread, x.valueClass) for x in r] == [(2, True, "[B")]
+    r = leaks('"growing-collections"')
+    assert [(x.id, x.retained, x.elementCount) for x in r] == [(4, 16 + (11 << 20), 0)] and "HashMap" in r[0].suggestion
+    r = leaks('"classloader-leak"')
+    assert [(x.id, x.loaderName, x.loadedClasses) for x in r] == [(6, "web", 1)]
+    r = leaks('"duplicate-strings", threshold=3')
+    assert [(x["count"], x.value, x.retained, x.wastedBytes) for x in r] == [(3, "same", 72, 48)]
+    assert [(x["class"], x["count"], x.retained) for x in leaks('"listener-leak", threshold=2')] == [("app.ClickListener", 2, 16)]
+    with pytest.raises(QueryError):
+        leaks('filter="mine"')
+    big = {x.id: x.gcRootPath for x in s.query("objects | dominators()").collect()}
+    assert big == {2: "java.lang.Thread → java.lang.ThreadLocal$ThreadLocalMap$Entry", 3: "java.lang.Thread → java.lang.ThreadLocal$ThreadLocalMap$Entry → [B", 5: "java.util.HashMap → [Ljava.util.Node;"}
+    s.set("a", {"x": 1, "y": 2})
+    s.set("b", {"y": 3})
+    assert s.merge("a", "b") == {"x": 1, "y": 3}

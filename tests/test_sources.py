@@ -121,11 +121,28 @@ def test_recording(spark, tmp_path):
     assert s.query("chunks | count()").first()[0] == 2 and recordings.chunk_summary(s).first().totalChunks == 2
     assert s.query("metadata/my.Event | select(fieldCount)").first()[0] == 4
     assert s.query("cp/java.lang.Thread | count()").first()[0] == 2
+    assert {r.type: r.entries for r in s.query("cp").collect()}["java.lang.Thread"] == 2
+    assert [r.name for r in s.query("metadata/my.Event/fields | select(name)").collect()] == sorted(r.name for r in s.query("metadata/my.Event/fields").collect())
+    assert s.query("metadata/my.Event/fields/path/type").first()[0] == "java.lang.String"
+    row = s.query("cp/java.lang.Thread | crossref()").first()
+    assert row.cpTotal == 2 and [e.eventType for e in row.events] == ["my.Event"]
+    assert "my.Event" in {r.name for r in s.all_types("event").collect()} and "long" in {r.name for r in s.all_types("primitive").collect()}
+    got = []
+    assert s.consume("events/my.Event | select(path)", got.append) == len(got) > 0
     x = recordings.crossref(s, "java.lang.Thread")
     assert x["totals"].first().asDict() == {"cpTotal": 2, "referenced": 2, "unused": 0, "usedPercent": 100.0, "unusedPercent": 0.0}
     assert tuple(x["events"].first()) == ("my.Event", 2, 6)
     with pytest.raises(ValueError, match="gzip"):
         recordings.Chunk(b"\x1f\x8b" + bytes(80), 0)
+    (tmp_path / "two").mkdir()
+    for name in "ab":
+        (tmp_path / "two" / f"{name}.jfr").write_bytes((tmp_path / "r.jfr").read_bytes())
+    both = recordings.open_recording(spark, str(tmp_path / "two"), str(tmp_path / "out2"))
+    n = s.query("events/my.Event | count()").first()[0]
+    one = [tuple(r) for r in s.query("events/my.Event | sortBy(path) | select(path)").collect()]
+    assert both.query("events/my.Event | count()").first()[0] == 2 * n
+    assert both.query("events/my.Event | decorateByTime(my.Event, threadPath=path, decoratorThreadPath=path) | count()").first()[0] == 2 * n
+    assert [tuple(r) for r in both.query("events/my.Event | head(1) | select(path)").collect()] == [tuple(r) for r in s.query("events/my.Event | head(1) | select(path)").collect()] and len(one) == n
 
 
 def test_sinks(spark, tmp_path):
@@ -179,3 +196,13 @@ def test_stream(spark, tmp_path):
     assert [(r.k, r["count"], r.sum) for r in spark.sql("select * from w").collect()] == [("a", 2, 3.0)]
     with pytest.raises(Exception, match="streams"):
         folders.query(live, "events/any | top(3)")
+
+
+def test_schemas_of_a_type_merge():
+    from pyspark.sql import types as T
+
+    a = T.StructType().add("x", "long").add("s", T.StructType().add("p", "string"))
+    b = T.StructType().add("s", T.StructType().add("q", "long")).add("x", "string").add("y", T.ArrayType(T.LongType()))
+    out = recordings.merged([a, b])
+    assert [f.name for f in out.fields] == ["x", "s", "y"] and out["x"].dataType == T.StringType()
+    assert [f.name for f in out["s"].dataType.fields] == ["p", "q"]

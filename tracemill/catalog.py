@@ -227,6 +227,8 @@ REPORTS: dict[str, tuple] = {
     "report_sample_methods": (lambda s: analyses.sample_hot_methods(s, limit=5), "SELECT method, cpu, round(100.0 * cpu / (SELECT sum(p_size) FROM part), 1) AS pct FROM (SELECT string_split(p_name,' ')[1] AS method, sum(p_size)::BIGINT AS cpu FROM part GROUP BY 1) ORDER BY cpu DESC, method LIMIT 5"),
     "report_sample_states": (lambda s: analyses.sample_states(s), "SELECT 'RUNNING' AS state, sum(p_size)::BIGINT AS value, 100.0 AS pct FROM part"),
     "report_sample_totals": (lambda s: analyses.sample_use(s)["cpu"], "SELECT 'cpu' AS type, count(*) AS samples, sum(p_size)::BIGINT AS total FROM part"),
+    "report_sample_summary": (lambda s: analyses.sample_summary(s)["threads"], "SELECT p_brand AS thread, count(*) AS samples FROM part GROUP BY 1 ORDER BY samples DESC, thread LIMIT 20"),
+    "report_sample_flamegraph": (lambda s: analyses.sample_flamegraph(s, min_value=40, max_depth=2), "SELECT array_to_string(list_reverse(string_split(p_name,' ')), ';') AS stack, sum(p_size)::BIGINT AS cpu FROM part GROUP BY 1 HAVING sum(p_size) >= 40"),
     "report_map": (lambda s: s.query("events/nation | toMap(n_name, n_regionkey)").select(F.explode("map").alias("key", "value")), "SELECT n_name AS key, n_regionkey AS value FROM nation"),
 }
 

@@ -228,6 +228,27 @@ def sample_use(session) -> dict:
     return out
 
 
+def sample_summary(session) -> dict:
+    """Of each value type its total, of threads their samples, and the leading methods."""
+    s = session.samples
+    totals = None
+    for v in session.value_types:
+        one = s.agg(F.lit(v).alias("type"), F.count(v).alias("samples"), F.sum(v).cast("long").alias("total"))
+        totals = one if totals is None else totals.union(one)
+    out = {"totals": totals, "methods": sample_hot_methods(session, limit=10)}
+    if "thread" in s.columns:
+        out["threads"] = s.groupBy(F.coalesce(F.col("thread").cast("string"), F.lit("<unknown>")).alias("thread")).agg(F.count("*").alias("samples")).orderBy(F.desc("samples"), "thread").limit(20)
+    return out
+
+
+def sample_flamegraph(session, value: str | None = None, min_value: int = 1, max_depth: int | None = None) -> DataFrame:
+    """(stack, value): folded stacks from root to leaf; max_depth keeps the frames nearest the leaf."""
+    v = value or session.value_types[0]
+    f = F.transform("stackTrace", lambda x: x["name"])
+    own = session.samples.select((F.slice(f, 1, max_depth) if max_depth else f).alias("frames"), F.col(v).alias("v"))
+    return stacks.folded(own, v).where(F.col(v) >= min_value).orderBy(F.desc(v), "stack")
+
+
 # heaps
 def heap_summary(session) -> dict:
     h = session.heap

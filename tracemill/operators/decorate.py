@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DECORATOR = "$decorator"
-HIDDEN = ("_ord", "_type")
+HIDDEN = ("_file", "_ord", "_type")
 #: Widths of time buckets in nanoseconds are powers of BASE. A span's level is the least whose width holds it, so it touches two buckets there at most.
 BASE, LEAST_LEVEL = 16, 3
 

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..plans.parser import QueryError
 from . import dominators as dominators_of
 
 PATTERN_CHARS = "*?"
@@ -354,7 +355,13 @@ def operators(session) -> dict:
             return rows.to(sizes.join(all_.select(F.col("id").alias("dominator"), F.col("className").alias("dominatorClass")), "dominator"), (C.Key(F.col("retainedSize"), True), C.Key(F.col("dominator"))), sorted=True)
         big = rows.df.where(F.col("retainedSize") >= least)
         big = big if big.take(1) else rows.df
-        return rows.to(big.orderBy(F.col("retainedSize").desc(), "id").limit(10), (C.Key(F.col("retainedSize"), True), C.Key(F.col("id"))), sorted=True)
+        big = big.orderBy(F.col("retainedSize").desc(), "id").limit(10)
+        chains = heap.kept("chains", lambda: path_chains(depths(heap)))
+        names = object_rows(heap).select("id", F.translate("className", "/", ".").alias("class"))
+        steps = big.select(F.col("id").alias("object")).join(chains, F.col("object") == F.col("id")).select("object", F.posexplode(F.slice("chain", 2, F.greatest(F.size("chain") - 1, F.lit(1)))).alias("step", "id"))
+        paths = steps.join(names, "id").groupBy(F.col("object").alias("_o")).agg(F.transform(F.array_sort(F.collect_list(F.struct("step", "class"))), lambda x: x["class"]).alias("_p"))
+        big = big.join(paths, F.col("id") == F.col("_o")).where(F.size("_p") >= 2).withColumn("gcRootPath", F.array_join("_p", " → ")).drop("_o", "_p")
+        return rows.to(big, (C.Key(F.col("retainedSize"), True), C.Key(F.col("id"))), sorted=True)
 
     def breakdown(rows, op):
         """What the input objects dominate down to a depth, by depth and class."""
@@ -434,6 +441,8 @@ def operators(session) -> dict:
         return rows.keep(cache_stats(heap, rows.df))
 
     def leaks(rows, op):
+        if "filter" in op.options:
+            raise QueryError("checkLeaks takes a detector's name; named queries as filters are not supported")
         return rows.to(check_leaks(heap, plain(op, "detector", "help", 0), op, plain), (), sorted=False)
 
     return {"pathToRoot": path_to_root, "retentionPaths": retention_paths, "dominators": dominator_rows, "retainedBreakdown": breakdown, "threadOwner": thread_owner, "dominatedSize": dominated, "whatif": what_if, "objects": members, "join": diff, "waste": waste, "cacheStats": cache, "checkLeaks": leaks, "estimateAge": lambda rows, op: rows.keep(ages(heap, rows.df))}
@@ -546,18 +555,35 @@ COLLECTIONS = ("java.util.HashMap", "java.util.ArrayList", "java.util.LinkedList
 def check_leaks(heap: Heap, detector: str, op, plain) -> DataFrame:
     """Rows of one detector; `help` lists them."""
     o = object_rows(heap, detector not in ("duplicate-strings", "listener-leak", "finalizer-queue", "help")).withColumn("class", F.translate("className", "/", "."))
+    big = lambda least: F.col("retainedSize") >= int(plain(op, "minSize", least))
+    own = [F.col("shallowSize").alias("shallow"), F.col("retainedSize").alias("retained")]
     if detector == "duplicate-strings":
-        per = o.where("stringValue IS NOT NULL").groupBy("stringValue").agg(F.count("*").alias("count"), F.sum("shallowSize").alias("shallow"), F.min("shallowSize").alias("one")).where(F.col("count") >= int(plain(op, "threshold", 100)))
-        return per.select("count", F.substring("stringValue", 1, 100).alias("value"), "shallow", (F.col("shallow") - F.col("one")).alias("wastedBytes")).orderBy(F.col("wastedBytes").desc(), "value")
+        sizes = retained_sizes(heap).withColumnRenamed("retainedSize", "r")
+        per = o.join(sizes, "id", "left").where("stringValue IS NOT NULL").groupBy("stringValue").agg(F.count("*").alias("count"), F.sum("shallowSize").alias("shallow"), F.sum("r").alias("retained"), F.min("shallowSize").alias("one")).where(F.col("count") >= int(plain(op, "threshold", 100)))
+        hint = F.format_string("Intern the string or keep one: %d equal copies", "count")
+        return per.select("count", F.substring("stringValue", 1, 100).alias("value"), "shallow", "retained", (F.col("shallow") - F.col("one")).alias("wastedBytes"), hint.alias("suggestion")).orderBy(F.col("wastedBytes").desc(), "value")
     if detector == "growing-collections":
-        return o.where(F.col("class").isin(*COLLECTIONS) & (F.col("retainedSize") >= int(plain(op, "minSize", 10 << 20)))).select("class", "id", F.col("shallowSize").alias("shallow"), F.col("retainedSize").alias("retained"), "arrayLength").orderBy(F.col("retained").desc(), "id")
+        held = o.where(F.col("class").isin(*COLLECTIONS) & big(10 << 20)).join(sized(heap).select("id", F.col("size").alias("elementCount")), "id", "left")
+        hint = F.concat(F.lit("Bound or clear the "), F.element_at(F.split("class", r"\."), -1))
+        return held.select("class", "id", *own, "arrayLength", "elementCount", hint.alias("suggestion")).orderBy(F.col("retained").desc(), "id")
     if detector == "threadlocal-leak":
-        return o.where(F.col("class").rlike(r"^java\.lang\.ThreadLocal(\$ThreadLocalMap\$Entry)?$") & (F.col("retainedSize") >= int(plain(op, "minSize", 1 << 20)))).select("class", "id", F.col("shallowSize").alias("shallow"), F.col("retainedSize").alias("retained")).orderBy(F.col("retained").desc(), "id")
+        held = o.where(F.col("class").rlike(r"^java\.lang\.ThreadLocal(\$ThreadLocalMap\$Entry)?$") & big(1 << 20))
+        chains = heap.kept("chains", lambda: path_chains(depths(heap)))
+        threads = o.where(F.col("class").rlike(r"(^|\.)\w*Thread$")).select(F.col("id").alias("step"))
+        attached = held.select("id").join(chains, "id").select("id", F.explode("chain").alias("step")).join(threads, "step", "left_semi").select("id").distinct().withColumn("attachedToThread", F.lit(True))
+        value = heap.edges.where("field = 'value'").select(F.col("src").alias("id"), F.col("dst").alias("v")).join(o.select(F.col("id").alias("v"), F.col("class").alias("c")), "v").groupBy("id").agg(F.min("c").alias("valueClass"))
+        held = held.join(attached, "id", "left").join(value, "id", "left")
+        return held.select("class", "id", *own, F.coalesce("attachedToThread", F.lit(False)).alias("attachedToThread"), "valueClass").orderBy(F.col("retained").desc(), "id")
     if detector == "classloader-leak":
         system = F.col("class").rlike(r"^(jdk\.internal|sun\.|java\.)")
-        return o.where(F.col("class").contains("Loader") & ~system & (F.col("retainedSize") >= int(plain(op, "minSize", 10 << 20)))).select("class", "id", F.col("shallowSize").alias("shallow"), F.col("retainedSize").alias("retained")).orderBy(F.col("retained").desc(), "id")
+        held = o.where(F.col("class").contains("Loader") & ~system & big(10 << 20))
+        of = F.col("loader_id") if "loader_id" in heap.classes.columns else F.lit(None).cast("long")
+        loaded = heap.classes.select(of.alias("id")).where("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"))
+        name = heap.edges.where("field = 'name'").select(F.col("src").alias("id"), F.col("dst").alias("v")).join(heap.objects.select(F.col("id").alias("v"), "string_value"), "v").groupBy("id").agg(F.min("string_value").alias("loaderName"))
+        return held.join(loaded, "id", "left").join(name, "id", "left").select("class", "id", *own, "loaderName", F.coalesce("n", F.lit(0).cast("long")).alias("loadedClasses")).orderBy(F.col("retained").desc(), "id")
     if detector == "listener-leak":
-        per = o.where(F.col("class").rlike(r"(Listener|Handler|Observer|Callback)$|\$(Listener|Handler|Observer|Callback)")).groupBy("class").agg(F.count("*").alias("count"), F.sum("shallowSize").alias("shallow"))
+        sizes = retained_sizes(heap).withColumnRenamed("retainedSize", "r")
+        per = o.join(sizes, "id", "left").where(F.col("class").rlike(r"(Listener|Handler|Observer|Callback)$|\$(Listener|Handler|Observer|Callback)")).groupBy("class").agg(F.count("*").alias("count"), F.sum("shallowSize").alias("shallow"), F.sum("r").alias("retained"))
         return per.where(F.col("count") >= int(plain(op, "threshold", 50))).orderBy(F.col("count").desc(), "class")
     if detector == "finalizer-queue":
         f = o.where("class = 'java.lang.ref.Finalizer'").select(F.col("id").alias("src"))

@@ -18,9 +18,9 @@ from .parser import QueryError
 
 Key = C.Key
 
-#: The place of a row in the order of arrival, and where several event types are read the place of its type among them.
-ORD, TYPE = "_ord", "_type"
-HIDDEN = (ORD, TYPE)
+#: The place of a row in the order of arrival: its file, where there are several, its place there, and where several event types are read the place of its type among them.
+FILE, ORD, TYPE = "_file", "_ord", "_type"
+HIDDEN = (FILE, ORD, TYPE)
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 
 

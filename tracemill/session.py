@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +58,14 @@ class Session:
         keep = (lambda n: True) if not pattern else (lambda n: re.search(pattern, n)) if regex else (lambda n: pattern.lower() in n.lower())
         return sorted(n for n in self.events if keep(n))
 
+    def all_types(self, kind: str | None = None) -> DataFrame:
+        """(name, kind) of the classes that metadata tells of: event, primitive or other; `kind` keeps one."""
+        if "metadata" not in self.tables:
+            raise NotImplementedError("this recording has no metadata")
+        basic = F.col("name").isin("boolean", "byte", "char", "short", "int", "long", "float", "double", "java.lang.String")
+        out = self.tables["metadata"].select("name", F.when(F.col("superType") == "jdk.jfr.Event", "event").when(basic, "primitive").otherwise("other").alias("kind")).distinct().orderBy("name")
+        return out.where(F.col("kind") == kind) if kind else out
+
     def type_counts(self) -> DataFrame:
         """(type, count) of all event types, each counted on its own scan."""
         if not self.events:
@@ -92,7 +101,11 @@ class Session:
             if query.types:
                 key = {"metadata": "name", "chunks": "index", "cp": "type"}[query.root]
                 df = df.where(F.col(f"`{key}`").cast("string") == query.types[0])
-            return compiler.compile_query(query, compiler.Rows(df, EVENTS, context=context))
+                if query.root == "metadata" and query.path and query.path[0].key == "fields":
+                    return compiler.compile_query(replace(query, path=()), compiler.Rows(self.field_rows(df, query.path[1:]), EVENTS, context=context))
+            elif query.root == "cp":
+                df = df.groupBy("type").agg(F.count("*").alias("entries"), F.countDistinct("chunk").alias("chunks"))
+            return compiler.compile_query(query, compiler.Rows(df, EVENTS, context=context), {"crossref": lambda rows, op: rows.to(self.crossref(query.types))})
         if query.root == "samples":
             if self.samples is None:
                 raise QueryError("no samples are open")
@@ -102,6 +115,42 @@ class Session:
             raise QueryError("no heap is open")
         return compiler.compile_query(query, compiler.Rows(heaps.root_rows(self.heap, query), HEAP, context=context | {"root": query.root}), heaps.operators(self))
 
+    @staticmethod
+    def field_rows(classes: DataFrame, path: tuple) -> DataFrame:
+        """Of classes a row for each field, by name; a path names one field, and then one of its properties."""
+        rows = classes.select(F.explode("fieldsByName").alias("_name", "f")).select("f.*").orderBy("name")
+        if path:
+            rows = rows.where(F.col("name") == str(path[0].key))
+        return rows.select(F.col(str(path[1].key)).alias("value")) if len(path) > 1 else rows
+
+    def crossref(self, types: tuple) -> DataFrame:
+        """One row: how much of a constant pool events refer to, and by event type."""
+        from .sources.recordings import crossref
+
+        if not types or "references" not in self.tables:
+            raise QueryError("crossref follows the constant pool of a type: cp/TYPE | crossref()")
+        found = crossref(self, types[0])
+        events = found["events"].agg(F.sort_array(F.collect_list(F.struct("eventType", "unique", "directRefs"))).alias("events"))
+        return found["totals"].crossJoin(events)  # one row each
+
+    def consume(self, text: str, take) -> int:
+        """Gives a query's rows to a function one by one, a partition at a time on the driver; returns their number. An exception ends it."""
+        n = 0
+        for row in self.query(text).toLocalIterator():
+            take(row)
+            n += 1
+        return n
+
+    def merge(self, *names: str) -> dict:
+        """The maps of some variables as one; of equal keys the last counts."""
+        out: dict = {}
+        for name in names:
+            value = self.variables.get(name)
+            if not isinstance(value, dict):
+                raise QueryError(f"{name} is no map")
+            out |= value
+        return out
+
     def query(self, text: str) -> DataFrame:
         """The result of a path-and-pipe query."""
         return self.rows(self.substituted(text)).result()

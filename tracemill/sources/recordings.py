@@ -6,11 +6,13 @@ import json
 import struct
 from collections import Counter
 from dataclasses import dataclass, field
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans.compiler import FILE
 from ..session import ORD, Session
 
 MAGIC, HEADER = b"FLR\0", struct.Struct(">4sHHqqqqqqqi")
@@ -227,7 +229,7 @@ def chunks_of(data: bytes):
         at += c.size
 
 
-ROWS = "kind string, type string, ord long, payload string"
+ROWS = "kind string, type string, ord long, payload string, file string"
 
 
 def decoded(spark: SparkSession, path: str) -> DataFrame:
@@ -237,7 +239,8 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
         import pandas as pd
 
         for pdf in batches:
-            for content in pdf["content"]:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                rows = lambda out: pd.DataFrame(out, columns=["kind", "type", "ord", "payload"]).assign(file=path)  # noqa: B023, E731
                 for n, c in enumerate(chunks_of(bytes(content))):
                     out = [("chunk", "", n, json.dumps({"index": n, "offset": c.at, "size": c.size, "startNanos": c.start, "duration": c.duration, "startTicks": c.ticks, "frequency": c.frequency, "compressed": c.compact}))]
                     for k in c.classes.values():
@@ -250,29 +253,48 @@ def decoded(spark: SparkSession, path: str) -> DataFrame:
                         references.update((name, k, key) for k, key in direct)
                         out.append(("event", name, (n << 40) | (at - c.at), json.dumps(values)))
                         if len(out) >= 20_000:
-                            yield pd.DataFrame(out, columns=["kind", "type", "ord", "payload"])
+                            yield rows(out)
                             out = []
                     out += [("reference", name, n, json.dumps({"pool": c.classes[k].name if k in c.classes else str(k), "id": key, "n": times})) for (name, k, key), times in references.items()]
-                    yield pd.DataFrame(out, columns=["kind", "type", "ord", "payload"])
+                    yield rows(out)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, ROWS)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, ROWS)
 
 
 CLASS = "id long, name string, superType string, classAnnotations array<string>, settings array<string>, fields array<string>, fieldsByName map<string, struct<name: string, type: string, dimension: int, hasConstantPool: boolean, annotations: array<string>>>, fieldCount int, schema string"
 CHUNK = "index int, offset long, size long, startNanos long, duration long, startTicks long, frequency long, compressed boolean"
 
 
+def merged(schemas: list) -> T.StructType:
+    """One schema of several forms of a type: all fields, in order of appearance; structs are merged in turn, and fields of different kinds are strings."""
+
+    def both(a, b):
+        if isinstance(a, T.StructType) and isinstance(b, T.StructType):
+            return merged([a, b])
+        if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+            return T.ArrayType(both(a.elementType, b.elementType))
+        return a if a == b else T.StringType()
+
+    out: dict = {}
+    for schema in schemas:
+        for f in schema.fields:
+            out[f.name] = both(out[f.name], f.dataType) if f.name in out else f.dataType
+    return T.StructType([T.StructField(n, t) for n, t in out.items()])
+
+
 def open_recording(spark: SparkSession, path: str, out: str) -> Session:
     """Decodes recordings once to `out`, partitioned by kind and type, and opens a session over them: a query reads its types alone."""
     decoded(spark, path).write.partitionBy("kind", "type").parquet(out)
-    rows = spark.read.schema("ord long, payload string, kind string, type string").parquet(out)
+    rows = spark.read.schema("ord long, payload string, file string, kind string, type string").parquet(out)
     of = lambda kind: rows.where(F.col("kind") == kind)
     session = Session(spark)
-    meta = of("class").select(F.from_json("payload", CLASS).alias("c")).select("c.*").dropDuplicates(["name"])
-    for r in meta.where("schema IS NOT NULL").select("name", "schema").collect():  # one row a type
-        schema = T.StructType.fromJson(json.loads(r.schema))
-        events = of("event").where(F.col("type") == r.name).select(F.col("ord").alias(ORD), F.from_json("payload", schema).alias("e")).select(ORD, "e.*")
-        session.add_events(r.name, events)
+    every = of("class").select(F.from_json("payload", CLASS).alias("c")).select("c.*")
+    schemas = every.where("schema IS NOT NULL").select("name", "schema").distinct().orderBy("name", "schema").collect()  # a row for each type and form of it
+    meta = every.groupBy("name").agg(F.max_by(F.struct(*every.columns), F.struct("fieldCount", "schema")).alias("c")).select("c.*")
+    for name, forms in groupby(schemas, key=lambda r: r.name):
+        schema = merged([T.StructType.fromJson(json.loads(r.schema)) for r in forms])
+        events = of("event").where(F.col("type") == name).select(F.col("file").alias(FILE), F.col("ord").alias(ORD), F.from_json("payload", schema).alias("e")).select(FILE, ORD, "e.*")
+        session.add_events(name, events)
     session.tables["metadata"] = meta.drop("schema")
     session.tables["chunks"] = of("chunk").select(F.from_json("payload", CHUNK).alias("c")).select("c.*")
     session.tables["references"] = of("reference").select(F.col("type").alias("eventType"), F.col("ord").alias("chunk"), F.from_json("payload", "pool string, id long, n long").alias("r")).select("eventType", "chunk", "r.*")
