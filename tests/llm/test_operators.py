@@ -281,6 +281,47 @@ def test_similar_documents(spark, monkeypatch):
         assert all(len({comp[11 * g + k] for k in range(6)}) == 1 for g in range(6))
 
 
+def brute_set_links(sets, least=0.8):
+    return [(a, b) for a in range(len(sets)) for b in range(a) if len(np.intersect1d(sets[a], sets[b])) >= least * len(np.union1d(sets[a], sets[b]))]
+
+
+def test_no_link_of_a_group_is_lost(spark):
+    """Texts about as far from one another as a link reaches: the nearest by fingerprint are often none, and links are between others."""
+    rng = np.random.default_rng(2)
+    texts = []
+    for g in range(8):
+        base = [f"g{g}w{x}" for x in range(300)]
+        for k in range(40):
+            c = list(base)
+            for at in rng.choice(300, 3 + k % 3, replace=False):
+                c[at] = f"new{k}x{at}"
+            texts.append(" ".join(c))
+    docs = table(spark, texts, DOCUMENTS)
+    groups = brute_similar(list(enumerate(texts)))
+    assert 20 < len(groups) < 300 and max(map(len, groups)) > 10
+    got = simhash.similar_documents(docs).collect()
+    assert Counter(r.component_id for r in got) == Counter(min(i for i, _ in g) for g in groups for _ in g)
+
+
+def test_links_of_sets(spark):
+    rng = np.random.default_rng(5)
+    for n in (2, 3, 40):
+        for loss in (0.02, 0.1, 0.3):
+            base = np.arange(60, dtype=np.uint64)
+            sets = [np.unique(np.append(base[rng.random(60) > loss * rng.random()], rng.integers(0, 90, k % 4 + 1).astype(np.uint64))) for k in range(n)]
+            i, j = simhash.similar_sets(sets, 0.8)
+            links = brute_set_links(sets)
+            got = [(max(p), min(p)) for p in zip(i.tolist(), j.tolist(), strict=True)]
+            assert set(got) <= set(links) and len(got) < n
+            assert brute_components(range(n), got) == brute_components(range(n), links)
+    want = brute_components(range(n), links)
+    data = [(7, k, len(x), bytearray(x.tobytes())) for k, x in enumerate(sets)] + [(8, n, 0, bytearray()), (9, n + 1, 1, bytearray(8)), (9, n + 2, 0, bytearray())]
+    for most in (1 << 19, 300):  # in one task, and in pairs of chunks
+        found = simhash.group_links(spark.createDataFrame(data, "group long, node long, n long, shingles binary"), 0.8, most).collect()
+        assert brute_components(range(n), [(r.a, r.b) for r in found]) == want
+    assert simhash.group_links(spark.createDataFrame([], "group long, node long, n long, shingles binary"), 0.8).count() == 0
+
+
 def test_spanning_forest():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 40, (2, 300))

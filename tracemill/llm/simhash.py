@@ -188,10 +188,14 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, id_col: st
 TABLES, KEY_BITS, FAR = 96, 16, 32
 #: Members of a bucket that are compared by shifts; larger buckets by their table of distances to as many REFERENCES of their own.
 SMALL, REFERENCES = 32, 8
-#: A spanning forest alone would lose links: distances are noisy, so a lighter link can fail verification where a heavier one holds.
+#: Nearest members that each one of a large bucket is first linked to.
 NEAREST = 4
-#: Pairs of a task that are thinned at once.
+#: Pairs of a task that wait before its forest takes them in.
 PAIRS = 1 << 20
+#: Shingles of a group whose sets one task compares at once; larger groups are split into pairs of chunks.
+GROUP = 1 << 19
+#: Shingles that are looked up at once.
+LOOKED_UP = 1 << 20
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -256,9 +260,9 @@ def bucket_pairs(keys: np.ndarray, x: np.ndarray, y: np.ndarray):
 
 
 def wide_links(x: np.ndarray, y: np.ndarray, chunk: int = 256) -> tuple:
-    """As thinned(bucket_pairs()), of one large bucket: pairs whose distances to a reference fingerprint differ by more than FAR are discarded unseen.
+    """Near pairs of one large bucket that join what all its near pairs join, and their distances.
 
-    Each reference is the member that is farthest from those before it, so the members of a group of near copies are all near one and far from others.
+    Pairs whose distances to a reference fingerprint differ by more than FAR are discarded unseen. Each reference is the member that is farthest from those before it, so the members of a group of near copies are all near one and far from others.
     """
     first, table = 0, []
     for _ in range(REFERENCES):
@@ -326,27 +330,12 @@ def spanning(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *chosen])
 
 
-def thinned(a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple:
-    """Distinct links: a minimum spanning forest, and of each node those to its NEAREST nearest."""
-    a, b = np.minimum(a, b), np.maximum(a, b)
-    order = np.lexsort((b, a))
-    a, b, d = a[order], b[order], d[order]
-    new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else order
-    a, b, d = a[new], b[new], d[new]
-    ends, link = np.concatenate([a, b]), np.tile(np.arange(len(a)), 2)
-    order = np.lexsort((d[link], ends))
-    ends, link = ends[order], link[order]
-    first = np.concatenate([[True], ends[1:] != ends[:-1]]) if len(ends) else ends
-    rank = np.arange(len(ends)) - np.maximum.accumulate(np.where(first, np.arange(len(ends)), 0))
-    kept = np.unique(np.concatenate([link[rank < NEAREST], spanning(a, b, d)]))
-    return a[kept], b[kept], d[kept]
-
-
 def similar_candidates(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """(a, b, d): links of rows (node, x, y) whose fingerprints (halves x and y) differ in d bits, FAR at most.
 
     Rows meet in a table if its sampled bits agree. Each task emits a minimum spanning forest of its
-    links and those to each row's NEAREST nearest, never its pairs; buckets of more than `bucket` rows are split into pairs of chunks.
+    links, never its pairs, so the components are those of all pairs; buckets of more than `bucket` rows
+    are split into pairs of chunks.
     """
 
     def spread(batches):
@@ -378,7 +367,8 @@ def similar_candidates(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
         def fold():
             nonlocal forest, found, waiting
-            forest = thinned(*(np.concatenate([forest[k], *(f[k] for f in found)]) for k in range(3)))
+            links = [np.concatenate([forest[k], *(f[k] for f in found)]) for k in range(3)]
+            forest = tuple(c[spanning(*links)] for c in links)
             found, waiting = [], 0
 
         def add(a, b, d):
@@ -421,21 +411,110 @@ def similar_candidates(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return tasks.mapInArrow(link, "a long, b long, d long")
 
 
-def verified(links: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b) of links between nodes whose sets (node, shingles) have a Jaccard similarity of `least` or more."""
+def joined(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The roots of the places `at`, which then are their parents."""
+    up = parent[at]
+    while not np.array_equal(up, over := parent[up]):
+        up = over
+    parent[at] = up
+    return up
+
+
+def similar_sets(sets: list, least: float) -> tuple:
+    """Pairs (i, j) of sets with a Jaccard similarity of `least` or more that join what all such pairs join.
+
+    Two such sets share one of their first n - least * n + 1 members, in any order of all members; here
+    the rarest come first. Every pair that does and is not yet joined is verified on the whole sets.
+    """
+    if len(sets) == 2:
+        both = len(sets[0]) + len(sets[1]) - len(np.union1d(*sets))
+        near = [0] if both >= least * (len(sets[0]) + len(sets[1]) - both) else []
+        return np.array(near, np.int64), np.array([1] * len(near), np.int64)
+    by_size = np.argsort([len(x) for x in sets], kind="stable")
+    sets = [sets[k] for k in by_size.tolist()]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    _, names, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(n), np.int64)
+    rank[np.argsort(n, kind="stable")] = np.arange(len(n))
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    member = np.sort(owner * max(len(n), 1) + rank[names]) - owner * max(len(n), 1)  # of each set, the rarest first
+    firsts = np.minimum(sizes, sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1)
+    of = np.repeat(np.arange(len(sets)), firsts)
+    entry = np.arange(len(of)) - np.repeat(np.cumsum(firsts) - firsts, firsts) + starts[of]
+    order = np.argsort(member[entry], kind="stable")
+    holders, key = of[order], member[entry][order]  # who holds a member among the first, the smaller sets first
+    begin = np.empty(len(of), np.int64)
+    begin[order] = np.searchsorted(key, key)
+    place = np.empty(len(of), np.int64)
+    place[order] = np.arange(len(of))
+    open_, upto = begin < place, np.cumsum(firsts)
+    parent, weight, a, b = np.arange(len(sets)), np.ones(len(sets), np.int64), [], []
+    held = np.zeros(max(len(n), 1), bool)
+    for i in range(len(sets)):
+        own = slice(upto[i] - firsts[i], upto[i])
+        slots = np.flatnonzero(open_[own]) + upto[i] - firsts[i]
+        if not len(slots):
+            continue
+        others, shared = np.unique(np.concatenate([holders[begin[e] : place[e]] for e in slots.tolist()]), return_counts=True)
+        big = sizes[others] >= least * sizes[i] - 1e-9
+        others = others[big][np.argsort(-shared[big], kind="stable")]
+        held[member[starts[i] : starts[i] + sizes[i]]] = True
+        batch = 4
+        while len(others := others[joined(parent, others) != joined(parent, np.array([i]))]):
+            batch = max(1, min(batch, int(np.searchsorted(np.cumsum(sizes[others]), LOOKED_UP))))
+            some, others = others[:batch], others[batch:]
+            length = sizes[some]
+            ends = np.cumsum(length)
+            both = np.add.reduceat(held[member[np.arange(ends[-1]) + np.repeat(starts[some] - ends + length, length)]], ends - length, dtype=np.int64)
+            for j in some[both >= least * (length + sizes[i] - both)].tolist():
+                p, q = joined(parent, np.array([i, j])).tolist()
+                if p != q:
+                    p, q = (p, q) if weight[p] >= weight[q] else (q, p)
+                    parent[q] = p
+                    weight[p] += weight[q]
+                    a.append(i)
+                    b.append(j)
+            batch *= 4
+        held[member[starts[i] : starts[i] + sizes[i]]] = False
+    return by_size[np.array(a, np.int64)], by_size[np.array(b, np.int64)]
+
+
+def group_links(sets: DataFrame, least: float, most: int = GROUP) -> DataFrame:
+    """(a, b): links between nodes of a group whose sets (group, node, n, shingles) have a Jaccard similarity of `least` or more.
+
+    Their components are those of all such links. Groups of more than `most` shingles are split into pairs of chunks.
+    """
+    hot = sets.groupBy("group").agg(F.sum("n").alias("n")).where(F.col("n") > most)
+    hot = cut(hot.select("group", F.ceil(F.col("n") / most).cast("int").alias("chunks")))
+    each = sets.select("group", "node", "shingles").join(F.broadcast(hot) if hot.count() <= 100_000 else hot, "group", "left")
+    chunks = F.coalesce("chunks", F.lit(1))
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.struct(F.least(F.col("own"), j).alias("i"), F.greatest(F.col("own"), j).alias("j")))
+    tasks = each.withColumn("own", F.pmod(F.xxhash64("node"), chunks).cast("int")).select("group", F.explode(pairs).alias("p"), "node", "shingles").select("group", "p.i", "p.j", "node", "shingles")
+    tasks = tasks.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
 
     def run(batches):
+        last, nodes, held = None, [], []
+        a, b = [], []
+
+        def close():
+            if len(nodes) > 1:
+                i, j = similar_sets(held, least)
+                a.append(np.array(nodes)[i])
+                b.append(np.array(nodes)[j])
+
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                keep.append(both >= least * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for *task, node, shingles in zip(*(batch.column(k).to_pylist() for k in range(4)), batch.column(4), strict=True):
+                if task != last:
+                    close()
+                    last, nodes, held = task, [], []
+                nodes.append(node)
+                held.append(np.frombuffer(shingles.as_py(), np.uint64))
+        close()
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
 
-    one = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-    return links.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long")
+    return tasks.mapInArrow(run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5) -> DataFrame:
@@ -443,8 +522,8 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5) -> Da
 
     A row for each distinct (doc_id, text), of which `times` are in docs; kept: whether it is the first of
     its group by doc_id and text_hash. Texts of equal sets are one node, texts without words are alike.
-    Candidates come from the tables of similar_candidates(), and every link is verified on the whole sets
-    of shingles. Rows with a null doc_id are left out.
+    The links of similar_candidates() join nodes to coarse groups, and within a group all pairs are decided
+    on the whole sets of shingles. Rows with a null doc_id are left out.
     """
 
     def run(batches):
@@ -458,19 +537,18 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5) -> Da
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 rows = batch.slice(at, 500)
-                held = [shingle_set(t, width) for t in texts_of(rows.column(1))]
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x.tobytes() for x in held], pa.binary())], names=["node", "shingles"])
+                held = [shingle_set(t, width) for t in texts_of(rows.column(2))]
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([len(x) for x in held], pa.int64()), pa.array([x.tobytes() for x in held], pa.binary())], names=["group", "node", "n", "shingles"])
 
     own = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
     each = cut(own.mapInArrow(run, "doc_id long, text_hash long, node long, x long, y long"))
     rows = each.groupBy("doc_id", "text_hash").agg(F.first("node").alias("node"), F.count("*").alias("times"))
     nodes = cut(each.groupBy("node").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min(F.struct("doc_id", "text_hash")).alias("first")))
-    links = cut(similar_candidates(nodes).groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")))
-    asked = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct()
-    named = nodes.join(asked, "node").select("node", F.col("first.doc_id").alias("n_id"), F.col("first.text_hash").alias("n_hash"))
-    texts = own.join(named, (own.doc_id == named.n_id) & (own.text_hash == named.n_hash)).dropDuplicates(["node"]).select("node", "text")
-    sets = texts.mapInArrow(sets_of, "node long, shingles binary")
-    comp = components(verified(links, spilled(sets), least)).withColumnRenamed("node", "linked")
+    coarse = components(similar_candidates(nodes)).withColumnRenamed("component", "group")
+    named = nodes.join(coarse, "node").select("group", "node", F.col("first.doc_id").alias("n_id"), F.col("first.text_hash").alias("n_hash"))
+    texts = own.join(named, (own.doc_id == named.n_id) & (own.text_hash == named.n_hash)).dropDuplicates(["node"]).select("group", "node", "text")
+    sets = texts.mapInArrow(sets_of, "group long, node long, n long, shingles binary")
+    comp = components(group_links(spilled(sets), least)).withColumnRenamed("node", "linked")
     grouped = nodes.join(comp, nodes.node == F.col("linked"), "left").select("node", "first", F.coalesce("component", "node").alias("component"))
     least_of = grouped.groupBy("component").agg(F.min("first").alias("kept"))
     placed = grouped.join(least_of, "component").select("node", "kept")
