@@ -303,6 +303,19 @@ def test_no_link_of_a_group_is_lost(spark):
     assert Counter(r.component_id for r in got) == Counter(min(i for i, _ in g) for g in groups for _ in g)
 
 
+def test_forests_of_tasks_are_joined(spark):
+    """Each task joins a group on its own; what goes on is a link a node, whatever the number of tasks."""
+    rng = np.random.default_rng(9)
+    flips = [sum(1 << int(b) for b in rng.choice(62, 5, replace=False)) for _ in range(300)]
+    nodes = [(i, v ^ 0x123456789ABCDEF, 5) for i, v in enumerate(flips)]
+    found = simhash.similar_candidates(spark.createDataFrame(nodes, "node long, x long, y long").repartition(4)).cache()
+    links = [(r.a, r.b) for r in simhash.stars(found).collect()]
+    comp = brute_components(range(300), [(r.a, r.b) for r in found.collect()])
+    assert brute_components(range(300), links) == comp
+    assert len(links) == 300 - len({comp[i] for i in range(300)}) < found.select("a", "b").distinct().count()
+    assert simhash.stars(found.limit(0)).count() == 0
+
+
 def test_links_of_sets(spark):
     rng = np.random.default_rng(5)
     for n in (2, 3, 40):

@@ -192,6 +192,8 @@ SMALL, REFERENCES = 32, 8
 NEAREST = 4
 #: Pairs of a task that wait before its forest takes them in.
 PAIRS = 1 << 20
+#: Tasks whose forests are joined at once.
+TOGETHER = 8
 #: Shingles of a group whose sets one task compares at once; larger groups are split into pairs of chunks.
 GROUP = 1 << 19
 #: Shingles that are looked up at once.
@@ -411,6 +413,24 @@ def similar_candidates(rows: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return tasks.mapInArrow(link, "a long, b long, d long")
 
 
+def stars(links: DataFrame) -> DataFrame:
+    """(a, b): of the links (a, b, d) of TOGETHER tasks, each node with the least node that they join it to.
+
+    Tasks that join the same nodes mostly agree in these links, where their forests differ.
+    """
+
+    def run(batches):
+        held = [(np.zeros(0, np.int64),) * 2, *(tuple(batch.column(k).to_numpy() for k in (0, 1)) for batch in batches)]
+        a, b = (np.concatenate(c) for c in zip(*held, strict=True))
+        nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = local_roots(len(nodes), at[: len(a)], at[len(a) :])
+        linked = np.flatnonzero(root != np.arange(len(nodes)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[linked]), pa.array(nodes[root[linked]])], names=["a", "b"])
+
+    tasks = links.select("a", "b", F.floor(F.spark_partition_id() / TOGETHER).alias("tasks"))
+    return tasks.repartition("tasks").mapInArrow(run, "a long, b long")
+
+
 def joined(parent: np.ndarray, at: np.ndarray) -> np.ndarray:
     """The roots of the places `at`, which then are their parents."""
     up = parent[at]
@@ -544,7 +564,7 @@ def similar_documents(docs: DataFrame, least: float = 0.8, width: int = 5) -> Da
     each = cut(own.mapInArrow(run, "doc_id long, text_hash long, node long, x long, y long"))
     rows = each.groupBy("doc_id", "text_hash").agg(F.first("node").alias("node"), F.count("*").alias("times"))
     nodes = cut(each.groupBy("node").agg(F.first("x").alias("x"), F.first("y").alias("y"), F.min(F.struct("doc_id", "text_hash")).alias("first")))
-    coarse = components(similar_candidates(nodes)).withColumnRenamed("component", "group")
+    coarse = components(stars(similar_candidates(nodes))).withColumnRenamed("component", "group")
     named = nodes.join(coarse, "node").select("group", "node", F.col("first.doc_id").alias("n_id"), F.col("first.text_hash").alias("n_hash"))
     texts = own.join(named, (own.doc_id == named.n_id) & (own.text_hash == named.n_hash)).dropDuplicates(["node"]).select("group", "node", "text")
     sets = texts.mapInArrow(sets_of, "group long, node long, n long, shingles binary")
