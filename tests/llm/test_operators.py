@@ -303,6 +303,16 @@ def test_no_link_of_a_group_is_lost(spark):
     assert Counter(r.component_id for r in got) == Counter(min(i for i, _ in g) for g in groups for _ in g)
 
 
+def test_look_up_in_order():
+    rng = np.random.default_rng(1)
+    table_ = np.sort(rng.integers(0, 50, 40))
+    for shape in ((0,), (1,), (300,), (7, 9)):
+        for side in ("left", "right"):
+            values = rng.integers(-2, 53, shape)
+            assert np.array_equal(rangecoder.looked_up(table_, values, side), np.searchsorted(table_, values, side))
+    assert not rangecoder.looked_up(table_[:0], np.arange(3)).any()
+
+
 def test_forests_of_tasks_are_joined(spark):
     """Each task joins a group on its own; what goes on is a link a node, whatever the number of tasks."""
     rng = np.random.default_rng(9)
