@@ -492,6 +492,19 @@ def test_encoder_pieces_are_the_tokenizers():
     assert [x.tolist() for x in enc.encode(texts)] == [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_remembers_what_recurs(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 20)
+    enc = tokens.Encoder(queries.tokenizer_path())
+    split, piece = Counter(), enc.piece
+    monkeypatch.setattr(enc, "piece", lambda p: split.update([p]) or piece(p))
+    for i in range(60):
+        text = f"The mill {i}x old {i}y river, {i}z don't"
+        assert enc.encode([text])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+        assert len(enc.cache) <= 20 + 9
+    assert all(split[p] == 1 for p in ("mill", "old", "river,", "don't", "7x"))
+    assert len(enc.older) <= 20 + 9
+
+
 BENCH = [(1, "A train leaves Boston at 9 km per hour and meets Alice after 12 minutes near the old mill"), (2, "A train leaves Boston at 9 km per hour and meets Alice after 12 minutes near the old mill"), (3, None), (4, ""), (5, "two words"), (6, PASSAGE)]
 
 

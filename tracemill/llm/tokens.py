@@ -18,8 +18,9 @@ from .common import shared_dir
 
 #: Ids after which a block closes at the end of its document.
 BLOCK = 1 << 20
-#: Pieces that a worker remembers the ids of, at some 250 bytes each; all are forgotten at once.
-CACHE = 300_000
+#: Pieces after which a worker starts a new cache of their ids, at some 250 bytes each. It keeps the one before
+#: and takes over what recurs, so that only pieces that have not come again since are forgotten.
+CACHE = 250_000
 #: The end of a document.
 END = 2
 
@@ -59,6 +60,7 @@ class Encoder:
         self.space = chr(self.letters[32])
         self.code = "H" if self.kind is np.uint16 else "I"
         self.cache: dict = {}
+        self.older: dict = {}
         self.ends: dict = {}
 
     def whole(self, text: str) -> bytes:
@@ -72,6 +74,15 @@ class Encoder:
             part = part.encode().decode("latin-1").translate(self.letters)
         return array(self.code, [t.id for t in self.tok.model.tokenize(part)]).tobytes()
 
+    def known(self, piece: str) -> bytes | None:
+        """The ids of a piece that is remembered, which stays so."""
+        out = self.cache.get(piece)
+        if out is None:
+            out = self.older.get(piece)
+            if out is not None:
+                self.cache[piece] = out
+        return out
+
     def piece(self, piece: str) -> bytes | None:
         """The ids of a piece with the space before it, or None if it does not stand alone."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
@@ -81,7 +92,7 @@ class Encoder:
         if piece.isalpha():
             return self.part(" " + piece)
         if piece[:-1].isalpha() and piece[-1] in ".,;:!?":
-            out = self.cache.get(piece[:-1])
+            out = self.known(piece[:-1])
             if out is None:
                 out = self.cache[piece[:-1]] = self.part(" " + piece[:-1])
             end = self.ends.get(piece[-1])
@@ -93,7 +104,7 @@ class Encoder:
     def encode(self, texts: list) -> list:
         """The ids of each text, as arrays."""
         if len(self.cache) > CACHE:
-            self.cache.clear()
+            self.older, self.cache = self.cache, {}
         cache, out = self.cache, []
         for text in texts:
             if any(a in text for a in self.added):
@@ -105,7 +116,7 @@ class Encoder:
             if alone and None in got:
                 for i, x in enumerate(got):
                     if x is None:
-                        x = cache.get(pieces[i])
+                        x = self.known(pieces[i])
                         if x is None:
                             x = self.piece(pieces[i])
                             if x is None:
