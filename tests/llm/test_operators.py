@@ -562,6 +562,25 @@ def brute_contamination(texts, items, share=0.8, consistent=0.8, width=5):
     return found
 
 
+def test_words_of_a_pattern_branch_by_letters():
+    for words_ in (decontaminate.UNITS.split(), decontaminate.SPELLED.split(), ["a", "ab", "abc", "b"], ["x"]):
+        pattern = re.compile(decontaminate.any_of(words_))
+        tried = {w[:k] + x for w in words_ for k in range(len(w) + 1) for x in ("", "a", "s", "z")}
+        assert {w for w in tried if pattern.fullmatch(w)} == set(words_)
+        assert max(x.count("|") for x in re.findall(r"[a-z|]+", pattern.pattern)) <= 3  # no longer list is tried at a place
+
+
+def test_a_word_is_hashed_once(spark):
+    from pyspark.sql import functions as F
+
+    data = [(0, "Alice's 9 km, don't -- Bob"), (1, "alice's nine km dont bob"), (2, "!"), (3, None)]
+    got = decontaminate.canonical_words(spark.createDataFrame(data, "doc_id long, text string"), F.col("text"))
+    assert got.schema["words"].dataType.simpleString() == got.schema["plain"].dataType.simpleString() == "array<bigint>"
+    a, b, *none = got.orderBy("doc_id").collect()
+    assert a.plain == b.plain and len(a.words) == 5 and [x == y for x, y in zip(a.words, b.words, strict=True)] == [False, True, True, True, False]
+    assert all(r.words == r.plain == [] for r in none)
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = np.random.default_rng(12)
     pool = "Alice Bob Zed Boston Paris the a of and runs meets near mill river 7 12 9.5 km minutes hours two twelve old (train) dogs, House".split()

@@ -17,13 +17,34 @@ from .common import cut
 WINDOW, SHARE, CONSISTENT = 5, 0.8, 0.8
 #: Rows of a table of (hash) or of (id, hash) that is broadcast at most; larger ones are joined by shuffle.
 BROADCAST_ROWS = 1_000_000
+
+
+def any_of(words: list) -> str:
+    """A pattern of these words (letters), branching letter by letter, with sets of letters before more than four branches.
+
+    A list of words would be tried word for word at every place.
+    """
+    rest: dict = {}
+    for w in words:
+        if w:
+            rest.setdefault(w[0], []).append(w[1:])
+
+    def branches(letters: list) -> str:
+        if len(letters) <= 4:
+            return "|".join(c + any_of(rest[c]) for c in letters)
+        half = len(letters) // 2
+        return "|".join(f"(?=[{''.join(x)}])(?:{branches(x)})" for x in (letters[:half], letters[half:]))
+
+    return f"(?:{branches(sorted(rest))})" + ("?" if "" in words else "") if rest else ""
+
+
 NUMBER = r"[0-9]+(?:[.,:/-][0-9]+)*"
 #: Units of measurement, as words of their own.
 UNITS = "mm cm m km in ft yd mi mg g kg lb oz ml l gal s sec min h hr hrs kb mb gb tb hz khz mhz ghz w kw v a c f k usd eur gbp percent meters metres miles feet inches grams kilograms pounds ounces liters litres gallons seconds minutes hours days weeks months years dollars euros cents degrees"
-UNIT = r"(?<![\p{L}\p{N}<>])(?:" + "|".join(sorted(UNITS.split(), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}<>])"
+UNIT = r"(?<![\p{L}\p{N}<>])" + any_of(UNITS.split()) + r"(?![\p{L}\p{N}<>])"
 #: Numbers as words.
 SPELLED = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
-SPELLED_NUMBER = r"(?<![\p{L}\p{N}<>])(?:" + "|".join(sorted(SPELLED.split(), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}<>])"
+SPELLED_NUMBER = r"(?<![\p{L}\p{N}<>])" + any_of(SPELLED.split()) + r"(?![\p{L}\p{N}<>])"
 NAME = r"(?<![\p{L}\p{N}<>])\p{Lu}\p{Ll}+(?![\p{L}\p{N}<>])"
 
 
@@ -59,16 +80,17 @@ def split_words(text: Column) -> Column:
 
 
 def canonical_words(rows: DataFrame, text: Column) -> DataFrame:
-    """`rows` and the words of a text in both forms, `words` and `plain`: one of each to a word."""
-    rows = rows.withColumn("marked", marked(F.coalesce(text, F.lit(""))))
-    return rows.withColumn("words", split_words(named(F.col("marked")))).withColumn("plain", split_words(unnamed(F.col("marked")))).drop("marked")
+    """`rows` and hashes of the words of a text in both forms, `words` and `plain`: one of each to a word."""
+    rows = rows.withColumn("own", split_words(marked(F.coalesce(text, F.lit("")))))
+    form = lambda of: F.transform("own", lambda w: F.xxhash64(F.when(F.contains(w, F.lit("\x01")), of(w)).otherwise(w)))
+    return rows.withColumn("words", form(named)).withColumn("plain", form(unnamed)).drop("own")
 
 
 def windows(words: Column, plain: Column, width: int = WINDOW) -> Column:
     """Array of (position, hash, plain hash) of the windows of words in both forms; fewer words than a window are one, none has none."""
-    of = lambda x, i: F.xxhash64(*(F.get(x, i - 1 + k) for k in range(width)))
-    at = lambda i: F.struct((i - 1).alias("pos"), of(words, i).alias("hash"), of(plain, i).alias("plain"))
-    return F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (width - 1), F.lit(1))), at)).otherwise(F.array().cast("array<struct<pos: int, hash: bigint, plain: bigint>>"))
+    of = lambda x, i: F.xxhash64(F.get(x, i), *(F.get(x, i + k) for k in range(1, width)))
+    at = lambda _, i: F.struct(i.alias("pos"), of(words, i).alias("hash"), of(plain, i).alias("plain"))
+    return F.transform(F.slice(words, 1, F.greatest(F.size(words) - (width - 1), F.lit(1))), at)
 
 
 def forms(rows: DataFrame, *keep: str) -> DataFrame:
