@@ -762,6 +762,21 @@ def test_toxicity_reads_long_words_whole():
     assert toxicity.words_of(b"Short, words") == [b"short", b"words"]
 
 
+def test_training_holds_words_once(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "STEPS", 1)
+    rng = np.random.default_rng(3)
+    texts = [b" ".join(b"word%d" % k for k in rng.integers(0, 500, 2000).tolist()) for _ in range(200)]
+    names, docs = toxicity.numbered(texts)
+    assert [b" ".join(names[k] for k in d) for d in docs] == texts and len(names) == len(set(names)) == 500
+    tracemalloc.start()
+    toxicity.train(texts, [i % 2 for i in range(200)], 0.5, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6  # 400,000 words as bytes of their own take some 20 MB
+
+
 def test_windows_cover_all():
     for n in (0, 1, 31, 32, 33, 48, 49, 200, 1001):
         s = toxicity.windows_of(n)

@@ -9,7 +9,6 @@ of its highest window, and the training takes gradients through each text's high
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +39,13 @@ def words_of(text: bytes) -> list:
     return [p for w in words for p in ([w] if len(w) <= CHARS else [w[i : i + CHARS] for i in (*range(0, len(w) - CHARS, CHARS // 2), len(w) - CHARS)])]
 
 
+def numbered(texts: list) -> tuple:
+    """The distinct words of texts, and each text as numbers of them: words take memory once, however often they come."""
+    place: dict = {}
+    docs = [np.fromiter((place.setdefault(w, len(place)) for w in words_of(t)), np.int32) for t in texts]
+    return [*place], docs
+
+
 def trigram_rows(words: list) -> np.ndarray:
     """For each word, of at most CHARS bytes, the table rows of its trigrams, with boundary marks; 0 is none."""
     wide = np.zeros((len(words), CHARS + 2), np.uint8)
@@ -153,11 +159,10 @@ class Network:
 
     def score(self, texts: list) -> np.ndarray:
         """Logit of each text: its highest window's. A text without words has one window without words."""
-        return np.array([x for x, _, _ in self.best(texts)], np.float32)
+        return np.array([x for x, _ in self.best([words_of(t) for t in texts])], np.float32)
 
-    def best(self, texts: list, top: int = 1) -> list:
-        """For each text its highest logit, its words and the starts of its highest windows."""
-        docs = [words_of(t) for t in texts]
+    def best(self, docs: list, top: int = 1) -> list:
+        """For each text, as its words, its highest logit and the starts of its highest windows."""
         place: dict = {}
         flat = np.fromiter((place.setdefault(w, len(place)) for d in docs for w in d), np.int32)
         x = self.project(self.vectors(*self.word_inputs([*place])))
@@ -176,10 +181,10 @@ class Network:
             mask = np.arange(WINDOW) < left[s][:, None]
             logits[s] = self.run(x, np.where(mask, index, 0), mask)[0]
         out, at = [], 0
-        for d, s in zip(docs, starts, strict=True):
+        for s in starts:
             own = logits[at : at + len(s)]
             at += len(s)
-            out.append((float(own.max()), d, [s[i] for i in np.argsort(-own, kind="stable")[:top]]))
+            out.append((float(own.max()), [s[i] for i in np.argsort(-own, kind="stable")[:top]]))
         return out
 
 
@@ -190,45 +195,46 @@ def train(texts: list, labels: list, prior: float, epochs: int = EPOCHS, seed: i
     """
     epochs = max(epochs, -(-STEPS * BATCH // max(1, 2 * len(texts))))
     labels = np.array(labels, np.float32)
-    seen, toxic = Counter(), Counter()
-    for t, y in zip(texts, labels, strict=True):
-        own = set(words_of(t))
-        seen.update(own)
+    words, docs = numbered(texts)
+    seen, toxic = np.zeros((2, len(words)), np.int64)
+    for d, y in zip(docs, labels, strict=True):
+        own = np.unique(d)
+        seen[own] += 1
         if y:
-            toxic.update(own)
-    words = sorted((w for w, n in seen.items() if n >= 4), key=lambda w: (-seen[w], w))[:KNOWN]
+            toxic[own] += 1
+    known = sorted(np.flatnonzero(seen >= 4).tolist(), key=lambda i: (-seen[i], words[i]))[:KNOWN]
     n1, n0 = max(1.0, float(labels.sum())), max(1.0, float(len(labels) - labels.sum()))
-    odds = np.array([math.log((toxic[w] + 1) / (n1 + 2)) - math.log((seen[w] - toxic[w] + 1) / (n0 + 2)) for w in words], np.float32)
-    net = Network.fresh({w: i + 1 for i, w in enumerate(words)}, np.clip(odds, -3, 3), seed)
+    odds = np.array([math.log((toxic[i] + 1) / (n1 + 2)) - math.log((seen[i] - toxic[i] + 1) / (n0 + 2)) for i in known], np.float32)
+    net = Network.fresh({words[i]: k + 1 for k, i in enumerate(known)}, np.clip(odds, -3, 3), seed)
     if not len(texts):
         return net
     rng = np.random.default_rng(seed)
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step, weight = 0, np.where(labels > 0, len(labels) / (2 * n1), len(labels) / (2 * n0))
-    log_odds = net.known and dict(zip(words, odds, strict=True))
+    log_odds = np.zeros(len(words), np.float32)
+    log_odds[known] = odds
     for epoch in range(epochs):
         if epoch == 0:  # the windows of the highest log odds
             picks = []
-            for t in texts:
-                d = words_of(t)
-                own = np.array([log_odds.get(w, 0.0) for w in d] or [0.0])
+            for d in docs:
+                own = log_odds[d] if len(d) else np.zeros(1, np.float32)
                 s = windows_of(len(d))
                 value = [np.maximum(own[i : i + WINDOW], 0).max() for i in s]
-                picks.append((d, [s[i] for i in np.argsort(-np.array(value), kind="stable")[:1]]))
+                picks.append([s[i] for i in np.argsort(-np.array(value), kind="stable")[:1]])
         elif epoch % max(2, epochs // 6) == 0:
-            picks = [(d, s) for at in range(0, len(texts), 500) for _, d, s in net.best(texts[at : at + 500], 1)]
-        spans = [(d[s : s + WINDOW], i) for i, (d, ss) in enumerate(picks) for s in ss]
-        spans += [(d[s : s + WINDOW], i) for i, (d, _) in enumerate(picks) if not labels[i] for s in [int(rng.integers(0, max(1, len(d) - WINDOW + 1)))]]
+            picks = [s for at in range(0, len(docs), 500) for _, s in net.best([[words[w] for w in d.tolist()] for d in docs[at : at + 500]])]
+        spans = [(d[s : s + WINDOW], i) for i, (d, ss) in enumerate(zip(docs, picks, strict=True)) for s in ss]
+        spans += [(d[s : s + WINDOW], i) for i, d in enumerate(docs) if not labels[i] for s in [int(rng.integers(0, max(1, len(d) - WINDOW + 1)))]]
         order = rng.permutation(len(spans))
         for at in range(0, len(order), BATCH):
             some = [spans[i] for i in order[at : at + BATCH]]
             place: dict = {}
             index, mask = np.zeros((len(some), WINDOW), np.int32), np.zeros((len(some), WINDOW), bool)
             for i, (ws, _) in enumerate(some):
-                ids = [place.setdefault(w if rng.random() > 0.05 else b"?", len(place)) for w in ws]
+                ids = [place.setdefault(w if rng.random() > 0.05 else -1, len(place)) for w in ws.tolist()]
                 index[i, : len(ids)], mask[i, : len(ids)] = ids, True
-            rows, grams = net.word_inputs([*place] or [b"?"])
+            rows, grams = net.word_inputs([words[w] if w >= 0 else b"?" for w in place] or [b"?"])
             own = np.array([i for _, i in some])
             logit, held = net.run(net.project(net.vectors(rows, grams)), index, mask, keep=True)
             slope = ((sigmoid(logit) - labels[own]) * weight[own] / len(some)).astype(np.float32)
