@@ -150,6 +150,33 @@ def test_ctw_in_small_pieces(docs, monkeypatch):
     assert sorted((r["doc_id"] or -1, r["n_known"], round(r["score"], 3)) for r in rows(ctw.scores(docs))) == want
 
 
+def test_ctw_counts_take_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    parts = [rng.integers(0, 1 << 22, 200_000) << 20 for _ in range(40)]
+    tracemalloc.start()
+    strings, tokens = ctw.Counts(), ctw.Counts()
+    for keys in parts:
+        strings.add(keys, keys >> 20 & 1 == 1)
+    tokens.add(parts[0], parts[0] < 0)
+    rows = [r for columns in ctw.shard_rows(0, strings, tokens) for r in zip(*(c.to_pylist() for c in columns[1:]), strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    keys, n = np.unique(np.concatenate(parts), return_counts=True)
+    got = [np.concatenate([ctw.unpacked(r[c], r[1]) for r in rows if r[0] < ctw.TOKENS]) for c in (2, 3)]
+    assert np.array_equal(got[0], keys) and np.array_equal(got[1], n * (keys >> 20 & 1 == 0))
+    assert peak < 150e6  # 3.6 million keys
+
+
+def test_ctw_strings_of_parts(monkeypatch):
+    monkeypatch.setattr(ctw, "PLACES", 5)
+    stream, begins, ends = ctw.stream_of([b"abcdefgh ijk\n", b"\n", b"lmno p\n"])
+    own = ctw.inside(len(stream), begins, ends)
+    keys, places = zip(*ctw.string_parts(stream, own), strict=True)
+    assert np.array_equal(np.concatenate(keys), ctw.string_keys(stream)[own]) and np.array_equal(np.concatenate(places), np.flatnonzero(own))
+
+
 def test_mixing(docs, data, none):
     for block in (16, 1024):
         got = rows(mixing.mix(docs, block=block))

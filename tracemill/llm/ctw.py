@@ -33,6 +33,8 @@ DEPTH = 6
 LEAST = 2
 #: Bytes of texts of a batch, of texts that are looked at at once, and keys of a row.
 BATCH, CHUNK, ROW = 64 << 20, 1 << 21, 1 << 19
+#: Places whose strings are taken at once, and keys that wait until they are merged into a batch's.
+PLACES, WAITING = 1 << 19, 1 << 20
 #: Keys of whole shards that are weighted at once, unless one has more.
 TOGETHER = 1 << 17
 #: Batches that one task looks up.
@@ -130,6 +132,14 @@ def string_keys(stream: np.ndarray) -> np.ndarray:
     return out
 
 
+def string_parts(stream: np.ndarray, own: np.ndarray):
+    """string_keys() of the places that are own, some PLACES at a time, and which places those are."""
+    for s in range(0, len(stream), PLACES):
+        before = min(s, DEPTH)
+        some = slice(s, s + PLACES)
+        yield string_keys(stream[s - before : s + PLACES])[before:][own[some]], np.flatnonzero(own[some]) + s
+
+
 def token_keys(bodies: list) -> tuple:
     """62 bits of hash of every token of bodies, and how many tokens each has; the line feed that closes a body is its end token."""
     words = [b[:-1].split(b" ") if len(b) > 1 else [] for b in bodies]
@@ -149,17 +159,48 @@ def portions(texts: list):
 
 
 class Counts:
-    """Distinct keys of a batch and how often training texts hold them."""
+    """Distinct keys of a batch and how often training texts hold them.
+
+    Keys wait until there are WAITING, and are merged into those held without sorting these anew: a worker
+    has the old and the new keys in memory, and nothing else of their size.
+    """
 
     def __init__(self):
-        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.n = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.waiting: list = []
+        self.size = 0
 
     def add(self, keys: np.ndarray, held_out: np.ndarray):
-        x = (keys << 1) | held_out
+        x = keys << 1
+        x |= held_out
         x.sort()
-        at = firsts(x >> 1)
-        times = np.add.reduceat(1 - (x & 1), at) if len(at) else np.zeros(0, np.int64)
-        self.keys, self.n = summed(np.concatenate([self.keys, x[at] >> 1]), np.concatenate([self.n, times]))
+        at = np.flatnonzero(np.concatenate([[True], (x[1:] ^ x[:-1]) > 1])) if len(x) else np.zeros(0, np.int64)
+        if not len(at):
+            return
+        self.waiting.append((x[at] >> 1, np.add.reduceat((x & 1) == 0, at, dtype=np.int32)))
+        self.size += len(at)
+        if self.size >= WAITING:
+            self.merge()
+
+    def merge(self):
+        """Takes in the keys that wait."""
+        if not self.waiting:
+            return
+        keys, n = zip(*self.waiting, strict=True)
+        self.waiting, self.size = [], 0
+        keys, n = np.concatenate(keys), np.concatenate(n)
+        keys, n = summed(keys, n)
+        n = n.astype(np.int32)
+        if not len(self.keys):
+            self.keys, self.n = keys, n
+            return
+        at = np.searchsorted(self.keys, keys)
+        old = self.keys[np.minimum(at, len(self.keys) - 1)] == keys
+        self.n[at[old]] += n[old]
+        new = ~old
+        at, keys, n = at[new], keys[new], n[new]
+        self.keys = np.insert(self.keys, at, keys)
+        self.n = np.insert(self.n, at, n)
 
 
 KEYED = "batch long, shard int, size int, keys binary, counts binary"
@@ -167,7 +208,10 @@ KEYED = "batch long, shard int, size int, keys binary, counts binary"
 
 def shard_rows(batch: int, strings: Counts, tokens: Counts):
     """A batch's rows of KEYED, a record batch at a time."""
-    for c, shard in ((strings, strings.keys >> 8 * (DEPTH - 1)), (tokens, TOKENS + (tokens.keys >> 54))):
+    for c, first, low in ((strings, 0, 8 * (DEPTH - 1)), (tokens, TOKENS, 54)):
+        c.merge()
+        shard = (c.keys >> low).astype(np.int32)
+        shard += first
         at = firsts(shard)
         rows = [(int(shard[i]), s, min(s + ROW, e)) for i, e in zip(at.tolist(), [*at[1:].tolist(), len(shard)], strict=True) for s in range(i, e, ROW)]
         for k in range(0, len(rows), 500):
@@ -197,7 +241,8 @@ def gathered(docs: DataFrame) -> DataFrame:
                     stream, begins, ends = stream_of(bodies)
                     trained = inside(len(stream), begins, ends, np.flatnonzero(~out[i:j]))
                     some = inside(len(stream), begins, ends)
-                    strings.add(string_keys(stream)[some], ~trained[some])
+                    for keys, places in string_parts(stream, some):
+                        strings.add(keys, ~trained[places])
                     keys, each = token_keys(bodies)
                     tokens.add(keys, np.repeat(out[i:j], each))
                     blob = b"".join(bodies)
