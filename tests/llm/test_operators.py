@@ -532,6 +532,29 @@ def test_encoder_remembers_what_recurs(monkeypatch):
     assert len(enc.older) <= 20 + 9
 
 
+def test_encoder_splits_a_part_once(monkeypatch):
+    enc = tokens.Encoder(queries.tokenizer_path())
+    split, part = Counter(), enc.part
+    monkeypatch.setattr(enc, "part", lambda p: split.update([p]) or part(p))
+    for i in range(40):
+        text = f"a mill{'xyz'[i % 3] * i}.\nRiver old {i}x {'$' * (i % 5)}River  b River\n River"
+        assert enc.encode([text])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    for i in range(40):
+        text = f"a mill{'xyz'[i % 3] * i}.\nRiver old {i}x {'$' * (i % 5)}River b River"
+        assert enc.encode([text])[0].tolist() == enc.tok.encode(text, add_special_tokens=False).ids
+    assert all(split[p] == 1 for p in (".", "\n", "River", "x", " $$$"))
+
+
+def test_cumulative_counts_have_their_places():
+    rng = np.random.default_rng(5)
+    counts = rangecoder.Counts(40)
+    for _ in range(3):
+        counts.add(*rng.integers(0, 40, (3, 1000)))
+        for k in (0, 1):
+            every = np.arange(counts.upto[k][-1])
+            assert np.array_equal(counts.holding(k, every), np.searchsorted(counts.upto[k], every, "right") - 1)
+
+
 BENCH = [(1, "A train leaves Boston at 9 km per hour and meets Alice after 12 minutes near the old mill"), (2, "A train leaves Boston at 9 km per hour and meets Alice after 12 minutes near the old mill"), (3, None), (4, ""), (5, "two words"), (6, PASSAGE)]
 
 

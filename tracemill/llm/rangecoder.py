@@ -70,6 +70,7 @@ class Counts:
 
     def renew(self):
         self.upto = [np.concatenate([[0], np.cumsum(n)]) for n in self.n]
+        self.held: list = [None, None]
         first = np.searchsorted(self.keys[0], np.arange(self.vocab + 1) << self.bits)
         begin = np.searchsorted(self.keys[1], self.keys[0] << self.bits)
         end = np.searchsorted(self.keys[1], (self.keys[0] + 1) << self.bits)
@@ -89,6 +90,12 @@ class Counts:
         at = np.minimum(looked_up(self.keys[k], keys), len(self.keys[k]) - 1)
         return at, self.keys[k][at] == keys
 
+    def holding(self, k: int, at: np.ndarray) -> np.ndarray:
+        """The places of the keys that hold the cumulative counts `at`: there are as many as ids were added, so each has its place in a table."""
+        if self.held[k] is None:
+            self.held[k] = np.repeat(np.arange(len(self.n[k]), dtype=np.int32), self.n[k])
+        return self.held[k][at]
+
     def pairs(self, before2: np.ndarray, before1: np.ndarray) -> np.ndarray:
         """The contexts of two ids."""
         at, seen = self.find(0, before2 << self.bits | before1)
@@ -279,7 +286,7 @@ def decode_block(data: bytes) -> np.ndarray:
             following = np.full(lanes, len(counts.keys[0]))
             for k, base in ((1, counts.base2[pair]), (0, counts.base1[b1])):
                 e = np.flatnonzero(choice == 1 - k)
-                at = looked_up(counts.upto[k], base[e] + v[e], "right") - 1
+                at = counts.holding(k, base[e] + v[e])
                 x[e] = counts.keys[k][at] & ((1 << counts.bits) - 1)
                 start[e], size[e] = counts.upto[k][at] - base[e], counts.n[k][at]
                 following[e] = counts.pairs(b1[e], x[e]) if k else at

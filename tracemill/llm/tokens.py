@@ -19,7 +19,8 @@ from .common import shared_dir
 #: Ids after which a block closes at the end of its document.
 BLOCK = 1 << 20
 #: Pieces after which a worker starts a new cache of their ids, at some 250 bytes each. It keeps the one before
-#: and takes over what recurs, so that only pieces that have not come again since are forgotten.
+#: and takes over what recurs, so that only pieces that have not come again since are forgotten. Parts of
+#: pieces have a cache of a quarter of that.
 CACHE = 250_000
 #: The end of a document.
 END = 2
@@ -62,6 +63,8 @@ class Encoder:
         self.cache: dict = {}
         self.older: dict = {}
         self.ends: dict = {}
+        self.split: dict = {}
+        self.older_split: dict = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
@@ -83,6 +86,15 @@ class Encoder:
                 self.cache[piece] = out
         return out
 
+    def recurring(self, part: str) -> bytes:
+        """As part(), of a part that may be a piece with its space, and is remembered else."""
+        out = self.cache.get(part[1:]) if part[0] == " " else None
+        if out is None:
+            out = self.split.get(part)
+            if out is None:
+                out = self.split[part] = self.older_split.get(part) or self.part(part)
+        return out
+
     def piece(self, piece: str) -> bytes | None:
         """The ids of a piece with the space before it, or None if it does not stand alone."""
         if not piece or piece[0].isspace() or piece[-1].isspace():
@@ -99,12 +111,14 @@ class Encoder:
             if end is None:
                 end = self.ends[piece[-1]] = self.part(piece[-1])
             return out + end
-        return b"".join(map(self.part, self.parts(" " + piece)))
+        return b"".join(map(self.recurring, self.parts(" " + piece)))
 
     def encode(self, texts: list) -> list:
         """The ids of each text, as arrays."""
         if len(self.cache) > CACHE:
             self.older, self.cache = self.cache, {}
+        if len(self.split) > CACHE // 4:  # most are the first words of lines
+            self.older_split, self.split = self.split, {}
         cache, out = self.cache, []
         for text in texts:
             if any(a in text for a in self.added):
@@ -113,17 +127,16 @@ class Encoder:
             first, *pieces = text.split(" ")
             got = [*map(cache.get, pieces)]
             alone = not first or not first[-1].isspace()
-            if alone and None in got:
-                for i, x in enumerate(got):
+            if alone:
+                for i in [i for i, x in enumerate(got) if x is None]:
+                    x = self.known(pieces[i])
                     if x is None:
-                        x = self.known(pieces[i])
+                        x = self.piece(pieces[i])
                         if x is None:
-                            x = self.piece(pieces[i])
-                            if x is None:
-                                alone = False
-                                break
-                            cache[pieces[i]] = x
-                        got[i] = x
+                            alone = False
+                            break
+                        cache[pieces[i]] = x
+                    got[i] = x
             if alone and (first or not pieces):
                 out.append(self.whole(first) + b"".join(got))
             else:
