@@ -522,10 +522,12 @@ def looked_up(rows: DataFrame, model: DataFrame, salts: int) -> DataFrame:
 
 
 class Lookup:
-    """Values by key, in a table with open addressing."""
+    """Values by key, in a table with open addressing. The lists of keys and values are emptied."""
 
     def __init__(self, keys: list, values: list, kind):
         self.keys, self.values = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.int64), (values, kind)))
+        keys.clear()
+        values.clear()
         self.shift = 64 - max(4, int(2 * len(self.keys) + 1).bit_length())
         self.table = np.full(1 << (64 - self.shift), -1, np.int32)
         todo, slot = np.arange(len(self.keys), dtype=np.int32), self.slots(self.keys)
@@ -536,7 +538,9 @@ class Lookup:
             todo, slot = todo[lost], (slot[lost] + 1) & (len(self.table) - 1)
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).view(np.int64)
+        out = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        out >>= np.uint64(self.shift)
+        return out.view(np.int64)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """Values of keys that are all in the table."""
@@ -576,13 +580,13 @@ def summed_up(texts: DataFrame, found: DataFrame) -> DataFrame:
                     continue
                 if tables is None:
                     tables = Lookup(*held[:2], np.float32), Lookup(*held[2:], np.int64)
-                    held = ([], [], [], [])
                 blob = pa.decompress(r["keys"], r["size"], codec="zstd", asbytes=True)
                 cuts = np.concatenate([[0], np.cumsum(r["sizes"])]).tolist()
                 bodies = [blob[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
                 stream, begins, ends = stream_of(bodies)
                 own = inside(len(stream), begins, ends)
-                logs = np.concatenate([[0.0], np.cumsum(tables[0](string_keys(stream)[own]), dtype=np.float64)])
+                each = [tables[0](keys) for keys, _ in string_parts(stream, own)]
+                logs = np.concatenate([[0.0], np.cumsum(np.concatenate(each), dtype=np.float64)])
                 score = np.diff(logs[cuts])
                 keys, each = token_keys(bodies)
                 counts = tables[1](keys)
