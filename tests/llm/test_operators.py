@@ -545,6 +545,56 @@ def test_encoder_splits_a_part_once(monkeypatch):
     assert all(split[p] == 1 for p in (".", "\n", "River", "x", " $$$"))
 
 
+def ids_of(texts):
+    import pyarrow as pa
+
+    out: list = []
+    for first, flat, sizes in tokens.ids_of(queries.tokenizer_path(), pa.array(texts, pa.string())):
+        assert first == len(out)
+        out += np.split(flat, np.cumsum(sizes)[:-1])
+    return [x.tolist() for x in out]
+
+
+def test_parts_are_the_tokenizers(monkeypatch):
+    tok = tokens.encoder(queries.tokenizer_path()).tok
+    want = lambda texts: [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    texts = ["a  b", "  x", " \n a", "a\t  b", "a\x1c b", "a\x85b", None, "", " ", "a b ", "é  x", " a", "\0 a b", "a\nb\n\nc\n d\n", "gh12 \u3000x", "\u3000\u3000", "a\u3000 b\u00a0\u00a0c \u00a0d", "ÀB ß. e\u0301 ١٢ x²", "😀😀 a😀"]
+    texts += ["don't 'tis we're I've he'll she'd I'm 's'", "'s's 't!'t a'", "''s '", " 's ' s '\ns", "rock'n'roll 'r 'v 'l 'rE 'LL", "é's 1's '1", "a <|endoftext|> b", "<|endoftext|>", None, "x<|endoftext|>y z", "<|endoftext|"]
+    texts += ["x" * k + " " + "y" * k for k in (*range(12, 18), *range(28, 34), 255, 256, 257, 5000)] + ["$" * 40 + "é" * 20, "", "' "]
+    rng = np.random.default_rng(3)
+    alphabet = [*"abst'' \n\t.,1é\u00a0\u3000ß世😀\u0301", " the", "'re", "'ll", "  ", "ing", "1234567", "quitelongwordofmany"]
+    texts += ["".join(alphabet[k] for k in rng.integers(0, len(alphabet), n)) for n in rng.integers(0, 40, 1500)]
+    assert ids_of(texts) == want(texts)
+    monkeypatch.setattr(tokens, "SLICE", 50)
+    monkeypatch.setattr(tokens, "PARTS", 60)
+    monkeypatch.setattr(tokens, "_tokenizers", {})
+    assert ids_of(texts) == want(texts)
+    assert ids_of([]) == [] and ids_of([None, ""]) == [[], []]
+
+
+def test_the_library_gets_a_part_once(monkeypatch):
+    monkeypatch.setattr(tokens, "_tokenizers", {})
+    asked, of_parts = Counter(), tokens.Parts.of_parts
+    monkeypatch.setattr(tokens.Parts, "of_parts", lambda self, parts: asked.update(parts) or of_parts(self, parts))
+    monkeypatch.setattr(tokens, "SLICE", 100)
+    texts = [f"a mill{'xyz'[i % 3] * i}.\nRiver, old {i}x {'$' * (i % 5)}River  b (River)\n River" for i in range(40)]
+    assert ids_of(texts) == [tokens.encoder(queries.tokenizer_path()).tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert set(asked.values()) == {1} and {b" River", b"River", b" (", b".", b"\n"} <= set(asked)
+
+
+def test_blocks_are_encoded_without_searches(monkeypatch):
+    """The encoder ranks a block's pairs and threes of ids once, and what it then counts is what the decoder finds."""
+    rng = np.random.default_rng(11)
+    ids = (rng.zipf(1.3, 30_000) % 3000).astype(np.int64)
+    with monkeypatch.context() as m:
+        m.setattr(rangecoder, "looked_up", None)
+        data = rangecoder.encode_block(ids, 3000)
+    assert (rangecoder.decode_block(data) == ids).all()
+    for bits in (13, 60):
+        rank, keys = rangecoder.ranked(ids.reshape(-1, 100), bits)
+        assert (keys == np.unique(ids)).all() and (keys[rank].ravel() == ids).all()
+
+
 def test_cumulative_counts_have_their_places():
     rng = np.random.default_rng(5)
     counts = rangecoder.Counts(40)
